@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, distinctive, mixing
+from pagelode.llm import bpe, distinctive, markup, mixing, near_duplicates, neighbours
 from pagelode.llm.stage import cut, first_delivery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,60 @@ def p8_mix(spark, sf):
 @query()
 def p8_shares(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+# ---- problem 2
+
+
+def _duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.near_duplicate_classes(chunk_texts(spark, sf), "chunk_id", shingle=3, similarity=0.5, least_words=20)
+
+
+PAIRS_SQL = """t AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+w AS (SELECT chunk_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS ws FROM t),
+s AS (SELECT DISTINCT chunk_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT chunk_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 20)),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.chunk_id < b.chunk_id GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b
+WHERE c * 2 >= x.n + y.n - c""")
+def p2_found(spark, sf):
+    pairs = near_duplicates.expand_pairs(*_duplicates(spark, sf))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query()
+def p2_groups(spark, sf):
+    """One row per chunk of 20 words or more: its group and its number of near-duplicates."""
+    groups = near_duplicates.near_duplicate_groups(*_duplicates(spark, sf))
+    return groups.select(F.col("key").alias("chunk_id"), F.col("group").alias("group_id"), "links")
+
+
+# ---- problem 3
+
+
+@query()
+def p3_found(spark, sf):
+    near = neighbours.nearest(table(spark, sf, "vectors"), table(spark, sf, "search_indexes"))
+    return neighbours.neighbour_pairs(near)
+
+
+@query()
+def p3_neighbours(spark, sf):
+    """(index_id, chunk_id, neighbour, cosine) of the five most similar vectors of every usable vector."""
+    return neighbours.nearest(table(spark, sf, "vectors"), table(spark, sf, "search_indexes"))
+
+
+# ---- problem 6
+
+
+@query()
+def p6_found(spark, sf):
+    return markup.markup_kinds(chunk_texts(spark, sf), "chunk_id")
+
+
+@query()
+def p6_clean(spark, sf):
+    """(chunk_id, text) of every chunk without its markup."""
+    return markup.clean_markup(chunk_texts(spark, sf), "chunk_id")
