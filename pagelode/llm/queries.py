@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, distinctive, markup, mixing, near_duplicates, neighbours
+from pagelode.llm import bpe, distinctive, markup, mixing, near_duplicates, neighbours, splitting, truncation
 from pagelode.llm.stage import cut, first_delivery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,18 +97,10 @@ def p8_shares(spark, sf):
 
 
 def _duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates.near_duplicate_classes(chunk_texts(spark, sf), "chunk_id", shingle=3, similarity=0.5, least_words=20)
+    return near_duplicates.near_duplicate_classes(table(spark, sf, "chunks"), "chunk_id", at="ingested_at", shingle=3, similarity=0.5, least_words=20)
 
 
-PAIRS_SQL = """t AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
-w AS (SELECT chunk_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS ws FROM t),
-s AS (SELECT DISTINCT chunk_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT chunk_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 20)),
-n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
-shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.chunk_id < b.chunk_id GROUP BY 1, 2)"""
-
-
-@query(f"""WITH {PAIRS_SQL} SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b
-WHERE c * 2 >= x.n + y.n - c""")
+@query()
 def p2_found(spark, sf):
     pairs = near_duplicates.expand_pairs(*_duplicates(spark, sf))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -148,3 +140,43 @@ def p6_found(spark, sf):
 def p6_clean(spark, sf):
     """(chunk_id, text) of every chunk without its markup."""
     return markup.clean_markup(chunk_texts(spark, sf), "chunk_id")
+
+
+# ---- problem 4
+
+
+def _sized(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+    return splitting.with_settings(table(spark, sf, "chunks"), table(spark, sf, "search_configs"), columns)
+
+
+@query(r"""WITH d AS (SELECT chunksize FROM search_configs WHERE index_id IS NULL ORDER BY saved_at DESC LIMIT 1),
+f AS (SELECT index_id, coalesce(arg_max(chunksize, saved_at), (SELECT chunksize FROM d)) AS size FROM
+  (SELECT index_id, saved_at, coalesce(chunksize, (SELECT chunksize FROM d)) AS chunksize FROM search_configs WHERE index_id IS NOT NULL) GROUP BY 1)
+SELECT DISTINCT chunk_id FROM chunks LEFT JOIN f USING (index_id) WHERE len(list_filter(regexp_split_to_array(text,
+  '[\t\n\x0b\x0c\r\x1c-\x1f \x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) > coalesce(size, (SELECT chunksize FROM d))""")
+def p4_found(spark, sf):
+    return splitting.oversized(_sized(spark, sf, ["chunk_id", "text"]), "chunk_id").select("chunk_id")
+
+
+@query()
+def p4_pieces(spark, sf):
+    """(chunk_id, piece, heading, text, range, words) of every oversized chunk."""
+    rows = _sized(spark, sf, ["chunk_id", "ingested_at", "heading", "text", "range"])
+    long = splitting.oversized(rows, "chunk_id").select("chunk_id")
+    kept = first_delivery(rows.join(long, "chunk_id", "left_semi"), "chunk_id", "ingested_at", ["heading", "text", "range", "_size", "_overlap"])
+    return splitting.split_records(kept, "chunk_id")
+
+
+# ---- problem 9
+
+
+@query()
+def p9_found(spark, sf):
+    return truncation.judge_ends(table(spark, sf, "documents")).where("cut").select("doc_id")
+
+
+@query()
+def p9_sources(spark, sf):
+    """(source, docs, cut, share, at_limit): how often each source's documents are cut."""
+    docs = table(spark, sf, "documents")
+    return truncation.source_report(docs, truncation.judge_ends(docs))
