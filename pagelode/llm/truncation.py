@@ -28,8 +28,8 @@ from pagelode.llm.stage import cut
 
 FENCE = re.compile(r"^[^\S\n]*(`{3,}|~{3,})[^\n`]*$", re.MULTILINE)
 TAG = re.compile(rf"<(/?)({HTML_NAMES.replace(' ', '|')})(?![\w-])[^<>]*?(/?)>", re.IGNORECASE)
-HALF_TAG = re.compile(rf"</?(?:{HTML_NAMES.replace(' ', '|')})?(?:\s+[^<>]*)?$", re.IGNORECASE)
-MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…|cut|truncated|snip|more)\]|\((?:truncated|cut)\)|<truncated>)$", re.IGNORECASE)
+HALF_TAG = re.compile(r"<[/!]?(?:[A-Za-z][^<>\n]{0,300})?$")
+MARK = re.compile(r"\s*(?:…|\.{3})?\s*(?:\[(?:\.\.\.|…|cut|truncated|snip|more)\]|\((?:truncated|cut|more)\)|<truncated>)$", re.IGNORECASE)
 ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
 HALF_ESCAPE = re.compile(r"(?:&(?:#\w{0,7}|[A-Za-z]{2,8})|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]?|%[0-9A-F]?)$")
 STOP = re.compile(r"[.!?。！？؟।:;][)\]}\"'”’»」』*_`]*$")
@@ -42,12 +42,16 @@ PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "
 OPENERS = set(PAIRS.values())
 BRACKETS = re.compile(r"[()\[\]{}“”«»「」『』（）\"`]|\[\[|\]\]")
 #: Kinds of interior line ends that are counted, and how often a word must end one to count as a possible end.
-SENTENCE, LIST, TITLE, SOURCE, CLOSING = "sentence", "item", "heading", "code", "closing"
+SENTENCE, LIST, TITLE, SOURCE = "sentence", "item", "heading", "code"
 SEEN = 3
+#: The same for the word before the last of a sentence, and for the two together. Two words that would often end
+#: a sentence if they met by chance, and never do, do not end one ("the large", of "the large file").
+BEFORE, PAIR = "before", "pair"
+BY_CHANCE = 8
 #: Share of documents that must end with a closing line of one form.
 CLOSING_SHARE = 0.002
 #: A pile: at least so many texts of one length, and so many times the mean of the lengths around it.
-PILE_TEXTS, PILE_TIMES, AROUND = 4, 8, 30
+PILE_TEXTS, PILE_TIMES, AROUND = 6, 8, 30
 
 
 def visible(text: str) -> str:
@@ -67,6 +71,12 @@ def last_word(line: str) -> str:
     return word[-2:] if ord(word[-1]) >= 0x3040 else word
 
 
+def word_before(line: str) -> str:
+    """The word before the last one, lower case; '' without one or beside a script without spaces."""
+    words = re.findall(r"[^\W\d_]+", line)
+    return words[-2].lower() if len(words) > 1 and ord(words[-1][-1]) < 0x3040 else ""
+
+
 def closing_form(line: str) -> str:
     """What short closing lines have in common: first and last word and length, digits as 0 and paths as /."""
     words = re.sub(r"\d+", "0", re.sub(r"\S*/\S*", "/", line.lower())).split()
@@ -121,16 +131,17 @@ def open_at_end(text: str) -> str:
             open_now.append(c)
         elif open_now and open_now[-1] == PAIRS[c]:
             open_now.pop()
-    if open_now:
-        return open_now[-1]
     half = text.rfind("<")
-    if half > text.rfind(">") and (len(text) - half < 200) and HALF_TAG.match(text, half):
+    if half >= after and half > text.rfind(">") and HALF_TAG.match(text, half):
         return "tag"
+    line = text[text.rfind("\n") + 1 :]
+    if open_now and not STOP.search(line) and not (line.endswith(">") and TAG.search(line)):
+        return open_now[-1]
     return ""
 
 
 def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
-    """(ending, last word, closing form, characters, bytes) of a text; None for null, empty and blank ones.
+    """(ending, last word, word before it or closing form, characters, bytes) of a text; None for null, empty and blank ones.
 
     Endings: mark, broken, open, ellipsis, stop, closed, item, heading, code, line. Lengths are without what a mark added.
     """
@@ -152,7 +163,7 @@ def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
     if state:
         return "open", "", "", *size
     if dots is not None:
-        return "ellipsis", last_word(line), "", *size
+        return "ellipsis", last_word(line), word_before(line), *size
     if FENCE.match(line.strip()) or (TAG.search(line) and line.endswith(">")):
         return "closed", "", "", *size
     if line.lstrip().startswith("|"):
@@ -171,16 +182,21 @@ def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
     return "line", last_word(line), closing_form(line) if alone else "", *size
 
 
-_SENTENCE_ENDS = re.compile(r"([^\W\d_]+)[)\]\"'”’»*_]*(?:[.!?](?=\s+\S)|[。！？](?=\s*\S))")
+_SENTENCE_ENDS = re.compile(r"(?:([^\W\d_]+)[^\S\n]+)?([^\W\d_]+)[)\]\"'”’»*_]*(?:[.!?](?=\s+\S)|[。！？](?=\s*\S))")
 
 
 def line_ends(text: str | None, counts: Counter[tuple[str, str]]) -> None:
     """Counts with which words the sentences and lines of a text end before more text follows."""
     if not text:
         return
-    for word in set(_SENTENCE_ENDS.findall(text)):
-        word = word.lower()
+    pairs = {(a.lower(), b.lower()) for a, b in _SENTENCE_ENDS.findall(text)}
+    for word in {b for _, b in pairs}:
         counts[SENTENCE, word[-2:] if ord(word[-1]) >= 0x3040 else word] += 1
+    for word in {a for a, _ in pairs if a}:
+        counts[BEFORE, word] += 1
+    for a, b in pairs:
+        if a and ord(b[-1]) < 0x3040:
+            counts[PAIR, f"{a} {b}"] += 1
     lines = text.split("\n")
     fenced = False
     seen = set()
@@ -200,7 +216,7 @@ def line_ends(text: str | None, counts: Counter[tuple[str, str]]) -> None:
 
 
 def end_baseline(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, word, n): in how many documents a word ends a sentence or line of that kind, closing forms included."""
+    """(kind, word, n): in how many documents a word ends a sentence or a line of that kind, or stands before such an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,8 +271,8 @@ def judge_ends(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     """
     ends = cut(read_ends(docs, key, source, text).withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     n = ends.count()
-    baseline = cut(end_baseline(docs, text).where(F.col("n") >= SEEN))
-    forms = ends.where("form <> ''").groupBy("form").agg(F.count("*").alias("_forms")).where(F.col("_forms") >= max(SEEN, CLOSING_SHARE * n))
+    baseline = cut(end_baseline(docs, text))
+    forms = ends.where("ending = 'line' AND form <> ''").groupBy("form").agg(F.count("*").alias("_forms")).where(F.col("_forms") >= max(SEEN, CLOSING_SHARE * n))
     # Bytes may fall short of the limit by the rest of a character.
     piles = length_piles(ends).groupBy("source", "unit", "length").agg(F.max("n").alias("_pile"))
     chars = piles.where("unit = 'chars'").select("source", F.col("length").alias("chars"), F.lit(True).alias("_char_pile"))
@@ -264,14 +280,19 @@ def judge_ends(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
         "_byte_pile", F.lit(True)
     )
     asked = F.when(F.col("ending") == "ellipsis", F.lit(SENTENCE)).otherwise(F.col("ending"))
-    known = baseline.select(F.col("kind").alias("_kind"), "word", F.lit(True).alias("_known"))
+    known = baseline.where(F.col("n") >= SEEN).where(~F.col("kind").isin(BEFORE, PAIR)).select(F.col("kind").alias("_kind"), "word", F.col("n").alias("_known"))
+    before = baseline.where(F.col("kind") == BEFORE).select(F.col("word").alias("form"), F.lit("ellipsis").alias("ending"), F.col("n").alias("_before"))
+    met = baseline.where(F.col("kind") == PAIR).select(F.col("word").alias("_pair"), F.lit(True).alias("_met"))
     rows = (
         ends.withColumn("_kind", asked)
         .join(chars, ["source", "chars"], "left").join(byte, ["source", "bytes"], "left")
         .join(known, ["_kind", "word"], "left").join(forms, "form", "left")
+        .withColumn("_pair", F.when(asked == SENTENCE, F.concat_ws(" ", "form", "word")))
+        .join(before, ["form", "ending"], "left").join(met, "_pair", "left")
     )
+    never_met = F.col("_met").isNull() & (F.coalesce("_before", F.lit(0)) * F.col("_known") >= BY_CHANCE * max(n, 1))
     limit = F.coalesce("_char_pile", F.lit(False)) | F.coalesce("_byte_pile", F.lit(False))
-    ending, seen = F.col("ending"), F.coalesce("_known", F.lit(False))
+    ending, seen = F.col("ending"), F.col("_known").isNotNull() & ~F.coalesce(never_met, F.lit(False))
     is_cut = (
         F.when(ending.isin("mark", "broken", "open"), F.lit(True))
         .when(ending.isin("stop", "closed"), F.lit(False))
