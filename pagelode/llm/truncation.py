@@ -48,12 +48,23 @@ SEEN = 3
 #: a sentence if they met by chance, and never do, do not end one ("the large", of "the large file").
 BEFORE, PAIR = "before", "pair"
 BY_CHANCE = 8
+#: Endings that decide by themselves.
+CUT_ENDINGS, WHOLE_ENDINGS = ("mark", "broken", "open"), ("stop", "closed")
 #: Share of documents that must end with a closing line of one form.
 CLOSING_SHARE = 0.002
 #: A pile: at least so many texts of one length, and so many times the mean of the lengths around it.
 PILE_TEXTS, PILE_TIMES, AROUND = 6, 8, 30
 
 
+#: Characters before an end that its last words are looked for in.
+TAIL = 60
+LETTERS = re.compile(r"[^\W\d_]+")
+LAST = re.compile(r"([^\W\d_]+)[^\w]*$")
+#: A terminator before more text; the closing signs before it belong to it.
+TERMINATOR = re.compile(r"[.!?](?=\s+\S)|[。！？](?=\s*\S)")
+CLOSERS = frozenset(")]\"'”’»*_")
+
+
 def visible(text: str) -> str:
     """The text without blank, control and format characters at its end."""
     end = len(text)
@@ -64,7 +75,8 @@ def visible(text: str) -> str:
 
 def last_word(line: str) -> str:
     """The last run of letters, lower case; of scripts without spaces the last two characters; else the last token."""
-    m = re.search(r"([^\W\d_]+)[^\w]*$", line)
+    line = line[-TAIL:]
+    m = LAST.search(line)
     if m is None:
         return re.sub(r"\d", "0", line.split()[-1])[-12:] if line.split() else ""
     word = m.group(1).lower()
@@ -73,7 +85,7 @@ def last_word(line: str) -> str:
 
 def word_before(line: str) -> str:
     """The word before the last one, lower case; '' without one or beside a script without spaces."""
-    words = re.findall(r"[^\W\d_]+", line)
+    words = LETTERS.findall(line[-2 * TAIL :])
     return words[-2].lower() if len(words) > 1 and ord(words[-1][-1]) < 0x3040 else ""
 
 
@@ -87,7 +99,7 @@ def open_at_end(text: str) -> str:
     """What the automaton has on its stack at the end of the text: a name, or '' if nothing."""
     fence = ""
     after = 0
-    for m in FENCE.finditer(text):
+    for m in FENCE.finditer(text) if "```" in text or "~~~" in text else ():
         sign = m.group(1)
         if not fence:
             fence = sign
@@ -135,7 +147,7 @@ def open_at_end(text: str) -> str:
     if half >= after and half > text.rfind(">") and HALF_TAG.match(text, half):
         return "tag"
     line = text[text.rfind("\n") + 1 :]
-    if open_now and not STOP.search(line) and not (line.endswith(">") and TAG.search(line)):
+    if open_now and not STOP.search(line[-TAIL:]) and not (line.endswith(">") and TAG.search(line)):
         return open_now[-1]
     return ""
 
@@ -150,13 +162,14 @@ def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
     t = visible(text)
     if not t:
         return None
-    m = MARK.search(t)
+    base = max(0, len(t) - TAIL)
+    m = MARK.search(t, base)
     if m is not None and m.start() > 0:
         return "mark", "", "", m.start(), len(t[: m.start()].encode("utf-8", "replace"))
     size = len(text), len(text.encode("utf-8", "replace"))
     if t[-1] == "�":
         return "broken", "", "", *size
-    dots = ELLIPSIS.search(t)
+    dots = ELLIPSIS.search(t, base)
     body = t[: dots.start()] if dots is not None and dots.start() > 0 else t
     line = body[body.rfind("\n") + 1 :]
     state = open_at_end(body)
@@ -172,24 +185,29 @@ def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
         return SOURCE, last_word(line), "", *size
     if HEADING.match(line):
         return TITLE, last_word(line), "", *size
-    if ITEM.match(line) and not STOP.search(line):
+    if ITEM.match(line) and not STOP.search(line[-TAIL:]):
         return LIST, last_word(line), "", *size
-    if STOP.search(line) or line.endswith(("}}", "]]", "|}")):
+    if STOP.search(line[-TAIL:]) or line.endswith(("}}", "]]", "|}")):
         return "stop", "", "", *size
-    if HALF_ESCAPE.search(line):
+    if HALF_ESCAPE.search(line[-TAIL:]):
         return "broken", "", "", *size
     alone = body[: len(body) - len(line)].endswith("\n\n") or body[: len(body) - len(line)].endswith("\r\n\r\n")
     return "line", last_word(line), closing_form(line) if alone else "", *size
 
 
-_SENTENCE_ENDS = re.compile(r"(?:([^\W\d_]+)[^\S\n]+)?([^\W\d_]+)[)\]\"'”’»*_]*(?:[.!?](?=\s+\S)|[。！？](?=\s*\S))")
-
-
 def line_ends(text: str | None, counts: Counter[tuple[str, str]]) -> None:
     """Counts with which words the sentences and lines of a text end before more text follows."""
     if not text:
         return
-    pairs = {(a.lower(), b.lower()) for a, b in _SENTENCE_ENDS.findall(text)}
+    pairs = set()
+    for m in TERMINATOR.finditer(text):
+        end = m.start()
+        while end and text[end - 1] in CLOSERS:
+            end -= 1
+        if not end or not text[end - 1].isalpha():
+            continue
+        words = LETTERS.findall(text, max(0, end - TAIL), end)
+        pairs.add((words[-2].lower() if len(words) > 1 else "", words[-1].lower()))
     for word in {b for _, b in pairs}:
         counts[SENTENCE, word[-2:] if ord(word[-1]) >= 0x3040 else word] += 1
     for word in {a for a, _ in pairs if a}:
@@ -197,14 +215,15 @@ def line_ends(text: str | None, counts: Counter[tuple[str, str]]) -> None:
     for a, b in pairs:
         if a and ord(b[-1]) < 0x3040:
             counts[PAIR, f"{a} {b}"] += 1
-    lines = text.split("\n")
     fenced = False
     seen = set()
-    for line in lines[:-1]:
+    for line in text.split("\n")[:-1]:
         bare = line.strip()
+        if not bare or (bare[0].isalpha() and not line[0].isspace()):
+            continue
         if bare.startswith(("```", "~~~")):
             fenced = not fenced
-        elif not bare or fenced:
+        elif fenced:
             continue
         elif ITEM.match(line):
             seen.add((LIST, last_word(bare)))
@@ -279,28 +298,29 @@ def judge_ends(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     byte = piles.where("unit = 'bytes'").select("source", F.explode(F.sequence(F.col("length") - 3, F.col("length"))).alias("bytes")).distinct().withColumn(
         "_byte_pile", F.lit(True)
     )
+    limit = F.coalesce("_char_pile", F.lit(False)) | F.coalesce("_byte_pile", F.lit(False))
+    sized = cut(
+        ends.join(chars, ["source", "chars"], "left").join(byte, ["source", "bytes"], "left").withColumn("at_limit", limit)
+        .select("key", "source", "ending", "word", "form", "at_limit")
+    )
+    # Each branch joins only what it asks about, so rows that need no answer gather under no key.
+    decided = sized.where(sized["ending"].isin(*CUT_ENDINGS, *WHOLE_ENDINGS)).withColumn("cut", F.col("ending").isin(*CUT_ENDINGS))
+    lines = sized.where("ending = 'line'").join(forms, "form", "left").withColumn("cut", F.col("_forms").isNull() | F.col("at_limit"))
     asked = F.when(F.col("ending") == "ellipsis", F.lit(SENTENCE)).otherwise(F.col("ending"))
-    known = baseline.where(F.col("n") >= SEEN).where(~F.col("kind").isin(BEFORE, PAIR)).select(F.col("kind").alias("_kind"), "word", F.col("n").alias("_known"))
-    before = baseline.where(F.col("kind") == BEFORE).select(F.col("word").alias("form"), F.lit("ellipsis").alias("ending"), F.col("n").alias("_before"))
+    known = baseline.where((F.col("n") >= SEEN) & ~F.col("kind").isin(BEFORE, PAIR)).select(F.col("kind").alias("_kind"), "word", F.col("n").alias("_known"))
+    worded = sized.where(sized["ending"].isin("ellipsis", LIST, TITLE, SOURCE)).withColumn("_kind", asked).join(known, ["_kind", "word"], "left")
+    plain = worded.where("ending <> 'ellipsis'").withColumn("cut", F.col("at_limit") | F.col("_known").isNull())
+    before = baseline.where(F.col("kind") == BEFORE).select(F.col("word").alias("form"), F.col("n").alias("_before"))
     met = baseline.where(F.col("kind") == PAIR).select(F.col("word").alias("_pair"), F.lit(True).alias("_met"))
-    rows = (
-        ends.withColumn("_kind", asked)
-        .join(chars, ["source", "chars"], "left").join(byte, ["source", "bytes"], "left")
-        .join(known, ["_kind", "word"], "left").join(forms, "form", "left")
-        .withColumn("_pair", F.when(asked == SENTENCE, F.concat_ws(" ", "form", "word")))
-        .join(before, ["form", "ending"], "left").join(met, "_pair", "left")
-    )
+    dotted = worded.where("ending = 'ellipsis'").withColumn("_pair", F.concat_ws(" ", "form", "word")).join(before, "form", "left").join(met, "_pair", "left")
     never_met = F.col("_met").isNull() & (F.coalesce("_before", F.lit(0)) * F.col("_known") >= BY_CHANCE * max(n, 1))
-    limit = F.coalesce("_char_pile", F.lit(False)) | F.coalesce("_byte_pile", F.lit(False))
-    ending, seen = F.col("ending"), F.col("_known").isNotNull() & ~F.coalesce(never_met, F.lit(False))
-    is_cut = (
-        F.when(ending.isin("mark", "broken", "open"), F.lit(True))
-        .when(ending.isin("stop", "closed"), F.lit(False))
-        .when(ending == "line", F.col("_forms").isNull() | limit)
-        .otherwise(limit | ~seen)
-    )
+    dotted = dotted.withColumn("cut", F.col("at_limit") | F.col("_known").isNull() | never_met)
+    columns = ["key", "source", "ending", "at_limit", "cut"]
+    judged = decided.select(*columns)
+    for part in (lines, plain, dotted):
+        judged = judged.unionByName(part.select(*columns))
     name = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
-    return rows.select(F.col("key").alias(key), name.alias("source"), "ending", limit.alias("at_limit"), is_cut.alias("cut"))
+    return judged.select(F.col("key").alias(key), name.alias("source"), "ending", "at_limit", "cut")
 
 
 def source_report(docs: DataFrame, judged: DataFrame, source: str = "source") -> DataFrame:
