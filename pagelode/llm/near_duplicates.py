@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagelode.llm.distinctive import words_of
 from pagelode.llm.stage import BROADCAST_ROWS, anti_join, cut, first_delivery
 
-SEGMENTS, WIDTH = 10, 4
+SEGMENTS, WIDTH = 12, 4
 #: Hash functions; each gives a smallest and a largest value, so twice as many symbols. All of them give a
 #: bit of the sketch, 64 bits go with the index rows; the first SEGMENTS * WIDTH symbols are indexed.
 HASHES = 64
@@ -258,7 +258,7 @@ def near_duplicate_classes(
     A key counts once, by its earliest ``at``. ``rep`` is the smallest key with the same
     words; texts without a shingle (null, empty, short) are in neither table. Links hold
     for all members. Records as similar as the threshold share a variant with a
-    probability of 1 - (1 - s**4 - 4 (1-s) s**3)**10, 0.98 at a half and above 0.999 from 0.62 on.
+    probability of 1 - (1 - s**4 - 4 (1-s) s**3)**12, 0.99 at a half and above 0.999 from 0.6 on.
     """
     kind = records.schema[key].dataType.simpleString()
     whole = F.struct("c1", "c2", "symbols", "b0", "b1")
