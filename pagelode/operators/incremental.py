@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.operators.ordinal import running_sums
+
 
 def _pair(current: DataFrame, previous: DataFrame, how: str) -> DataFrame:
     cur = current.select("path", F.struct("mtime", "size").alias("_c"))
@@ -72,14 +74,9 @@ def replace_changed(index: DataFrame, fresh: DataFrame, touched: DataFrame, file
 
 def running_counters(chunks: DataFrame) -> DataFrame:
     """(batch_id, total_chunks, indexed_files) after each stored batch."""
-    from pyspark.sql.window import Window
-
     first = chunks.groupBy("file").agg(F.min("batch_id").alias("batch_id")).groupBy("batch_id").agg(F.count("*").alias("_f"))
     each = chunks.groupBy("batch_id").agg(F.count("*").alias("_n")).join(first, "batch_id", "left")
-    w = Window.orderBy("batch_id")  # one row a batch of 256 chunks
-    return each.select(
-        "batch_id", F.sum("_n").over(w).alias("total_chunks"), F.sum(F.coalesce("_f", F.lit(0))).over(w).alias("indexed_files")
-    )
+    return running_sums(each.withColumn("_f", F.coalesce("_f", F.lit(0))), "batch_id", {"total_chunks": "_n", "indexed_files": "_f"})
 
 
 def is_current(changed: DataFrame, status: str) -> bool:

@@ -28,3 +28,19 @@ def with_ordinal(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
         .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_in") - 1).cast("long"))
         .drop("_part", "_before", "_in")
     )
+
+
+def running_sums(df: DataFrame, order: str, values: dict[str, str], width: int = 4096) -> DataFrame:
+    """(order, sums): for every new name the sum of its column up to and with the row, by the integer column ``order``.
+
+    Two levels: a window within stretches of ``width`` order values, moved on by the
+    sums of the stretches before, so that only one row a stretch meets in one task.
+    ``order`` must be unique.
+    """
+    rows = df.select(order, *values.values()).withColumn("_stretch", F.floor(F.col(order) / width))
+    sums = rows.groupBy("_stretch").agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    w = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_stretch", *[F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)).alias(f"_{n}") for n in values])
+    within = Window.partitionBy("_stretch").orderBy(order)
+    numbered = rows.select(order, "_stretch", *[F.sum(v).over(within).alias(n) for n, v in values.items()])
+    return numbered.join(before, "_stretch").select(order, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in values])
