@@ -206,8 +206,9 @@ class TreeModel:
                 if parent >= 0:
                     shape[y, s] += 1
                     pair[labels[parent], y] += 1
-        root = np.full(n, 1e-9)
+        root = np.zeros(n)  # the page itself is plain, whatever it holds
         root[PLAIN] = 1.0
+        shape[FENCE, np.arange(len(SHAPES)) != SHAPE["fence"]] = 0  # and nothing else is a fence
         shape /= shape.sum(1, keepdims=True)
         shape[:, 0] = 1.0
         return cls(shape, pair / pair.sum(1, keepdims=True), root)
@@ -217,7 +218,8 @@ class TreeModel:
         own = self.shape[:, shape].T.copy()
         roots = parent < 0
         own[roots] *= self.root
-        up = np.log(own)
+        with np.errstate(divide="ignore"):
+            up = np.log(own)
         message = np.zeros_like(own)  # from a node to its parent, in logarithms
         deepest = int(depth.max(initial=0))
         for d in range(deepest, 0, -1):

@@ -16,7 +16,7 @@ def clustered(n, dims, seed, index, first=0):
 def brute(rows, dims, k):
     pairs = set()
     for index, d in dims.items():
-        own = {r[0]: r[2] for r in rows if r[1] == index and r[2] is not None and len(r[2]) == d and len(set(r[2])) > 1}
+        own = {r[0]: r[2] for r in rows if r[0] is not None and r[1] == index and r[2] is not None and len(r[2]) == d and len(set(r[2])) > 1}
         keys = np.array(sorted(own))
         if len(keys) < 2:
             continue
