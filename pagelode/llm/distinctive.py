@@ -14,10 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.llm.stage import cut
+
 RUN = re.compile(r"[^\W_]+")
+#: A term is hot from one record in so many on, and from so many records at least.
+HOT, HOT_RECORDS = 50, 10_000
+#: No words, since they begin with a blank: the number of records, of texts that are not null, and of their characters.
+RECORDS, TEXTS, CHARS = " records", " texts", " characters"
 #: Characters of text that are worked on at once.
 BLOCK_CHARS = 4_000_000
 
@@ -71,10 +78,18 @@ def record_graph(words: list[list[str]], window: int, least: int) -> tuple[np.nd
 
 
 def record_frequencies(records: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, df): in how many records each word occurs. Counts are summed up per batch before they are shuffled."""
+    """(term, df): in how many records each word occurs, and the sums under ``RECORDS``, ``TEXTS`` and ``CHARS``.
+
+    Counts are summed up per batch before they are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.num_rows - batch.column(1).null_count
+            chars = pc.sum(pc.utf8_length(batch.column(1))).as_py() or 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([RECORDS, TEXTS, CHARS], pa.string()), pa.array([batch.num_rows, texts, chars], pa.int64())], names=["term", "n"]
+            )
             for _, words, _ in _blocks(batch):
                 record, codes, distinct = _flat(words)
                 once = np.unique(record * max(len(distinct), 1) + codes) % max(len(distinct), 1)
@@ -117,9 +132,25 @@ def distinctive_terms(
     """
     if window < 2:
         raise ValueError("window must be at least 2")
-    df = record_frequencies(records, key, text)
+    df = cut(record_frequencies(records, key, text))
     graphs = term_graphs(records, key, text, window, least)
-    n, mean = records.agg(F.count("*"), F.avg(F.length(text))).first()
+    sums = {r["term"]: r["df"] for r in df.where(F.col("term").isin(RECORDS, TEXTS, CHARS)).collect()}  # three rows
+    n, mean = sums.get(RECORDS, 0), sums.get(CHARS, 0) / max(sums.get(TEXTS, 0), 1)
     norm = 1 - slope + slope * F.col("length") / F.lit(float(mean or 1.0))
     score = F.col("degree") / norm * F.log((F.lit(float(n)) + 1) / F.col("df"))
-    return graphs.join(df, "term").select(F.col("key").alias(key), "term", "tf", "degree", "df", score.alias("score"))
+    return _with_frequency(graphs, df, n).select(F.col("key").alias(key), "term", "tf", "degree", "df", score.alias("score"))
+
+
+def _with_frequency(graphs: DataFrame, df: DataFrame, records: int) -> DataFrame:
+    """The graphs with each term's df. Terms of very many records do not gather in one task.
+
+    A term that one record in ``HOT`` has is looked up in a broadcast table; it has at most
+    ``HOT`` times as many terms as a record has on average. Its rows then meet the other
+    terms' table under a key that is spread by the record and matches nothing.
+    """
+    hot = df.where(F.col("df") >= max(HOT_RECORDS, records // HOT)).select("term", F.col("df").alias("_hot"))
+    known = graphs.join(F.broadcast(hot), "term", "left")
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("key"), F.lit(4096)).cast("string"))
+    keyed = known.withColumn("_at", F.when(F.col("_hot").isNull(), F.col("term")).otherwise(spread))
+    joined = keyed.join(df.select(F.col("term").alias("_at"), F.col("df").alias("_df")), "_at", "left")
+    return joined.withColumn("df", F.coalesce("_hot", "_df")).drop("_at", "_hot", "_df")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelode.llm.stage import anti_join, cut
+from pagelode.llm.stage import BROADCAST_ROWS, anti_join, cut
 
 #: Vectors per index on which centres are fitted, and the most centres: both bound what the driver holds and sends.
 SAMPLE, CENTRES = 6_000, 1_024
@@ -40,7 +40,8 @@ WINDOW, GROWTH, LEVELS, THRESHOLD = 0.5, 1.5, 3, 31
 
 def usable(vectors: DataFrame, indexes: DataFrame) -> DataFrame:
     """Rows whose vector has its index's dimensions and more than one value."""
-    dims = indexes.where(F.col("index_id").isNotNull()).groupBy("index_id").agg(F.max("dimensions").alias("_d"))
+    dims = cut(indexes.where(F.col("index_id").isNotNull()).groupBy("index_id").agg(F.max("dimensions").alias("_d")))
+    dims = F.broadcast(dims) if dims.count() <= BROADCAST_ROWS else dims  # one row an index
     v = F.col("vector")
     return vectors.where(F.col("chunk_id").isNotNull()).join(dims, "index_id").where(
         v.isNotNull() & (F.size(v) == F.col("_d")) & (F.array_min(v) != F.array_max(v))

@@ -28,10 +28,24 @@ def first_delivery(df: DataFrame, key: str, at: str, columns: list[str]) -> Data
     """One row per key: the columns of its earliest delivery.
 
     Null keys are left out; a null time counts as the latest; ties go to the smallest
-    row, so the result is the same on every run. Map-side aggregation keeps a key that
-    was delivered very often from gathering in one task.
+    row hash, so the result is the same on every run. The keys that were delivered more
+    than once are found by their keys alone; while they are few enough to broadcast, only
+    their rows are shuffled and all others pass as they are. Map-side aggregation keeps a
+    key that was delivered very often from gathering in one task.
     """
+    rows = df.where(F.col(key).isNotNull())
+    again = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    few = again.count()
+    if few > BROADCAST_ROWS:
+        return _earliest(rows, key, at, columns)
+    once = rows.select(key, *columns)
+    if few == 0:
+        return once
+    several = rows.select(key, at, *columns).join(F.broadcast(again), key, "left_semi")
+    return once.join(F.broadcast(again), key, "left_anti").unionByName(_earliest(several, key, at, columns))
+
+
+def _earliest(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
     row = F.struct(*[F.col(c) for c in columns])
     order = F.struct(F.col(at).isNull(), F.col(at), *[F.xxhash64(F.col(c)) for c in columns])
-    picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, order).alias("_row"))
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    return rows.groupBy(key).agg(F.min_by(row, order).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])

@@ -48,6 +48,14 @@ def test_least_only_leaves_rows_out(spark):
     assert some == {k: v for k, v in full.items() if v[2] >= 3} and (1, "alpha") in some
 
 
+def test_hot_terms_give_the_same(spark, monkeypatch):
+    rows = ROWS + [(100 + i, f"alpha common word{i % 7} common", "x") for i in range(60)]
+    view = lambda: sorted(map(tuple, d.distinctive_terms(frame(spark, rows), "id").collect()))
+    plain = view()
+    monkeypatch.setattr(d, "HOT_RECORDS", 5)
+    assert view() == plain
+
+
 def test_words():
     assert d.words_of("A_b-1c'D") == ["a", "b", "1c", "d"]
     assert d.words_of("İX") == ["i̇x"]
