@@ -245,7 +245,7 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2)
         return pa.table({"index_id": index, "chunk_id": q.astype(np.int64), "neighbour": x.astype(np.int64), "cosine": c.astype(np.float64)})
 
     found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double")
-    near = _best(found.distinct(), k)
+    near = _best(found.repartition("index_id", "chunk_id").distinct(), k)  # one shuffle for both steps
     if n_tail:
         # All copies beyond the first k + 1 have the k smallest ones as neighbours, at cosine 1.
         heads = chosen.where(F.col("_place") <= k).select("index_id", "_h", F.col("chunk_id").alias("neighbour"))
