@@ -14,6 +14,10 @@ from pagelode.functions.text import WORD_RE, keyword_score, query_terms, saturat
 from pagelode.functions.vectors import cosine_float, cosine_int, is_nonzero, l2_norm
 
 
+#: Query words up to which their parts of a score are kept in columns of their own.
+SLOTS = 16
+
+
 def _check_k(k: int) -> None:
     if k < 0:
         raise ValueError("k must not be negative")
@@ -75,11 +79,14 @@ def keyword_hits_batch(
     """(query_id, key, kw) for a table of queries (query_id, ``query``)."""
     asked = queries.select("query_id", F.posexplode(query_terms(F.col(query))).alias("_pos", "term"))
     hits = substring_postings(docs, asked, key, text)
-    parts = asked.join(hits, "term").withColumn("_part", F.struct("_pos", saturation(F.col("count")).alias("_s")))
-    ordered = F.array_sort(F.collect_list("_part"))  # one entry a query word, added up in their order
-    return parts.groupBy("query_id", key).agg(
-        F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x["_s"]).alias("kw")
-    )
+    parts = asked.join(hits, "term").withColumn("_s", saturation(F.col("count")))
+    longest = asked.agg(F.max("_pos")).first()[0]
+    if longest is not None and longest < SLOTS:
+        # One slot a query word: plain numbers aggregate faster than lists.
+        slots = [F.coalesce(F.max(F.when(F.col("_pos") == i, F.col("_s"))), F.lit(0.0)) for i in range(longest + 1)]
+        return parts.groupBy("query_id", key).agg(sum(slots, F.lit(0.0)).alias("kw"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_s")))  # one entry a query word, added up in their order
+    return parts.groupBy("query_id", key).agg(F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x["_s"]).alias("kw"))
 
 
 def _seeds(hits: DataFrame, key: str) -> DataFrame:
@@ -147,19 +154,22 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str =
 
 def vector_topk_batch(
     vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "vector",
-    score=cosine_int, blocks: int = 8,
+    score=cosine_int, blocks: int | None = None,
 ) -> DataFrame:
     """(query_id, key, score, rank): a stated query set against all rows, in blocks.
 
-    Queries (query_id, qvec) are dealt to ``blocks`` blocks and every vector goes to
-    each block once; a pair meets by the block's equality join. The k best of a query
-    are kept per partition before the last shuffle.
+    Queries (query_id, qvec) are dealt to ``blocks`` blocks (a shuffle's partitions unless
+    given) and every vector goes to each block once; a pair meets by the block's equality
+    join. The k best of a query are kept per partition before the last shuffle.
     """
     _check_k(k)
+    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = queries.select("query_id", "qvec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"))
     sent = vectors.select(
         F.col(key).alias(key), F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
     ).where(F.col("_v").isNotNull())
-    pairs = sent.join(dealt, "_block").select("query_id", key, score(F.col("qvec"), F.col("_v")).alias("score"))
+    # A stated number of partitions, since few bytes here mean much work.
+    met = sent.repartition(blocks, "_block").join(dealt.repartition(blocks, "_block"), "_block")
+    pairs = met.select("query_id", key, score(F.col("qvec"), F.col("_v")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -50,6 +50,13 @@ def test_single_and_batch_agree_with_brute_force(spark, docs, vectors, query):
         assert [g[1:] for g in got] == [pytest.approx(w[1:]) for w in want]
 
 
+def test_long_queries_use_lists(spark, docs, monkeypatch):
+    asked = spark.createDataFrame([(1, "beta alpha beta soup"), (2, "gamma")], "query_id long, query string")
+    slots = sorted(map(tuple, s.keyword_hits_batch(docs, asked).collect()))
+    monkeypatch.setattr(s, "SLOTS", 1)
+    assert sorted(map(tuple, s.keyword_hits_batch(docs, asked).collect())) == slots and len(slots) == 4
+
+
 def test_single_hit_keeps_raw_score(docs, vectors):
     assert [r["score"] for r in s.hybrid_search(docs, vectors, "gamma gamma gamma", 5).collect()] == [pytest.approx(1.2)]
 
