@@ -3,14 +3,17 @@
 Each vector is projected on single random lines, and each line's values are kept as
 one sorted array. Around a query's own value a window is opened on every line; a
 vector that lies in enough of the windows has collided often enough to be verified by
-its exact cosine. Windows that yield too few candidates are widened and counted again
-(virtual rehashing): widening is a wider range of the same sorted array, nothing is
-hashed anew.
+its exact cosine. A window is wide enough if it yields enough candidates and the k-th
+cosine found lies within the distance at which a vector is sure to collide often
+enough; else it is widened and counted again (virtual rehashing): widening is a wider
+range of the same sorted array, nothing is hashed anew. The last level is exact.
 
 Counting collisions against all vectors is quadratic, so it is done within cells. The
 centres of an index's cells are fitted on a bounded sample; every vector goes to the
 ``copies`` cells whose centres are nearest, and neighbours found in either cell are
-merged. A cell that is still large is divided again, where it is worked on.
+merged. A cell that is still large is divided again, where it is worked on. A vector
+whose k-th neighbour lies farther off than its cells are sure to hold is compared with
+all vectors of its index.
 
 Vectors that are exact copies are counted once up to ``k`` + 1 times: the copies with
 the smallest keys are the neighbours of all others, so a vector that a third of all
@@ -36,6 +39,12 @@ CELL_ROWS, SPLIT_ROWS = 400, 4_000
 LINES = 64
 #: Half window on the first level and its growth; collisions that make a candidate.
 WINDOW, GROWTH, LEVELS, THRESHOLD = 0.5, 1.5, 3, 31
+#: At a distance of half / SURE a window holds a vector on 65 % of the lines: THRESHOLD is 2.8 standard deviations less.
+SURE = 0.935
+#: Standard deviations that a neighbour's way towards another cell is taken to be above its mean in a random direction.
+STRAY = 2.0
+#: Bytes of vectors that are compared with all others in one pass; bounds what the driver holds and sends.
+PASS_BYTES = 16 << 20
 
 
 def usable(vectors: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -83,6 +92,29 @@ def nearest_centres(unit: np.ndarray, centres: np.ndarray, copies: int) -> np.nd
     return np.argpartition(-sims, copies - 1, axis=1)[:, :copies]
 
 
+def reach(unit: np.ndarray, centres: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Up to which distance a row's neighbours are taken to share one of its cells.
+
+    With two cells each, a vector shares none only if two other centres are nearer to it
+    than the row's own nearest, so it lies beyond two of the planes half way to other
+    centres. How far it goes towards a plane is its distance times a random direction's share.
+    """
+    copies = home.shape[1]
+    if len(centres) < 2 * copies:
+        return np.full(len(unit), 9.0, dtype=np.float32)  # any two choices of cells have one in common
+    sims = unit @ centres.T
+    own = np.argmax(sims, axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-9))
+    to_plane = (sims[np.arange(len(unit)), own][:, None] - sims) / apart[own]
+    np.put_along_axis(to_plane, home, np.inf, axis=1)
+    beyond = np.partition(to_plane, copies - 1, axis=1)[:, copies - 1]
+    return (beyond * max(1.0, np.sqrt(unit.shape[1]) / STRAY)).astype(np.float32)
+
+
+def distance(cosine: np.ndarray | float) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * np.asarray(cosine), 0))
+
+
 def lines(dims: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng([seed, dims]).standard_normal((dims, LINES)).astype(np.float32)
 
@@ -105,6 +137,20 @@ def count_collisions(values: np.ndarray, who: np.ndarray, half: float) -> np.nda
     return hits
 
 
+#: Rounding of a product of unit vectors; what is so near to the k-th best is told by the exact cosine.
+SLACK = 1e-5
+
+
+def _cosines(a: np.ndarray, a_norms: np.ndarray, row: np.ndarray, b: np.ndarray, b_norms: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Exact cosines of pairs of rows."""
+    cosine = np.empty(len(row))
+    for part in range(0, len(row), 60_000):
+        i, j = row[part : part + 60_000], other[part : part + 60_000]
+        dot = np.einsum("ij,ij->i", a[i], b[j]).astype(np.float64)
+        cosine[part : part + 60_000] = dot / np.sqrt(a_norms[i] * b_norms[j])
+    return cosine
+
+
 def neighbours_in_cell(keys: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, neighbour row, cosine) of up to k neighbours for every row of one cell."""
     n = len(keys)
@@ -112,56 +158,64 @@ def neighbours_in_cell(keys: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     exact = codes.astype(np.float32)  # integer sums below 2**24 are exact in float32
     norms = np.einsum("ij,ij->i", exact, exact).astype(np.float64)
-    values = (exact / np.sqrt(norms)[:, None].astype(np.float32)) @ lines(codes.shape[1])
+    unit = exact / np.sqrt(norms)[:, None].astype(np.float32)
+    values = unit @ lines(codes.shape[1])
+    need = min(k, n - 1)
     out_q, out_n, out_c = [], [], []
     block = max(1, min(n, 8_000_000 // n))
     for at in range(0, n, block):
         who = np.arange(at, min(at + block, n))
-        half = WINDOW
-        for level in range(LEVELS + 1):
-            if level == LEVELS:  # the widest window holds everything
-                q, x = np.repeat(np.arange(len(who)), n), np.tile(np.arange(n), len(who))
-            else:
+        half, level = WINDOW, 0
+        while len(who):
+            if level < LEVELS:
                 q, x = np.nonzero(count_collisions(values, who, half) >= THRESHOLD)
+                if 4 * len(q) > len(who) * n:  # a window that takes so many costs more than the exact level
+                    level = LEVELS
+            if level >= LEVELS:  # every vector is a candidate; the k-th best is told by a product
+                sims = unit[who] @ unit.T
+                sims[np.arange(len(who)), who] = -9
+                q, x = np.nonzero(sims >= np.partition(sims, n - need, axis=1)[:, [n - need]] - SLACK)
+                del sims
             keep = who[q] != x
             q, x = q[keep], x[keep]
-            found = np.bincount(q, minlength=len(who))
-            enough = found >= min(k, n - 1)
-            take = enough[q]
-            row, other = who[q[take]], x[take]
-            cosine = np.empty(len(row))
-            for part in range(0, len(row), 60_000):
-                a, b = row[part : part + 60_000], other[part : part + 60_000]
-                dot = np.einsum("ij,ij->i", exact[a], exact[b]).astype(np.float64)
-                cosine[part : part + 60_000] = dot / np.sqrt(norms[a] * norms[b])
+            take = (np.bincount(q, minlength=len(who)) >= need)[q]
+            row, other = q[take], x[take]
+            cosine = _cosines(exact, norms, who[row], exact, norms, other)
             order = np.lexsort((keys[other], -cosine, row))
             row, other, cosine = row[order], other[order], cosine[order]
             place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-            best = place < k
-            out_q.append(row[best]), out_n.append(other[best]), out_c.append(cosine[best])
-            who = who[~enough]
-            if not len(who):
-                break
-            half *= GROWTH
+            last = place == need - 1
+            done = np.zeros(len(who), dtype=bool)
+            done[row[last]] = (level >= LEVELS) | (distance(cosine[last]) <= half / SURE)
+            best = (place < k) & done[row]
+            out_q.append(who[row[best]]), out_n.append(other[best]), out_c.append(cosine[best])
+            who = who[~done]
+            half, level = half * GROWTH, level + 1
     return np.concatenate(out_q), np.concatenate(out_n), np.concatenate(out_c)
 
 
-def _divide(keys: np.ndarray, codes: np.ndarray, k: int, copies: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query keys, neighbour keys, cosines), dividing a large cell first."""
+def _divide(
+    keys: np.ndarray, codes: np.ndarray, k: int, copies: int, depth: int = 0, sure: np.ndarray | None = None, at: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query keys, neighbour keys, cosines), dividing a large cell first.
+
+    ``sure``, at the positions ``at``, is lowered to the ``reach`` of the divided cells.
+    """
     if len(keys) > SPLIT_ROWS and depth < 6:
         unit = _unit(codes)
         sample = unit[np.random.default_rng(depth).choice(len(unit), min(len(unit), SAMPLE), replace=False)]
         centres = fit_centres(sample, min(CENTRES, len(keys) // CELL_ROWS), seed=depth)
         home = nearest_centres(unit, centres, copies)
-        del unit
-        for c in range(len(centres)):
-            inside = np.nonzero((home == c).any(axis=1))[0]
-            if 0 < len(inside) < len(keys):
-                yield from _divide(keys[inside], codes[inside], k, copies, depth + 1)
-            elif len(inside):
-                yield from _whole(keys, codes, k)
-                return
-        return
+        cells = [np.nonzero((home == c).any(axis=1))[0] for c in range(len(centres))]
+        if max(map(len, cells)) < len(keys):
+            at = np.arange(len(keys)) if at is None else at
+            if sure is not None:
+                sure[at] = np.minimum(sure[at], reach(unit, centres, home))
+            del unit
+            for inside in cells:
+                if len(inside):
+                    yield from _divide(keys[inside], codes[inside], k, copies, depth + 1, sure, at[inside])
+            return
     yield from _whole(keys, codes, k)
 
 
@@ -183,7 +237,7 @@ def sample_units(rows: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarra
 
 
 def _to_cells(rows: DataFrame, centres: dict[int, np.ndarray], copies: int) -> DataFrame:
-    """(index_id, cell, chunk_id, code): each vector once for each of its nearest cells."""
+    """(index_id, cell, chunk_id, code, sure): each vector once for each of its nearest cells; sure is its ``reach``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,18 +245,20 @@ def _to_cells(rows: DataFrame, centres: dict[int, np.ndarray], copies: int) -> D
             for i in np.unique(index):
                 at = np.nonzero(index == i)[0]
                 codes = _matrix(batch.column(2).take(pa.array(at)))
-                home = nearest_centres(_unit(codes), centres[int(i)], copies)
+                unit = _unit(codes)
+                home = nearest_centres(unit, centres[int(i)], copies)
+                sure = reach(unit, centres[int(i)], home)
                 row = np.repeat(np.arange(len(at)), home.shape[1])
                 blob = pa.array([r.tobytes() for r in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(row), i, dtype=np.int32)), pa.array(home.ravel().astype(np.int32)),
-                        batch.column(1).take(pa.array(at[row])), blob.take(pa.array(row)),
+                        batch.column(1).take(pa.array(at[row])), blob.take(pa.array(row)), pa.array(sure[row]),
                     ],
-                    names=["index_id", "cell", "chunk_id", "code"],
+                    names=["index_id", "cell", "chunk_id", "code", "sure"],
                 )
 
-    return rows.select("index_id", "chunk_id", "vector").mapInArrow(run, "index_id int, cell int, chunk_id bigint, code binary")
+    return rows.select("index_id", "chunk_id", "vector").mapInArrow(run, "index_id int, cell int, chunk_id bigint, code binary, sure float")
 
 
 def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2) -> DataFrame:
@@ -239,13 +295,17 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2)
         keys = table.column("chunk_id").to_numpy()
         keys, first = np.unique(keys, return_index=True)  # repeated rows meet in their cell
         codes = _matrix(table.column("code").combine_chunks().take(pa.array(first)))
-        parts = list(_divide(keys, codes, k, copies))
+        sure = table.column("sure").to_numpy()[first]
+        parts = list(_divide(keys, codes, k, copies, sure=sure))
         q, x, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
+        sure = sure[np.searchsorted(keys, q)]
         index = np.full(len(q), table.column("index_id")[0].as_py(), dtype=np.int32)
-        return pa.table({"index_id": index, "chunk_id": q.astype(np.int64), "neighbour": x.astype(np.int64), "cosine": c.astype(np.float64)})
+        return pa.table({"index_id": index, "chunk_id": q.astype(np.int64), "neighbour": x.astype(np.int64), "cosine": c.astype(np.float64), "sure": sure.astype(np.float32)})
 
-    found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double")
-    near = _best(found.repartition("index_id", "chunk_id").distinct(), k)  # one shuffle for both steps
+    found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
+    once = found.repartition("index_id", "chunk_id").groupBy("index_id", "chunk_id", "neighbour", "cosine").agg(F.min("sure").alias("sure"))
+    near = cut(_best(once, k))  # one shuffle for both steps
+    near = _search_all(near, kept, k)
     if n_tail:
         # All copies beyond the first k + 1 have the k smallest ones as neighbours, at cosine 1.
         heads = chosen.where(F.col("_place") <= k).select("index_id", "_h", F.col("chunk_id").alias("neighbour"))
@@ -255,6 +315,75 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2)
     return near
 
 
+def _search_all(near: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """``near`` without ``sure``, with better neighbours of the vectors whose cells may not hold all that are near enough.
+
+    These are compared with all vectors of their index, in passes of at most about ``PASS_BYTES``.
+    """
+    kth = near.groupBy("index_id", "chunk_id").agg(F.count("*").alias("_n"), F.min("cosine").alias("floor"), F.min("sure").alias("_sure"))
+    unsure = cut(kth.where((F.col("_n") == k) & (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("_sure"))).select("chunk_id", "floor"))
+    near, n = near.drop("sure"), unsure.count()
+    if not n:
+        return near
+    asked = kept.select("index_id", "chunk_id", "vector").join(F.broadcast(unsure) if n <= BROADCAST_ROWS else unsure, "chunk_id")
+    asked = cut(asked.dropDuplicates(["chunk_id"]))
+    size = asked.agg(F.sum(F.size("vector"))).first()[0]
+    passes = -(-size // PASS_BYTES)
+    found = [near]
+    for i in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(passes)) == i).select("index_id", "chunk_id", "floor", "vector").toArrow()
+        if len(part):
+            found.append(cut(_compare(kept, part, k)))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return _best(every.repartition("index_id", "chunk_id").distinct(), k)
+
+
+def _compare(kept: DataFrame, part: pa.Table, k: int) -> DataFrame:
+    """(index_id, chunk_id, neighbour, cosine): all vectors at least as near to one of ``part`` as its floor."""
+    index = part.column("index_id").to_numpy()
+    queries = {}
+    for i in np.unique(index):
+        at = pa.array(np.nonzero(index == i)[0])
+        own = part.take(at)
+        queries[int(i)] = own.column("chunk_id").to_numpy(), own.column("floor").to_numpy(), _matrix(own.column("vector").combine_chunks())
+    sent = kept.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = {}
+        for batch in batches:
+            index = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in np.unique(index):
+                if int(i) not in sent.value:
+                    continue
+                if i not in ready:
+                    keys, floor, codes = sent.value[int(i)]
+                    ready[i] = keys, floor.astype(np.float32), codes.astype(np.float32), _unit(codes)
+                keys, floor, exact, unit = ready[i]
+                norms = np.einsum("ij,ij->i", exact, exact).astype(np.float64)
+                at = np.nonzero(index == i)[0]
+                others = batch.column(1).to_numpy(zero_copy_only=False)[at]
+                rows = _matrix(batch.column(2).take(pa.array(at))).astype(np.float32)
+                row_norms = np.einsum("ij,ij->i", rows, rows).astype(np.float64)
+                across = (rows / np.sqrt(row_norms)[:, None].astype(np.float32)).T
+                step = max(1, 4_000_000 // len(at))
+                for s in range(0, len(keys), step):
+                    q, x = np.nonzero(unit[s : s + step] @ across >= floor[s : s + step, None] - SLACK)
+                    q = q + s
+                    keep = keys[q] != others[x]
+                    q, x = q[keep], x[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(q), i, dtype=np.int32)), pa.array(keys[q].astype(np.int64)),
+                            pa.array(others[x].astype(np.int64)), pa.array(_cosines(exact, norms, q, rows, row_norms, x)),
+                        ],
+                        names=["index_id", "chunk_id", "neighbour", "cosine"],
+                    )
+
+    return kept.select("index_id", "chunk_id", "vector").mapInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("index_id", "chunk_id").orderBy(F.desc("cosine"), F.asc("neighbour"))
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

@@ -63,6 +63,31 @@ def test_large_cell_is_divided(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def spread(n, dims, seed, share):
+    """Vectors whose neighbours are as little alike as ``share`` of a common direction and chance make them."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(1, n // 10), dims))
+    v = share * centres[rng.integers(len(centres), size=n)] + rng.normal(size=(n, dims))
+    return np.clip(np.rint(v * 30), -128, 127).astype(np.int8)
+
+
+@pytest.mark.parametrize("dims, share", [(64, 0.0), (64, 0.8), (48, 1.1), (64, 1.25)])
+def test_neighbours_that_are_little_alike(dims, share):
+    x = spread(1500, dims, 4, share)
+    want = brute([(i, 1, r.tolist(), None, 0) for i, r in enumerate(x)], {1: dims}, 5)
+    q, n, _ = nb.neighbours_in_cell(np.arange(len(x)), x, 5)
+    got = {(int(min(a, b)), int(max(a, b))) for a, b in zip(q, n)}
+    assert len(got & want) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_little_alike_across_cells(spark, share):
+    rows = [(i, 1, r.tolist(), None, 0) for i, r in enumerate(spread(4000, 64, 9, share))]
+    want, got = brute(rows, {1: 64}, 5), found(spark, rows, {1: 64})
+    assert len(got) == len(set(got))
+    assert len(want & set(got)) >= 0.98 * len(want)
+
+
 def test_collisions_count_windows():
     values = np.array([[0.0, 0.0], [0.4, 5.0], [0.6, 0.1]], dtype=np.float32)
     assert nb.count_collisions(values, np.arange(3), 0.5).tolist() == [[2, 1, 1], [1, 2, 1], [1, 1, 2]]
