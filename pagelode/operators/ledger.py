@@ -134,8 +134,8 @@ def latest_listing(source_files: DataFrame) -> DataFrame:
     return ok.groupBy("path").agg(best).select("path", "_l.mtime", "_l.size")
 
 
-def run_events(file_records: DataFrame, index_runs: DataFrame, index_batches: DataFrame) -> DataFrame:
-    """The log of runs as ledger events, one row per path: (path, mtime, size, has_record, stored, token, open_token).
+def run_log(file_records: DataFrame, index_runs: DataFrame, index_batches: DataFrame) -> DataFrame:
+    """What the log of runs says of each path: (path, mtime, size, has_record, stored, token, open_token).
 
     A run is an attempt and its run_id the fencing token. A record of a complete run
     is that attempt's commit; one of a run that never ended is a lease without commit,
@@ -171,28 +171,61 @@ def run_events(file_records: DataFrame, index_runs: DataFrame, index_batches: Da
     )
 
 
+def file_version(mtime: Column, size: Column) -> Column:
+    """A file's version: equal numbers, 0 and -0 too, give equal versions."""
+    return version_of(mtime.cast("double") + F.lit(0.0), size.cast("long"))
+
+
+def run_events(log: DataFrame) -> DataFrame:
+    """A ``run_log`` as rows of ``EVENTS``.
+
+    The record that counts is a lease of its version under its run's token, and done
+    if its batches are stored. A record of a run that never ended is a lease that has
+    run out; it names no version, so it unseats no commit, but its token stays used.
+    """
+    def event(kind: str, version: Column, token: Column) -> Column:
+        values = {"item": F.col("path"), "version": version, "kind": F.lit(kind), "token": token, "worker": F.lit(None), "at": F.lit(None), "until": F.lit(None)}
+        return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in EVENTS])
+
+    version = file_version(F.col("mtime"), F.col("size"))
+    rows = F.array_compact(F.array(
+        F.when(F.col("has_record"), event("leased", version, F.col("token"))),
+        F.when(F.col("stored"), event("done", version, F.col("token"))),
+        F.when(F.col("open_token").isNotNull(), event("leased", F.lit(None).cast("string"), F.col("open_token"))),
+    ))
+    return log.select(F.explode(rows).alias("_e")).select("_e.*")
+
+
 def plan_run(
-    source_files: DataFrame, file_records: DataFrame, index_runs: DataFrame, index_batches: DataFrame
+    source_files: DataFrame, file_records: DataFrame, index_runs: DataFrame, index_batches: DataFrame,
+    events: DataFrame | None = None, now: float = 0.0,
 ) -> DataFrame:
     """Every listed file's ledger state: (path, mtime, size, state, reason, token, next_token).
 
-    ``done`` files carry no reason. A ``pending`` file is new, changed or lost its
-    batches; ``expired`` marks one whose newer lease never committed. ``next_token``
-    is above every token that the path ever had, so a late writer of an older run is rejected.
-    Paths that are no longer listed are no work and give no row.
+    The state is folded from the run log's events and from ``events``, those of a
+    ``WorkLedger`` whose items are paths and whose versions are ``file_version``; with
+    them a file that a worker holds at ``now`` is ``leased``. ``done`` files carry no
+    reason. Others are new, changed or lost their batches; ``expired`` marks one whose
+    newer lease never committed. ``next_token`` is above every token that the path ever
+    had, so a late writer of an older run is rejected. Paths that are no longer listed
+    are no work and give no row.
     """
-    listing = latest_listing(source_files).withColumnRenamed("mtime", "_m").withColumnRenamed("size", "_s")
-    both = listing.join(run_events(file_records, index_runs, index_batches), "path", "left")
-    differs = ~F.col("_m").eqNullSafe(F.col("mtime")) | ~F.col("_s").eqNullSafe(F.col("size"))
+    listing = latest_listing(source_files).withColumn("version", file_version(F.col("mtime"), F.col("size"))).withColumnRenamed("mtime", "_m").withColumnRenamed("size", "_s")
+    log = run_log(file_records, index_runs, index_batches)
+    every = run_events(log) if events is None else run_events(log).unionByName(events)
+    states = fold_states(listing.select(F.col("path").alias("item"), "version"), every, now)
+    states = states.select(F.col("item").alias("path"), "state", F.col("token").alias("_top"))
+    both = listing.join(states, "path").join(log, "path", "left")
+    differs = F.col("version") != file_version(F.col("mtime"), F.col("size"))
     reason = (
-        F.when(F.coalesce(F.col("has_record"), F.lit(False)) == F.lit(False),
-               F.when(F.col("open_token").isNotNull(), F.lit("expired")).otherwise(F.lit("new")))
+        F.when(F.col("state") == "done", F.lit(None).cast("string"))
+        .when(F.coalesce(F.col("has_record"), F.lit(False)) == F.lit(False),
+              F.when(F.col("open_token").isNotNull(), F.lit("expired")).otherwise(F.lit("new")))
         .when(differs, F.lit("changed"))
         .when(~F.col("stored"), F.lit("unstored"))
+        .otherwise(F.lit("expired"))
     )
-    used = F.greatest(F.coalesce("token", F.lit(0)), F.coalesce("open_token", F.lit(0)))
     return both.select(
-        "path", F.col("_m").alias("mtime"), F.col("_s").alias("size"),
-        F.when(reason.isNull(), F.lit("done")).otherwise(F.lit("pending")).alias("state"),
-        reason.alias("reason"), "token", (used + 1).cast("long").alias("next_token"),
+        "path", F.col("_m").alias("mtime"), F.col("_s").alias("size"), "state",
+        reason.alias("reason"), "token", (F.col("_top") + 1).cast("long").alias("next_token"),
     )

@@ -72,3 +72,25 @@ def test_plan_run_empty(spark):
     files, records, runs, batches = tables(spark)
     assert lg.plan_run(files.limit(0), records, runs, batches).count() == 0
     assert {r["reason"] for r in lg.plan_run(files, records.limit(0), runs.limit(0), batches.limit(0)).collect()} == {"new"}
+
+
+def test_plan_run_folds_events(spark):
+    log = lg.run_log(*tables(spark)[1:])
+    events = lg.run_events(log)
+    assert events.schema.names == lg.EVENTS.names
+    got = sorted((r["item"], r["kind"], r["token"]) for r in events.where("item IN ('lost', 'open', 'retried')").collect())
+    assert got == [("lost", "leased", 1), ("open", "leased", 2), ("retried", "done", 3), ("retried", "leased", 3)]
+
+
+def test_plan_run_knows_running_leases(spark):
+    files = tables(spark)
+    items = lg.latest_listing(files[0]).select(F.col("path").alias("item"), lg.file_version(F.col("mtime"), F.col("size")).alias("version"))
+    held = items.where("item = 'new'").select(
+        "item", "version", F.lit("leased").alias("kind"), F.lit(9).cast("long").alias("token"), F.lit("w").alias("worker"),
+        F.lit(1.0).alias("at"), F.lit(5.0).alias("until"),
+    )
+    done = held.withColumn("kind", F.lit("done")).withColumn("until", F.lit(None).cast("double"))
+    for now, events, state in ((2.0, held, "leased"), (6.0, held, "pending"), (6.0, held.unionByName(done), "done")):
+        row = {r["path"]: r for r in lg.plan_run(*files, events=events, now=now).collect()}
+        assert (row["new"]["state"], row["new"]["next_token"]) == (state, 10)
+        assert (row["same"]["state"], row["open"]["state"], row["touched"]["state"]) == ("done", "pending", "pending")
