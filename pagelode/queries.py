@@ -376,6 +376,14 @@ def hybrid_ternary(spark, sf):
     return _hybrid(spark, sf, vx.ternary)
 
 
+@query(hybrid_sql("codes", 10, "documents"))
+def hybrid_batch_all(spark, sf):
+    """All documents, most of them without a vector: their hits keep the raw keyword score."""
+    _, vectors = hybrid_corpus(spark, sf)
+    hits = search.hybrid_search_batch(table(spark, sf, "documents"), vectors, title_queries(spark, sf), 10)
+    return hits.select("query_id", "doc_id", "kw", "score", "rank")
+
+
 def one_query_sql(terms: list[str], corpus: str, k: int) -> str:
     kw = " + ".join(["0.0"] + [saturate_sql(count_sql(LOW, f"'{t}'")) for t in terms])
     return f"""WITH {QUANT_SQL}, v AS (SELECT vec_id AS doc_id, codes AS v FROM codes),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelode.operators import search as s
+from pagelode.queries import QUERIES
 
 DOCS = [(0, "Alpha beta alpha", "e"), (1, "alphabet soup", "e"), (2, "gamma", "e"), (3, None, "e"), (4, "", "e"), (5, "BETA beta beta beta", "e")]
 
@@ -90,3 +91,11 @@ def test_empty_tables(spark, docs, vectors):
     asked = spark.createDataFrame([(1, "alpha"), (2, None), (3, "")], "query_id long, query string")
     assert s.hybrid_search_batch(none, vectors, asked).count() == 0
     assert {r["query_id"] for r in s.hybrid_search_batch(docs, vectors.limit(0), asked).collect()} == {1}
+
+
+def test_batch_over_documents_without_vectors(spark, tmp_path):
+    docs = [(50, "alpha beta gamma", "en", "a"), (1, "alpha beta", "en", "a"), (2, "alpha", "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(50, [0.1, 0.9], 1), (1, [0.2, 0.7], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["doc_id"] for r in QUERIES["hybrid_batch_all"](spark, str(tmp_path)).collect()} == {50, 1, 2}
+    assert {r["doc_id"] for r in QUERIES["hybrid_search_batch"](spark, str(tmp_path)).collect()} == {50, 1}
