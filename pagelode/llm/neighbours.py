@@ -264,8 +264,7 @@ def _to_cells(rows: DataFrame, centres: dict[int, np.ndarray], copies: int) -> D
 def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2) -> DataFrame:
     """(index_id, chunk_id, neighbour, cosine): up to k most similar vectors of the same index for every usable vector.
 
-    Ties go to the smaller key, and a vector has all others where there are fewer than k
-    in reach. Repeated rows count once; where one key has several vectors, the earliest
+    Ties go to the smaller key, and a vector has all others of its index where these are fewer than k. Repeated rows count once; where one key has several vectors, the earliest
     embedded_at holds. Unusable vectors (null, wrong length, one repeated value) give no row.
     """
     rows = usable(vectors, indexes).withColumn("_h", F.xxhash64("vector"))
@@ -305,7 +304,7 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2)
     found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
     once = found.repartition("index_id", "chunk_id").groupBy("index_id", "chunk_id", "neighbour", "cosine").agg(F.min("sure").alias("sure"))
     near = cut(_best(once, k))  # one shuffle for both steps
-    near = _search_all(near, kept, k)
+    near = _search_all(near, kept, k, chosen.where(F.col("_place") <= k + 1).select("index_id", "chunk_id"), counts)
     if n_tail:
         # All copies beyond the first k + 1 have the k smallest ones as neighbours, at cosine 1.
         heads = chosen.where(F.col("_place") <= k).select("index_id", "_h", F.col("chunk_id").alias("neighbour"))
@@ -315,13 +314,21 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2)
     return near
 
 
-def _search_all(near: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+def _search_all(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``near`` without ``sure``, with better neighbours of the vectors whose cells may not hold all that are near enough.
 
+    So it is where the k-th lies beyond ``sure``, and where the cells hold fewer than k others but the index more.
+
     These are compared with all vectors of their index, in passes of at most about ``PASS_BYTES``.
     """
     kth = near.groupBy("index_id", "chunk_id").agg(F.count("*").alias("_n"), F.min("cosine").alias("floor"), F.min("sure").alias("_sure"))
-    unsure = cut(kth.where((F.col("_n") == k) & (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("_sure"))).select("chunk_id", "floor"))
+    far = (F.col("_n") == k) & (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("_sure"))
+    unsure = kth.where(far).select("chunk_id", "floor")
+    wanted = F.lit(0)
+    for i, m in counts.items():
+        wanted = F.when(F.col("index_id") == i, F.lit(min(k, m - 1))).otherwise(wanted)
+    short = keys.join(kth.select("chunk_id", "_n"), "chunk_id", "left").where(F.coalesce("_n", F.lit(0)) < wanted).select("chunk_id", F.lit(None).cast("double").alias("floor"))
+    unsure = cut(unsure.unionByName(short))
     near, n = near.drop("sure"), unsure.count()
     if not n:
         return near
@@ -341,7 +348,7 @@ def _search_all(near: DataFrame, kept: DataFrame, k: int) -> DataFrame:
 
 
 def _compare(kept: DataFrame, part: pa.Table, k: int) -> DataFrame:
-    """(index_id, chunk_id, neighbour, cosine): all vectors at least as near to one of ``part`` as its floor."""
+    """(index_id, chunk_id, neighbour, cosine): all vectors at least as near to one of ``part`` as its floor, without one the k best of each batch."""
     index = part.column("index_id").to_numpy()
     queries = {}
     for i in np.unique(index):
@@ -369,7 +376,12 @@ def _compare(kept: DataFrame, part: pa.Table, k: int) -> DataFrame:
                 across = (rows / np.sqrt(row_norms)[:, None].astype(np.float32)).T
                 step = max(1, 4_000_000 // len(at))
                 for s in range(0, len(keys), step):
-                    q, x = np.nonzero(unit[s : s + step] @ across >= floor[s : s + step, None] - SLACK)
+                    sims = unit[s : s + step] @ across
+                    least = floor[s : s + step].copy()
+                    open_ = np.isnan(least)  # nothing is known of these: the k best here, themselves besides
+                    if open_.any():
+                        least[open_] = np.partition(sims[open_], -min(k + 1, len(at)), axis=1)[:, -min(k + 1, len(at))]
+                    q, x = np.nonzero(sims >= least[:, None] - SLACK)
                     q = q + s
                     keep = keys[q] != others[x]
                     q, x = q[keep], x[keep]

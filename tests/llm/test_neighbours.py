@@ -88,6 +88,15 @@ def test_little_alike_across_cells(spark, share):
     assert len(want & set(got)) >= 0.98 * len(want)
 
 
+def test_cells_with_fewer_than_k_others(spark, monkeypatch):
+    rows = clustered(300, 16, 3, 1)
+    dims = {1: 16}
+    alone = lambda unit, count, **_: unit  # noqa: E731: every vector is a centre, and its two cells hold few others
+    monkeypatch.setattr(nb, "fit_centres", alone)
+    got = set(found(spark, rows, dims))
+    assert got == brute(rows, dims, 5)
+
+
 def test_collisions_count_windows():
     values = np.array([[0.0, 0.0], [0.4, 5.0], [0.6, 0.1]], dtype=np.float32)
     assert nb.count_collisions(values, np.arange(3), 0.5).tolist() == [[2, 1, 1], [1, 2, 1], [1, 1, 2]]
