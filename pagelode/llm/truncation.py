@@ -29,6 +29,8 @@ from pagelode.llm.stage import cut
 FENCE = re.compile(r"^[^\S\n]*(`{3,}|~{3,})[^\n`]*$", re.MULTILINE)
 TAG = re.compile(rf"<(/?)({HTML_NAMES.replace(' ', '|')})(?![\w-])[^<>]*?(/?)>", re.IGNORECASE)
 HALF_TAG = re.compile(r"<[/!]?(?:[A-Za-z][^<>\n]{0,300})?$")
+#: A tag with an attribute may be cut after any length and number of lines.
+LONG_HALF_TAG = re.compile(rf"(?<!`)<(?:{HTML_NAMES.replace(' ', '|')})\s+[\w:@.-]+\s*=[^<>]*$", re.IGNORECASE)
 MARK = re.compile(r"\s*(?:…|\.{3})?\s*(?:\[(?:\.\.\.|…|cut|truncated|snip|more)\]|\((?:truncated|cut|more)\)|<truncated>)$", re.IGNORECASE)
 ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
 HALF_ESCAPE = re.compile(r"(?:&(?:#\w{0,7}|[A-Za-z]{2,8})|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]?|%[0-9A-F]?)$")
@@ -144,7 +146,7 @@ def open_at_end(text: str) -> str:
         elif open_now and open_now[-1] == PAIRS[c]:
             open_now.pop()
     half = text.rfind("<")
-    if half >= after and half > text.rfind(">") and HALF_TAG.match(text, half):
+    if half >= after and half > text.rfind(">") and (HALF_TAG.match(text, half) or LONG_HALF_TAG.match(text, half)):
         return "tag"
     line = text[text.rfind("\n") + 1 :]
     if open_now and not STOP.search(line[-TAIL:]) and not (line.endswith(">") and TAG.search(line)):

@@ -72,3 +72,13 @@ def test_report_and_odd_rows(spark):
     report = {r["source"]: (r["docs"], r["cut"]) for r in tr.source_report(df, judged).collect()}
     assert report == {"a": (2, 1), None: (2, 1), "b": (4, 1)}
     assert tr.judge_ends(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, ending", [
+    ("See it here.\n\n<img alt=x src=\"data:image/png;base64," + "iVBORw0K" * 90 + ";", "open"),
+    ("A box.\n\n<div class=\"wide\"\n  id=\"a\"\n  style=\"color: red;", "open"),
+    ("If a <b and more, then so. " + "It goes on like this. " * 30, "stop"),
+    ("A box:\n\n```\n<div class=\"wide\"\n  style=\"color: red;\n```\n\nThat is all.", "stop"),
+])
+def test_unfinished_tags_of_any_length(text, ending):
+    assert tr.read_end(text)[0] == ending
