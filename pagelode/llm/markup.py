@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -146,47 +146,51 @@ def read_tree(text: str) -> list[Node]:
 
 
 def _read(text: str, start: int, end: int, parent: int, nodes: list[Node]) -> None:
-    at = start
-    depth = nodes[parent][2] + 1
-    line_node, line_end = parent, -1
-    for m in SIGN.finditer(text, start, end):
-        here = m.start()
-        if here < at:
-            if m.end() <= at:
+    """Appends the nodes between ``start`` and ``end``; open containers wait on a stack, however deep they are."""
+    waiting = [(SIGN.finditer(text, start, end), start, end, parent, parent, -1)]
+    while waiting:
+        signs, at, end, parent, line_node, line_end = waiting.pop()
+        for m in signs:
+            here = m.start()
+            if here < at:
+                if m.end() <= at:
+                    continue
+                here = at  # the blank part belongs to the node before
+            mark = m.group()
+            sign = mark.strip()
+            first = sign[0] if sign else ""
+            found = None
+            if here == 0 or text[here - 1] == "\n":
+                key = "0" if first.isdigit() else first
+                for shape, pattern, inner in LINE.get(key, ()):
+                    # A container's content is cut off at the end of its own container.
+                    if (got := pattern.match(text, here, end)) is not None:
+                        found = shape, got, inner, True
+                        break
+            if found is None:
+                if first.isdigit():
+                    continue
+                here = m.end() - len(sign) if sign else here
+                here = max(here, at)
+                for shape, pattern, inner in INLINE.get(text[here], ()):
+                    if (got := pattern.match(text, here, end)) is not None:
+                        found = shape, got, inner, False
+                        break
+            if found is None:
                 continue
-            here = at  # the blank part belongs to the node before
-        mark = m.group()
-        sign = mark.strip()
-        first = sign[0] if sign else ""
-        found = None
-        if here == 0 or text[here - 1] == "\n":
-            key = "0" if first.isdigit() else first
-            for shape, pattern, inner in LINE.get(key, ()):
-                # A container's content is cut off at the end of its own container.
-                if (got := pattern.match(text, here, end)) is not None:
-                    found = shape, got, inner, True
-                    break
-        if found is None:
-            if first.isdigit():
-                continue
-            here = m.end() - len(sign) if sign else here
-            here = max(here, at)
-            for shape, pattern, inner in INLINE.get(text[here], ()):
-                if (got := pattern.match(text, here, end)) is not None:
-                    found = shape, got, inner, False
-                    break
-        if found is None:
-            continue
-        shape, got, inner, block = found
-        under = line_node if here < line_end and not block else parent
-        nodes.append((under, SHAPE[shape], nodes[under][2] + 1, got.start(), got.end()))
-        me = len(nodes) - 1
-        at = max(got.end(), here + 1)
-        if inner is not None and depth < 4 and got.end(inner) > got.start(inner):
-            _read(text, got.start(inner), got.end(inner), me, nodes)
-        elif block and shape in LINE_BLOCKS:
-            stop = text.find("\n", got.end(), end)
-            line_node, line_end = me, end if stop < 0 else stop
+            shape, got, inner, block = found
+            under = line_node if here < line_end and not block else parent
+            nodes.append((under, SHAPE[shape], nodes[under][2] + 1, got.start(), got.end()))
+            me = len(nodes) - 1
+            at = max(got.end(), here + 1)
+            if inner is not None and got.end(inner) > got.start(inner):
+                waiting.append((signs, at, end, parent, line_node, line_end))
+                inside = got.start(inner), got.end(inner)
+                waiting.append((SIGN.finditer(text, *inside), *inside, me, me, -1))
+                break
+            if block and shape in LINE_BLOCKS:
+                stop = text.find("\n", got.end(), end)
+                line_node, line_end = me, end if stop < 0 else stop
 
 
 class TreeModel:
@@ -442,7 +446,8 @@ def clean_text(text: str | None, nodes: list[Node], labels: np.ndarray) -> str |
             at = nodes[at][0]
         children.setdefault(at, []).append(i)
 
-    def render(i: int, start: int, end: int) -> str:
+    def render(i: int, start: int, end: int) -> Generator[tuple[int, int, int], str, str]:
+        # Asks for what stands inside an environment instead of calling itself, so no depth is too deep.
         out, at = [], start
         for c in children.get(i, ()):
             _, shape, _, a, b = nodes[c]
@@ -457,7 +462,8 @@ def clean_text(text: str | None, nodes: list[Node], labels: np.ndarray) -> str |
             elif name == "environment":
                 opened = re.match(r"\\begin\{[A-Za-z]+\*?\}", raw)
                 closed = re.search(r"\\end\{[A-Za-z]+\*?\}$", raw)
-                out.append(_clean_node(name, raw, render(c, a + (opened.end() if opened else 0), b - (len(closed.group()) if closed else 0))))
+                inner = yield c, a + (opened.end() if opened else 0), b - (len(closed.group()) if closed else 0)
+                out.append(_clean_node(name, raw, inner))
             elif name == "command" and raw.endswith("{"):
                 # The command's argument stays, its closing brace goes.
                 close = plain.find("}", b, end)
@@ -471,7 +477,16 @@ def clean_text(text: str | None, nodes: list[Node], labels: np.ndarray) -> str |
         out.append(plain[at:end])
         return "".join(out)
 
-    done = render(0, 0, len(plain))
+    running, done = [render(0, 0, len(plain))], None
+    while running:
+        try:
+            asked = running[-1].send(done)
+        except StopIteration as end_of:
+            running.pop()
+            done = end_of.value
+        else:
+            running.append(render(*asked))
+            done = None
     done = re.sub(r"[^\S\n]+$", "", done, flags=re.MULTILINE)
     return re.sub(r"\n{3,}", "\n\n", done).strip("\n")
 

@@ -71,3 +71,13 @@ def test_frames(spark):
     got = {r["id"]: r["text"] for r in mk.clean_markup(df, "id").collect()}
     assert got[1] == "x" and got[2] is None and got[3] == "" and got[5] == "plain" and "*" not in got[4]
     assert mk.markup_kinds(df.limit(0), "id").count() == 0
+
+
+@pytest.mark.parametrize("depth", [4, 6, 60, 1500])
+def test_deep_containers_are_read(depth):
+    names = [f"box{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(depth)]
+    text = "".join(f"\\begin{{{n}}}\n" for n in names) + "\\item deep\n" + "".join(f"\\end{{{n}}}\n" for n in reversed(names))
+    at = text.index("\\item")
+    assert any(start == at for _, _, _, start, _ in mk.read_tree(text))
+    cleaned = clean(text)
+    assert "\\item" not in cleaned and "deep" in cleaned
