@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.functions.text import WORD_RE, WS, WS_CHARS, tokens, trim_ws
-from pagelode.operators.ordinal import with_ordinal
+from pagelode.operators.ordinal import numbered, with_ordinal
 from pagelode.schemas import PIECES
 
 HEADING = re.compile(f"#{{1,6}}[{WS_CHARS}]")
@@ -91,6 +91,18 @@ def number_chunks(chunks: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return with_ordinal(chunks, order, "chunk_id").withColumn("batch_id", F.floor(F.col("chunk_id") / 256).cast("int"))
 
 
+def chunk_in_order(docs: DataFrame, key: str, text: str = "text", size: int = 256, overlap: int = 32) -> DataFrame:
+    """(chunk_id, batch_id, key, pos, heading, text, range): all chunks, numbered by key and position.
+
+    The documents are put in order before they are cut, so the chunker runs once and its
+    rows need no shuffle of their own.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.select(F.col(key).alias(key), F.col(text).alias("_text")).repartitionByRange(n, key).sortWithinPartitions(key)
+    rows = numbered(chunk_documents(placed, "_text", size, overlap, keep=(key,)), "chunk_id")
+    return rows.withColumn("batch_id", F.floor(F.col("chunk_id") / 256).cast("int"))
+
+
 def fixed_windows(docs: DataFrame, key: str, text: str = "text", size: int = 256, overlap: int = 32) -> DataFrame:
     """Hard windows of ``size`` words stepping ``size - overlap``; short texts stay whole and are trimmed.
 
@@ -111,17 +123,22 @@ def fixed_windows(docs: DataFrame, key: str, text: str = "text", size: int = 256
     )
 
 
+#: What ends a line for ``sections``.
+LINE_BREAKS = "\n\r\u2028\u2029"
+
+
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The stretches between Markdown headings: (key, pos, heading, text), blank stretches dropped."""
-    mark = "(?m)^(?=#{1,6}" + WS + "+.)"
-    rows = docs.select(F.col(key).alias(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), mark)).alias("pos", "_s"))
-    has = F.col("_s").rlike("^#{1,6}" + WS + "+.")
-    line = F.regexp_extract("_s", "^[^\n]*", 0)
-    body = F.when(has, F.regexp_replace("_s", "^[^\n]*", "")).otherwise(F.col("_s"))
+    """The stretches between Markdown headings: (key, pos, heading, text), blank stretches dropped. Null texts give no row."""
+    mark = "#{1,6}" + WS + f"+[^{LINE_BREAKS}]"
+    start = f"(?<![^{LINE_BREAKS}])(?={mark})"
+    rows = docs.select(F.col(key).alias(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), start)).alias("pos", "_s"))
+    has = F.col("_s").rlike(f"^{mark}")
+    line = f"^#{{1,6}}{WS}+[^{LINE_BREAKS}]*"
+    body = F.when(has, F.regexp_replace("_s", line, "")).otherwise(F.col("_s"))
     return rows.select(
         key,
         F.col("pos").cast("long").alias("pos"),
-        F.when(has, trim_ws(F.regexp_replace(line, "^#+" + WS + "+", ""))).alias("heading"),
+        F.when(has, trim_ws(F.regexp_replace(F.regexp_extract("_s", line, 0), "^#+" + WS + "+", ""))).alias("heading"),
         trim_ws(body).alias("text"),
     ).where(F.col("text") != "")
 

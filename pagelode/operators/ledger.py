@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelode.session import cut_lineage
+from pagelode.sources.fs import SharedFolder
+
 EVENTS = T.StructType([
     T.StructField("item", T.StringType()),
     T.StructField("version", T.StringType()),
@@ -62,23 +65,70 @@ def fold_states(items: DataFrame, events: DataFrame, now: float) -> DataFrame:
     return at.select("item", "version", state.alias("state"), F.coalesce("_top", F.lit(0)).cast("long").alias("token"))
 
 
+def newest_leases(events: DataFrame) -> DataFrame:
+    """(item, _top, _until): the newest lease of every item."""
+    lease = F.max(F.when(F.col("kind") == "leased", F.struct("token", "until"))).alias("_l")
+    return events.groupBy("item").agg(lease).select("item", F.col("_l.token").alias("_top"), F.col("_l.until").alias("_until"))
+
+
+def judge_commits(asked: DataFrame, events: DataFrame, now: float | None) -> DataFrame:
+    """(item, version, token, accepted) of commits asked for: accepted under the item's newest token, while its lease runs.
+
+    A stale token is rejected whatever its lease says. Without ``now`` only tokens decide.
+    Items that were never leased are rejected.
+    """
+    fits = F.col("token") == F.col("_top")
+    if now is not None:
+        fits = fits & (F.col("_until") > F.lit(float(now)))
+    joined = asked.select("item", "version", "token").join(newest_leases(events), "item", "left")
+    return joined.select("item", "version", "token", F.coalesce(fits, F.lit(False)).alias("accepted"))
+
+
 class WorkLedger:
-    """The ledger of one job in a shared folder. One coordinator claims; any worker may commit."""
+    """The ledger of one job in a shared folder. One coordinator claims and compacts; any worker may commit.
+
+    Events lie in ``log-G``; ``current.json`` names the G that counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self.folder = SharedFolder(spark, self.path)
+
+    def _generation(self) -> int:
+        return int((self.folder.read_json("current.json") or {}).get("log", 0))
 
     def events(self) -> DataFrame:
         """All events; none before the first claim."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
+        name = f"log-{self._generation()}"
+        if not self.folder.exists(name):
             return self.spark.createDataFrame([], EVENTS)
-        return self.spark.read.schema(EVENTS).parquet(self.path)
+        return self.spark.read.schema(EVENTS).parquet(f"{self.path}/{name}")
+
+    def compact(self, now: float) -> int:
+        """Writes the log anew with what still matters, and returns the number of events left.
+
+        Of each item its newest lease stays, and of each version the commits and failures
+        under its newest token; states and tokens are as before. Refused while a lease runs,
+        so that no worker commits into the log that is given up.
+        """
+        events = self.events()
+        leases = events.where("kind = 'leased'").groupBy("item", "version").agg(F.max(F.struct(*[F.col(f.name) for f in EVENTS])).alias("_e"), F.max("token").alias("_t"))
+        ended = events.where("kind <> 'leased'").groupBy("item", "version", "kind").agg(F.max("token").alias("token"))
+        running = newest_leases(events).join(ended.groupBy("item").agg(F.max("token").alias("_ended")), "item", "left")
+        if not running.where((F.col("_until") > F.lit(float(now))) & (F.coalesce("_ended", F.lit(-1)) < F.col("_top"))).isEmpty():
+            raise RuntimeError("a lease is still running")
+        blank = {"worker": "string", "at": "double", "until": "double"}
+        kept = leases.select("_e.*").unionByName(ended.select(
+            "item", "version", "kind", "token", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()]
+        ).select(*[f.name for f in EVENTS]))
+        after = self._generation() + 1
+        kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS]).write.mode("overwrite").parquet(f"{self.path}/log-{after}")
+        self.folder.write_json("current.json", {"log": after})
+        self.folder.delete(f"log-{after - 1}")
+        return self.events().count()
 
     def _append(self, rows: DataFrame) -> None:
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS]).write.mode("append").parquet(self.path)
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS]).write.mode("append").parquet(f"{self.path}/log-{self._generation()}")
 
     def states(self, items: DataFrame, now: float) -> DataFrame:
         return fold_states(items, self.events(), now)
@@ -107,11 +157,8 @@ class WorkLedger:
         return last.where(mine).select("item", lease["version"].alias("version"), lease["token"].alias("token"))
 
     def _end(self, kind: str, held: DataFrame, worker: str, now: float) -> DataFrame:
-        newest = self.events().groupBy("item").agg(
-            F.max(F.when(F.col("kind") == "leased", F.struct("token", "until"))).alias("_l")
-        )
-        fits = (F.col("_l.token") == F.col("token")) & (F.col("_l.until") > F.lit(now))
-        valid = held.select("item", "version", "token").join(newest, "item").where(fits).drop("_l")
+        judged = judge_commits(held, self.events(), now)
+        valid = cut_lineage(judged.where("accepted").drop("accepted"))  # judged once, before its own events are written
         self._append(valid.select(
             "item", "version", F.lit(kind).alias("kind"), "token", F.lit(worker).alias("worker"),
             F.lit(float(now)).alias("at"), F.lit(None).cast("double").alias("until"),

@@ -6,30 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagelode.session import cut_lineage
 
-def with_ordinal(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
-    """Adds ``name`` = 0, 1, 2 ... in the order of the columns, nulls first.
+#: ``monotonically_increasing_id`` keeps the row's place within its partition in so many low bits.
+PLACE_BITS = 33
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Adds ``name`` = 0, 1, 2 ... to rows whose partitions, and rows within them, already stand in order.
 
-    Rows are range-partitioned by the order, numbered within their partition, and
-    moved on by the row counts of the partitions before. Only those counts (one
-    small row a partition) meet in a window. The ordering must be total for the
-    numbers to be repeatable.
+    Each row's partition and place are written down once, in the shared folder: the
+    counts of the partitions and the rows moved on by them then speak of the same
+    partitions, whatever columns are read and whichever executor is lost.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select(
-        "_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before")
-    )
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c) for c in order]))
+    placed = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_place", PLACE_BITS)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return (
-        spread.withColumn("_in", within)
+        placed.withColumn("_part", part)
         .join(F.broadcast(before), "_part")  # one row a partition
-        .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_in") - 1).cast("long"))
-        .drop("_part", "_before", "_in")
+        .withColumn(name, (F.col("_before") + place).cast("long"))
+        .drop("_part", "_before", "_place")
     )
 
 
+def with_ordinal(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """Adds ``name`` = 0, 1, 2 ... in the order of the columns, nulls first.
+
+    Rows are range-partitioned and sorted by the order, one shuffle in all. Rows that are
+    equal in it get different numbers, in no stated order; an empty table stays empty.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c) for c in order]
+    return numbered(df.repartitionByRange(n, *columns).sortWithinPartitions(*columns), name)
+
+
 def running_sums(df: DataFrame, order: str, values: dict[str, str], width: int = 4096) -> DataFrame:
     """(order, sums): for every new name the sum of its column up to and with the row, by the integer column ``order``.
 

@@ -2,84 +2,114 @@
 
 from __future__ import annotations
 
+import dataclasses
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.config import SearchConfig
+from pagelode.config import SearchConfig, load_project_config, load_user_config, resolve_config
 from pagelode.functions.vectors import quantize, quantize_params
-from pagelode.operators.chunking import chunk_documents, number_chunks
-from pagelode.operators.incremental import changed_files, deleted_files, is_current, upsert_manifest
-from pagelode.operators.nav import first_headings, nav_nodes, nested_tree
+from pagelode.operators.chunking import chunk_in_order
+from pagelode.operators.incremental import changed_files, deleted_files, detect_changes, is_current, parse_git_status, upsert_manifest
+from pagelode.operators.nav import first_headings, nav_nodes, nav_order
 from pagelode.plans.embed import Embedder
-from pagelode.sources.files import read_documents
+from pagelode.session import cut_lineage
+from pagelode.sources.files import git_status, list_files, read_texts
 from pagelode.sources.store import IndexStore, Manifest, compression_type
 
 Progress = Callable[[str, int, int], None]
+Read = Callable[[DataFrame], DataFrame]
+
+
+def quantized(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """The chunks with ``vector``, the codes of their embedding, null where there is none."""
+    dims = embedder.dimensions
+    codes = quantize(F.col("embedding"), quantize_params(F.col("embedding"), dims), dims)
+    return embedder.embed(chunks).withColumn("vector", F.when(F.col("embedding").isNotNull(), codes)).drop("embedding")
 
 
 def build_index(
     spark: SparkSession, documents: DataFrame, store: IndexStore, embedder: Embedder,
-    config: SearchConfig | None = None, progress: Progress | None = None,
+    config: SearchConfig | None = None, progress: Progress | None = None, read: Read | None = None, changed: DataFrame | None = None,
 ) -> Manifest:
-    """Brings the store up to date with ``documents`` (path, text, mtime, size).
+    """Brings the store up to date with ``documents`` (path, mtime, size, and text unless ``read`` adds it to the rows it is given).
 
-    New and modified files are chunked, embedded, quantized and appended as new
-    batches; chunks of modified or vanished files are replaced, not kept beside the
-    new ones. The status is ``complete`` only after everything is stored, so a run
-    that died is done again. A changed model rebuilds all files.
+    New and modified files are chunked, embedded, quantized and written as a new run of
+    batches; chunks of modified or vanished files are buried by that run. All of it counts
+    from the one write of the manifest at the end: until then readers keep what they had,
+    and a run that died is done again from the last state that counted, under the same
+    names. A changed model, or ``incremental`` switched off, builds all files anew.
+    ``changed`` (path) replaces the comparison of mtime and size.
     """
     config = config or SearchConfig()
     tell = progress or (lambda phase, done, total: None)
     before = store.manifest()
+    base = before or Manifest()
+    fresh = base.run == 0 or base.model != config.model or base.dimensions != embedder.dimensions or not config.incremental
     listing = documents.select("path", "mtime", "size")
-    fresh = before is None or before.model != config.model or before.dimensions != embedder.dimensions or not config.incremental
-    previous = store.files() if not fresh else spark.createDataFrame([], store.files().schema)
-    changed = changed_files(listing, previous).select("path")
+    stored = store.files(base)
+    previous = stored.limit(0) if fresh else stored
+    todo = changed_files(listing, previous).select("path") if fresh or changed is None else changed.select("path")
     gone = deleted_files(listing, previous)
-    if not fresh and is_current(changed.unionByName(gone), before.status):
-        return before
+    if not fresh and is_current(todo.unionByName(gone), base.status):
+        return base
+    run = base.run + 1
+    store.save_manifest(dataclasses.replace(base, status="indexing"))
     tell("chunking", 0, 0)
-    store.update_manifest(model=config.model, dimensions=embedder.dimensions, status="indexing")
-    todo = documents.join(changed, "path", "left_semi")
-    cut = chunk_documents(todo, "text", config.chunk_size, config.chunk_overlap, keep=("path",)).withColumnRenamed("path", "file")
-    numbered = number_chunks(cut.select("file", "pos", "heading", "text", "range"), ("file", "pos"))
-    start_batch = 0 if fresh else before.batch_count
-    numbered = numbered.withColumn("batch_id", F.col("batch_id") + start_batch).withColumn(
-        "chunk_id", F.col("chunk_id") + start_batch * 256
+    rows = documents.join(todo, "path", "left_semi")
+    chunks = chunk_in_order(read(rows) if read else rows, "path", "text", config.chunk_size, config.chunk_overlap)
+    start = 0 if fresh else base.batch_count
+    chunks = chunks.select(
+        (F.col("chunk_id") + start * 256).alias("chunk_id"), F.col("path").alias("file"), "heading", "text", "range",
+        (F.col("batch_id") + start).alias("batch_id"),
     )
-    embedded = embedder.embed(numbered)
-    dims = embedder.dimensions
-    coded = embedded.withColumn(
-        "vector", F.when(F.col("embedding").isNotNull(), quantize(F.col("embedding"), quantize_params(F.col("embedding"), dims), dims))
-    )
-    total = numbered.count()
-    if not fresh:
-        stale = changed.unionByName(gone).withColumnRenamed("path", "file")
-        store.bury(store.chunks().join(stale, "file", "left_semi").select("chunk_id"))
-    else:
-        store.clear()
+    total = chunks.count()
     tell("saving", 0, total)
-    store.save_batches(coded.select(*[c for c in ("chunk_id", "file", "heading", "text", "range", "batch_id")]),
-                       coded.select("chunk_id", "vector", "batch_id").where(F.col("vector").isNotNull()), dims, compression_type(total))
-    store.save_files(upsert_manifest(previous, listing))
-    heads = first_headings(store.chunks()).withColumnRenamed("file", "path").withColumnRenamed("heading", "title")
-    store.save_navigation(nested_tree(nav_nodes(listing.select("path").join(heads, "path", "left"))))
-    files = listing.select("path").distinct().count()
-    done = store.update_manifest(
-        status="complete", total_files=files, indexed_files=files, total_chunks=store.chunks().count(),
-        batch_count=start_batch + (total + 255) // 256,
+    store.write_chunks(run, chunks)
+    old = store.chunks(base).select("chunk_id", "file")
+    stale = todo.unionByName(gone).withColumnRenamed("path", "file")
+    store.bury(run, (old.limit(0) if fresh else old.join(stale, "file", "left_semi")).select("chunk_id"))
+    tell("embedding", 0, total)
+    store.write_vectors(run, quantized(chunks, embedder), embedder.dimensions, compression_type(total))
+    store.write_files(run, upsert_manifest(previous, listing))
+    done = dataclasses.replace(
+        base, model=config.model, dimensions=embedder.dimensions, status="complete", run=run,
+        first_run=run if fresh else base.first_run, batch_count=start + (total + 255) // 256,
     )
+    now = store.chunks(done)
+    heads = first_headings(now).withColumnRenamed("file", "path").withColumnRenamed("heading", "title")
+    store.write_navigation(run, nav_order(nav_nodes(listing.select("path").join(heads, "path", "left"))))
+    files = listing.select("path").distinct().count()
+    done = dataclasses.replace(done, total_files=files, indexed_files=files, total_chunks=now.count())
+    store.save_manifest(done)
     tell("complete", total, total)
     return done
 
 
 def index_directory(
     spark: SparkSession, root: str, store: IndexStore, embedder: Embedder, config: SearchConfig | None = None,
-    progress: Progress | None = None,
+    progress: Progress | None = None, use_git: bool = False,
 ) -> Manifest:
-    """Crawl, chunk, embed, quantize and store a folder of documents."""
-    config = config or SearchConfig()
-    docs = read_documents(spark, root, list(config.include), list(config.exclude))
-    return build_index(spark, docs, store, embedder, config, progress)
+    """Crawl, chunk, embed, quantize and store a folder of documents; only changed files are read.
+
+    Without ``config`` the settings come from the project's and the user's files. With
+    ``use_git`` the files that git names are taken where it names any listed one, and new
+    files besides; else, and where git cannot tell, mtime and size decide.
+    """
+    config = config or resolve_config(load_project_config(root), load_user_config(os.path.expanduser("~")))
+    (progress or (lambda phase, done, total: None))("crawling", 0, 0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listing = cut_lineage(list_files(spark, root, list(config.include), list(config.exclude)))
+    changed = None
+    before = store.manifest()
+    lines = git_status(spark, root) if use_git and before and before.status == "complete" else None
+    if lines is not None:
+        known = store.files(before)
+        added = listing.join(known, "path", "left_anti").select("path")
+        changed = cut_lineage(detect_changes(listing, known, parse_git_status(lines)).union(added).distinct())
+    # The files to read are dealt out before they are opened.
+    return build_index(
+        spark, listing, store, embedder, config, progress, lambda rows: read_texts(rows.repartition(tasks, "path"), root), changed
+    )

@@ -63,35 +63,50 @@ class TableEmbedder:
         return chunks.join(self.vectors, "chunk_id", "left")
 
 
+#: Models that this Python process has loaded, by their files.
+_models: dict[tuple[str, str], tuple] = {}
+
+
+def load_model(model_path: str, tokenizer_path: str) -> tuple:
+    """(tokenizer, session, input names) of an ONNX model, loaded once per Python process, whatever the number of its tasks."""
+    key = model_path, tokenizer_path
+    if key not in _models:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(tokenizer_path)
+        tok.enable_padding()
+        model = onnxruntime.InferenceSession(model_path)
+        _models[key] = tok, model, {i.name for i in model.get_inputs()}
+    return _models[key]
+
+
 class OnnxEmbedder:
-    """A sentence model in ONNX form with its tokenizer file; both are loaded once per Python worker."""
+    """A sentence model in ONNX form with its tokenizer file: mean-pooled and L2-normalised. Null and empty texts get null."""
 
     def __init__(self, model_path: str, tokenizer_path: str, dimensions: int, batch: int = 128) -> None:
         self.model_path, self.tokenizer_path, self.dimensions, self.batch = model_path, tokenizer_path, dimensions, batch
 
     def embed(self, chunks: DataFrame, text: str = "text") -> DataFrame:
-        model_path, tokenizer_path, size = self.model_path, self.tokenizer_path, self.batch
+        paths, size = (self.model_path, self.tokenizer_path), self.batch
 
         @F.pandas_udf("array<float>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import onnxruntime
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(tokenizer_path)
-            tok.enable_padding()
-            model = onnxruntime.InferenceSession(model_path)
-            names = {i.name for i in model.get_inputs()}
+            tok, model, names = load_model(*paths)
             for batch in batches:
-                out: list = []
-                for at in range(0, len(batch), size):
-                    enc = tok.encode_batch([t or "" for t in batch.iloc[at : at + size]])
+                out: list = [None] * len(batch)
+                given = [i for i, t in enumerate(batch) if t]
+                for at in range(0, len(given), size):
+                    rows = given[at : at + size]
+                    enc = tok.encode_batch([batch.iloc[i] for i in rows])
                     mask = np.array([e.attention_mask for e in enc], dtype=np.int64)
                     feed = {"input_ids": np.array([e.ids for e in enc], dtype=np.int64), "attention_mask": mask}
                     if "token_type_ids" in names:
                         feed["token_type_ids"] = np.zeros_like(mask)
-                    hidden = model.run(None, feed)[0]
+                    hidden = model.run(None, {k: v for k, v in feed.items() if k in names})[0]
                     pooled = (hidden * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
-                    out += list(pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12))
+                    for i, v in zip(rows, pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)):
+                        out[i] = v.astype(np.float32).tolist()
                 yield pd.Series(out)
 
         return chunks.withColumn("embedding", run(truncate_for_embedding(F.col(text))))

@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelode.config import DEFAULT_EXCLUDE, DEFAULT_INCLUDE
 from pagelode.functions import text as tx
 from pagelode.functions import vectors as vx
 from pagelode.operators import chunking, incremental, ledger, nav, search
+from pagelode.operators.ordinal import with_ordinal
 from pagelode.sources.store import size_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,8 +130,8 @@ def keyword_topk(spark, sf):
 SELECT query_id, doc_id, kw, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, doc_id)::INT AS rank
   FROM hits WHERE kw > 0) WHERE rank <= 10""")
 def keyword_batch_topk(spark, sf):
-    hits = search.keyword_hits_batch(table(spark, sf, "documents"), title_queries(spark, sf))
-    return search.top_per_query(hits.withColumn("score", F.col("kw")), 10).select("query_id", "doc_id", "kw", "rank")
+    hits = search.keyword_topk_batch(table(spark, sf, "documents"), title_queries(spark, sf), 10)
+    return hits.select("query_id", "doc_id", "kw", "rank")
 
 
 @query(f"SELECT doc_id, {words_sql('lower(text)')} AS terms FROM documents WHERE text IS NOT NULL")
@@ -212,13 +214,31 @@ def chunk_keyword_topk(spark, sf):
 @query(f"""{chunk_sql(256, 32)}, numbered AS (SELECT id, pos, row_number() OVER (ORDER BY id, pos) - 1 AS chunk_id FROM chunked)
 SELECT (chunk_id // 256)::INT AS batch_id, count(*) AS chunks, count(DISTINCT id) AS files, min(chunk_id) AS first_chunk FROM numbered GROUP BY 1""")
 def chunk_batches(spark, sf):
-    rows = chunk_rows(table(spark, sf, "documents"), 256, 32)
-    return chunking.number_chunks(rows.select("id", "pos"), ("id", "pos")).groupBy("batch_id").agg(
-        F.count("*").alias("chunks"), F.countDistinct("id").alias("files"), F.min("chunk_id").alias("first_chunk")
+    rows = chunking.chunk_in_order(table(spark, sf, "documents"), "doc_id")
+    return rows.groupBy("batch_id").agg(
+        F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("files"), F.min("chunk_id").alias("first_chunk")
     )
 
 
-@query()
+@query("SELECT doc_id, length(text)::BIGINT AS chars, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS place FROM documents")
+def global_ordinal(spark, sf):
+    """All documents with their texts, numbered by source and id."""
+    rows = table(spark, sf, "documents").select("source", "doc_id", "text")
+    return with_ordinal(rows, ("source", "doc_id"), "place").select("doc_id", F.length("text").cast("long").alias("chars"), "place")
+
+
+BREAKS_SQL = r"\n\r\x{2028}\x{2029}"
+MARK_SQL = f"#{{1,6}}{WS_SQL}+[^{BREAKS_SQL}]"
+
+
+@query(f"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '(^|[{BREAKS_SQL}])({MARK_SQL})', '\\1' || chr(57344) || chr(57345) || '\\2', 'g'), chr(57344) || chr(57345)) AS p
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, CASE WHEN len(p) > 1 AND p[1] = '' THEN p[2:] ELSE p END AS p FROM s),
+r AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS pos FROM t),
+h AS (SELECT *, regexp_matches(s, '^{MARK_SQL}') AS has, '^#{{1,6}}{WS_SQL}+[^{BREAKS_SQL}]*' AS line FROM r)
+SELECT * FROM (SELECT doc_id, pos,
+  CASE WHEN has THEN regexp_replace(regexp_replace(regexp_extract(s, line), '^#+{WS_SQL}+', ''), '^{WS_SQL}+|{WS_SQL}+$', '', 'g') END AS heading,
+  regexp_replace(CASE WHEN has THEN regexp_replace(s, line, '') ELSE s END, '^{WS_SQL}+|{WS_SQL}+$', '', 'g') AS text FROM h) WHERE text <> ''""")
 def chunk_sections(spark, sf):
     return chunking.sections(table(spark, sf, "documents"), "doc_id")
 
@@ -240,7 +260,13 @@ def index_counters(spark, sf):
     return incremental.running_counters(table(spark, sf, "chunks").select("chunk_id", "file", "batch_id").distinct())
 
 
-@query()
+SIZES_SQL = """SELECT count(*) AS chunks, (sum(length(j) + len(regexp_extract_all(j, '[\\x{10000}-\\x{10FFFF}]')) - CASE WHEN file IS NULL THEN 12 ELSE 0 END
+    - CASE WHEN heading IS NULL THEN 15 ELSE 0 END - CASE WHEN text IS NULL THEN 12 ELSE 0 END - CASE WHEN range IS NULL THEN 13 ELSE 0 END)
+  + count(*) - 1 + 2) / 1024 AS meta_kb, count(*) * 384 / 1024 AS vector_kb
+FROM (SELECT *, to_json({'file': file, 'heading': heading, 'text': text, 'range': CASE WHEN range IS NOT NULL THEN [range."start", range."end"] END})::VARCHAR AS j FROM chunks)"""
+
+
+@query(SIZES_SQL)
 def index_size_stats(spark, sf):
     return size_stats(table(spark, sf, "chunks"), 384)
 
@@ -283,8 +309,9 @@ def compression_policy(spark, sf):
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) s) ORDER BY score DESC, vec_id LIMIT 10""")
 def cosine_topk_float(spark, sf):
     e = table(spark, sf, "embeddings")
-    seed = e.where("vec_id = 0").select("embedding").first()
-    return search.vector_topk(e, list(seed["embedding"]) if seed else [], 10).select("vec_id", F.round("score", 6).alias("score"))
+    seed = e.where("vec_id = 0").select(F.col("embedding").alias("_seed"))  # one row
+    scored = e.join(F.broadcast(seed)).select("vec_id", F.round(vx.cosine_float(F.col("_seed"), F.col("embedding")), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(10)
 
 
 def _seeded(spark: SparkSession, sf: str, codes) -> DataFrame:
@@ -317,8 +344,7 @@ FLOAT_PAIRS = """(SELECT s.vec_id AS query_id, v.vec_id, round(list_dot_product(
 def _float_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    rounded = lambda q, v: F.round(vx.cosine_float(q, v), 6)
-    return search.vector_topk_batch(e, asked, 10, vector="embedding", score=rounded)
+    return search.vector_topk_batch(e, asked, 10, vector="embedding", digits=6)
 
 
 @query(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM {FLOAT_PAIRS}) WHERE rank <= 10""")
@@ -560,22 +586,68 @@ def p5_ledger(spark, sf):
     return _plan(spark, sf)
 
 
+FENCING_SQL = """r AS (SELECT DISTINCT path, run_id::BIGINT AS token, status, max(epoch_us(recorded_at)) OVER (PARTITION BY path, run_id) / 1e6 AS since
+  FROM file_records JOIN index_runs USING (run_id) WHERE path IS NOT NULL),
+n AS (SELECT *, max(token) OVER (PARTITION BY path) AS newest, (SELECT max(epoch_us(recorded_at)) / 1e6 FROM file_records) AS now FROM r)"""
+
+
+def _leases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(leases, asked commits, now): every run's work on a path as a lease of a day, and a commit of each run that ended."""
+    records = table(spark, sf, "file_records").where("path IS NOT NULL").join(table(spark, sf, "index_runs").select("run_id", "status"), "run_id")
+    at = F.unix_micros("recorded_at") / 1e6
+    work = records.groupBy(F.col("path").alias("item"), F.col("run_id").cast("long").alias("token"), "status").agg(F.max(at).alias("at"))
+    leases = work.select("item", F.lit("any").alias("version"), F.lit("leased").alias("kind"), "token", F.lit("run").alias("worker"), "at", (F.col("at") + 86400.0).alias("until"))
+    asked = work.where("status = 'complete'").select("item", F.lit("any").alias("version"), "token", "at")
+    now = table(spark, sf, "file_records").agg((F.max(F.unix_micros("recorded_at")) / 1e6).alias("_now"))
+    return leases, asked, now
+
+
+@query(f"WITH {FENCING_SQL} SELECT path, token, token = newest AS accepted FROM n WHERE status = 'complete'")
+def p5_fencing(spark, sf):
+    """Which runs' commits the ledger takes if all come at the end: those under the newest token of their path."""
+    leases, asked, _ = _leases(spark, sf)
+    return ledger.judge_commits(asked.drop("at"), leases, now=None).select(F.col("item").alias("path"), "token", "accepted")
+
+
+@query(f"""WITH {FENCING_SQL} SELECT DISTINCT path, CASE WHEN status = 'complete' THEN 'done' WHEN since + 86400 > now THEN 'leased' ELSE 'pending' END AS state, newest AS token
+FROM n WHERE token = newest""")
+def p5_leases(spark, sf):
+    """Every recorded path's state once the accepted commits are in: done, leased while its lease of a day runs, or pending after."""
+    leases, asked, now = _leases(spark, sf)
+    done = ledger.judge_commits(asked.drop("at"), leases, now=None).where("accepted").select(
+        "item", "version", F.lit("done").alias("kind"), "token", F.lit("run").alias("worker"), F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("until")
+    )
+    end = now.first()["_now"] or 0.0  # one row
+    states = ledger.fold_states(leases.select("item", "version").distinct(), leases.unionByName(done), end)
+    return states.select(F.col("item").alias("path"), "state", "token")
+
+
 # ---- streaming
 
 
-@query()
+@query(f"{chunk_sql(256, 32)} SELECT {FIELDS}, true AS coded FROM chunked")
 def stream_progressive_index(spark, sf):
-    """Documents read as a stream and indexed in micro-batches; the stored chunks."""
+    """Documents read as a stream and indexed in micro-batches; the stored chunks, and whether each has a vector."""
     import os
     import uuid
 
     from pagelode.plans.embed import HashingEmbedder
-    from pagelode.session import ensure_checkpoint_dir
+    from pagelode.session import cut_lineage, ensure_checkpoint_dir
+    from pagelode.sources.fs import SharedFolder
+    from pagelode.sources.store import IndexStore
     from pagelode.streaming.progressive import progressive_index
 
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf}/documents.parquet"
     schema = spark.read.parquet(source).schema
     pattern = source if os.path.isdir(source) else f"{sf}/documents.parque[t]"
-    progressive_index(spark, pattern, schema, f"{base}/index", f"{base}/state", embedder=HashingEmbedder(64)).awaitTermination()
-    return spark.read.parquet(f"{base}/index").select("doc_id", "pos", "heading", "text", "range", "vector")
+    store = IndexStore(spark, f"{base}/index")
+    progressive_index(spark, pattern, schema, store, f"{base}/state", embedder=HashingEmbedder(64)).awaitTermination()
+    place = (F.row_number().over(Window.partitionBy("file").orderBy("chunk_id")) - 1).cast("long")
+    coded = store.vectors().select("chunk_id", F.col("vector").isNotNull().alias("coded"))
+    rows = cut_lineage(store.chunks().withColumn("pos", place).join(coded, "chunk_id", "left").select(
+        F.col("file").cast("long").alias("id"), "pos", "heading", "text", F.col("range.start").alias("range_start"), F.col("range.end").alias("range_end"),
+        F.coalesce("coded", F.lit(False)).alias("coded"),
+    ))
+    SharedFolder(spark, base).delete("")
+    return rows

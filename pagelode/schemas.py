@@ -12,11 +12,6 @@ CHUNK = T.StructType([
     T.StructField("range", RANGE),
 ])
 
-VECTOR = T.StructType([
-    T.StructField("chunk_id", T.LongType()),
-    T.StructField("vector", T.ArrayType(T.ByteType())),
-])
-
 #: What the chunker returns for one text.
 PIECES = T.ArrayType(T.StructType([
     T.StructField("heading", T.StringType()),
@@ -32,13 +27,6 @@ FILE_RECORD = T.StructType([
     T.StructField("batches", T.ArrayType(T.IntegerType())),
 ])
 
-BATCH_META = T.StructType([
-    T.StructField("batch_id", T.IntegerType()),
-    T.StructField("dimensions", T.IntegerType()),
-    T.StructField("compression", T.StringType()),
-    T.StructField("vectorcount", T.LongType()),
-])
-
 NAV_NODE = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("parent_path", T.StringType()),

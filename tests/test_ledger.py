@@ -32,6 +32,30 @@ def test_lease_expiry_fencing_and_retry(spark, tmp_path):
     assert ledger.states(newer, 15).collect()[0][2:] == ("pending", 1)
 
 
+def test_compaction_keeps_states_and_tokens(spark, tmp_path):
+    ledger = lg.WorkLedger(spark, str(tmp_path / "ledger"))
+    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "item string, version string")
+    for now in (0, 20, 40):
+        held = ledger.claim(items, "w", now=now, lease=10)
+        if now == 20:
+            ledger.commit(held.where("item = 'a'"), "w", now=21)
+            with pytest.raises(RuntimeError):
+                ledger.compact(22)
+    ledger.fail(ledger.held("w", 41).where("item = 'b'"), "w", now=41)
+    view = lambda now: sorted(map(tuple, ledger.states(items, now).collect()))
+    before, n = view(60), ledger.events().count()
+    assert ledger.compact(60) < n
+    assert view(60) == before == [("a", "1", "done", 2), ("b", "1", "pending", 3), ("c", "1", "pending", 3)]
+    assert [r["token"] for r in ledger.claim(items, "w", now=61, lease=5).orderBy("item").collect()] == [4, 4]
+
+
+def test_judge_commits(spark):
+    leases = spark.createDataFrame([("a", "1", "leased", 1, "w", 0.0, 5.0), ("a", "1", "leased", 2, "v", 6.0, 9.0)], lg.EVENTS)
+    asked = spark.createDataFrame([("a", "1", 1), ("a", "1", 2), ("b", "1", 1)], "item string, version string, token long")
+    for now, want in ((None, [False, True, False]), (7.0, [False, True, False]), (10.0, [False] * 3)):
+        assert [r["accepted"] for r in lg.judge_commits(asked, leases, now).orderBy("item", "token").collect()] == want
+
+
 def test_output_paths_are_deterministic(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 1.0, None), ("a", None, 1)], "item string, m double, s long")
     rows = df.select(lg.output_path("/out/", F.col("item"), lg.version_of(F.col("m"), F.col("s"))).alias("p")).collect()

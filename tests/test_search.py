@@ -51,11 +51,34 @@ def test_single_and_batch_agree_with_brute_force(spark, docs, vectors, query):
         assert [g[1:] for g in got] == [pytest.approx(w[1:]) for w in want]
 
 
-def test_long_queries_use_lists(spark, docs, monkeypatch):
-    asked = spark.createDataFrame([(1, "beta alpha beta soup"), (2, "gamma")], "query_id long, query string")
-    slots = sorted(map(tuple, s.keyword_hits_batch(docs, asked).collect()))
-    monkeypatch.setattr(s, "SLOTS", 1)
-    assert sorted(map(tuple, s.keyword_hits_batch(docs, asked).collect())) == slots and len(slots) == 4
+def test_keyword_batch_ties_and_blocks(spark, docs, monkeypatch):
+    asked = spark.createDataFrame([(1, "beta alpha beta soup"), (2, "gamma"), (3, "  "), (4, None), (5, "a")], "query_id long, query string")
+    want = {}
+    for q, text in ((1, "beta alpha beta soup"), (2, "gamma"), (5, "a")):
+        hits = sorted((-kw(t, text.split()), i) for i, t, _ in DOCS if kw(t, text.split()) > 0)[:2]
+        want |= {(q, i): (pytest.approx(-w), r + 1) for r, (w, i) in enumerate(hits)}
+    for block in (4096, 1):
+        monkeypatch.setattr(s, "QUERY_BLOCK", block)
+        rows = s.keyword_topk_batch(docs, asked, 2).collect()
+        assert {(r["query_id"], r["doc_id"]): (r["kw"], r["rank"]) for r in rows} == want
+
+
+def test_batch_keys_of_any_type(spark):
+    rows = spark.createDataFrame([("b", "red red", [1, 2]), ("a", "red red", [2, 1]), (None, "red", [1, 1]), ("c", "Red", None)], "doc_id string, text string, vector array<tinyint>")
+    asked = spark.createDataFrame([("q", "red")], "query_id string, query string")
+    got = s.keyword_topk_batch(rows, asked, 2).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == ["a", "b"]
+    both = s.hybrid_search_batch(rows, rows, asked, 5).orderBy("rank").collect()
+    assert [r["doc_id"] for r in both] == ["a", "b", "c"]  # the seed itself, its neighbour, the one without a vector
+
+
+def test_no_rows_per_query_and_text(spark, docs, vectors):
+    """What is shuffled are the best of each task, not all hits."""
+    asked = spark.range(50).selectExpr("id AS query_id", "'a' AS query")
+    many = spark.range(4000).selectExpr("id AS doc_id", "concat('a word ', id) AS text").repartition(2)
+    found = s.keyword_topk_batch(many, asked, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.count() == 150
 
 
 def test_single_hit_keeps_raw_score(docs, vectors):
@@ -80,9 +103,7 @@ def test_vector_topk(spark):
     assert [(r["vec_id"], round(r["score"], 6)) for r in rows] == [(0, 1.0), (4, 1.0), (1, round(1 / math.sqrt(2), 6))]
     assert s.vector_topk(v, [0.0, 0.0], 3).count() == 0
     asked = v.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    from pagelode.functions.vectors import cosine_float
-
-    got = s.vector_topk_batch(v, asked, 2, vector="embedding", score=cosine_float).orderBy("rank").collect()
+    got = s.vector_topk_batch(v, asked, 2, vector="embedding").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 0]
 
 
