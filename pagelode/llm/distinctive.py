@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.stage import cut
+from pagelode.llm.stage import HOT_KEYS, cut, look_up
 
 RUN = re.compile(r"[^\W_]+")
-#: A term is hot from one record in so many on, and from so many records at least.
-HOT, HOT_RECORDS = 50, 10_000
+#: A term is hot from so many records at least.
+HOT_RECORDS = 10_000
 #: No words, since they begin with a blank: the number of records, of texts that are not null, and of their characters.
 RECORDS, TEXTS, CHARS = " records", " texts", " characters"
 #: Characters of text that are worked on at once.
@@ -120,37 +120,40 @@ def term_graphs(records: DataFrame, key: str, text: str, window: int, least: int
 
 
 def distinctive_terms(
-    records: DataFrame, key: str, text: str = "text", window: int = 4, slope: float = 0.003, least: int = 1
+    records: DataFrame, key: str, text: str = "text", window: int = 4, slope: float = 0.003, least: int = 1,
+    between: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(key, term, tf, degree, df, score) for every word of every record; keys must be unique.
 
     score = degree / (1 - slope + slope * length / mean length) * ln((records + 1) / df),
     lengths in characters, the mean over all texts. A word alone in its record has degree
-    0 and score 0. ``least`` leaves out words that are rarer within their record; df and
-    the other figures cover all words of all records all the same. Null, empty and
-    wordless texts give no row, and count as records.
+    0 and score 0. ``least`` leaves out words that are rarer within their record, ``between``
+    words whose df lies outside; df and the other figures cover all words of all records
+    all the same. Null, empty and wordless texts give no row, and count as records.
     """
     if window < 2:
         raise ValueError("window must be at least 2")
     df = cut(record_frequencies(records, key, text))
     graphs = term_graphs(records, key, text, window, least)
-    sums = {r["term"]: r["df"] for r in df.where(F.col("term").isin(RECORDS, TEXTS, CHARS)).collect()}  # three rows
+    special = F.col("term").isin(RECORDS, TEXTS, CHARS)
+    sums = {r["term"]: r["df"] for r in df.where(special).collect()}  # three rows
     n, mean = sums.get(RECORDS, 0), sums.get(CHARS, 0) / max(sums.get(TEXTS, 0), 1)
     norm = 1 - slope + slope * F.col("length") / F.lit(float(mean or 1.0))
     score = F.col("degree") / norm * F.log((F.lit(float(n)) + 1) / F.col("df"))
-    return _with_frequency(graphs, df, n).select(F.col("key").alias(key), "term", "tf", "degree", "df", score.alias("score"))
+    known = _with_frequency(graphs, df.where(~special), between)
+    return known.select(F.col("key").alias(key), "term", "tf", "degree", "df", score.alias("score"))
 
 
-def _with_frequency(graphs: DataFrame, df: DataFrame, records: int) -> DataFrame:
+def _with_frequency(graphs: DataFrame, df: DataFrame, between: tuple[int, int] | None) -> DataFrame:
     """The graphs with each term's df. Terms of very many records do not gather in one task.
 
-    A term that one record in ``HOT`` has is looked up in a broadcast table; it has at most
-    ``HOT`` times as many terms as a record has on average. Its rows then meet the other
-    terms' table under a key that is spread by the record and matches nothing.
+    A term is hot if it makes up one in ``HOT_KEYS`` of all (record, term) pairs, so at most
+    ``HOT_KEYS`` are. Where they are not wanted, their rows are dropped before the shuffle.
     """
-    hot = df.where(F.col("df") >= max(HOT_RECORDS, records // HOT)).select("term", F.col("df").alias("_hot"))
-    known = graphs.join(F.broadcast(hot), "term", "left")
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("key"), F.lit(4096)).cast("string"))
-    keyed = known.withColumn("_at", F.when(F.col("_hot").isNull(), F.col("term")).otherwise(spread))
-    joined = keyed.join(df.select(F.col("term").alias("_at"), F.col("df").alias("_df")), "_at", "left")
-    return joined.withColumn("df", F.coalesce("_hot", "_df")).drop("_at", "_hot", "_df")
+    pairs = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]  # one row
+    hot = df.where(F.col("df") >= max(HOT_RECORDS, -(-pairs // HOT_KEYS))).select("term", "df")
+    if between is None:
+        return look_up(graphs, df, "term", hot.select("term"), "key")
+    wanted = df.where(F.col("df").between(*between))
+    cold = graphs.join(F.broadcast(hot.where(~F.col("df").between(*between)).select("term")), "term", "left_anti")
+    return look_up(cold, wanted, "term", hot.select("term"), "key", "inner")

@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.llm.distinctive import words_of
-from pagelode.llm.stage import BROADCAST_ROWS, anti_join, cut, first_delivery
+from pagelode.llm.stage import HOT_KEYS, cut, earliest, key_filter, look_up
 
 SEGMENTS, WIDTH = 12, 4
 #: Hash functions; each gives a smallest and a largest value, so twice as many symbols. All of them give a
@@ -36,6 +36,12 @@ HASHES = 64
 SYMBOLS = 2 * HASHES
 #: Shingles that are hashed at once.
 BLOCK = 400_000
+#: Rows of one signature that one task compares; a longer bucket is compared in tiles of two such blocks.
+BUCKET_ROWS = 4_000
+#: Members of one class that meet in one task where pairs are spelt out.
+SLICE = 1_000
+#: Standard deviations that a sketch of a pair at the threshold may fall short of its mean.
+DEVIATIONS = 3
 _U64 = np.uint64
 
 
@@ -195,25 +201,51 @@ def bucket_pairs(sig: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple
 
 
 def _candidates(index: DataFrame, kind: str, most: int) -> DataFrame:
-    """(a, b) of representatives that share a variant: an equality join of the index with itself, in one shuffle.
+    """Pairs of representatives that share a variant, an equality join of the index with itself in one shuffle: (a, b, sig, block).
 
     Rows are sorted by signature within their partition (spilling if need be), and a task
-    holds one signature's rows at a time, as three numbers each.
+    holds one signature's rows at a time, as three numbers each. A bucket of more than
+    ``BUCKET_ROWS`` is not compared here: each of its rows comes out as (a, null, sig, block).
     """
+    names = ["a", "b", "sig", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        def hot(rows: pa.Table, place: int) -> pa.RecordBatch:
+            n = rows.num_rows
+            block = pa.array((np.arange(place, place + n) // BUCKET_ROWS).astype(np.int32))
+            keys = rows.column(1).combine_chunks()
+            return pa.RecordBatch.from_arrays([keys, pa.nulls(n, keys.type), rows.column(0).combine_chunks(), block], names=names)
 
-        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig = rows.column(0).to_numpy().view(np.uint64)
+        def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            sig = rows.column(0).to_numpy()
+            _, first, size = np.unique(sig, return_index=True, return_counts=True)
+            long = size > BUCKET_ROWS
+            for at, n in zip(first[long].tolist(), size[long].tolist()):
+                yield hot(rows.slice(at, n), 0)
+            if long.any():
+                rows = rows.take(pa.array(np.nonzero(~np.repeat(long, size))[0]))
+                sig = rows.column(0).to_numpy()
             bits = rows.column(2).to_numpy().view(np.uint64)
             keys = rows.column(1).combine_chunks()
-            for x, y in bucket_pairs(sig, bits, most):
+            for x, y in bucket_pairs(sig.view(np.uint64), bits, most):
                 a, b = keys.take(pa.array(x)), keys.take(pa.array(y))
                 swap = pc.greater(a, b)
-                yield pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b)], names=["a", "b"])
+                n = len(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names
+                )
 
+        held: list[pa.RecordBatch] = []
+        going, place = None, 0  # the signature whose rows are passed on, and how many were
         for batch in batches:
+            if going is not None:
+                n = int(np.searchsorted(batch.column(0).to_numpy(), going, "right"))
+                if n:
+                    yield hot(pa.Table.from_batches([batch.slice(0, n)]), place)
+                    place += n
+                if n == batch.num_rows:
+                    continue
+                going, batch = None, batch.slice(n)
             held.append(batch)
             if sum(b.num_rows for b in held) < 200_000:
                 continue
@@ -221,13 +253,70 @@ def _candidates(index: DataFrame, kind: str, most: int) -> DataFrame:
             sig = rows.column(0).to_numpy()
             stop = int(np.searchsorted(sig, sig[-1], "left"))
             if stop:
-                yield from pairs(rows.slice(0, stop))
-            held = rows.slice(stop).to_batches()
+                yield from compared(rows.slice(0, stop))
+            rest = rows.slice(stop)
+            held = rest.to_batches()
+            if rest.num_rows > BUCKET_ROWS:
+                yield hot(rest, 0)
+                going, place, held = sig[-1], rest.num_rows, []
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
 
     spread = index.repartition("sig").sortWithinPartitions("sig")
-    return spread.mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
+    return spread.mapInArrow(run, f"a {kind}, b {kind}, sig bigint, block int")
+
+
+def agreeing_symbols(similarity: float, symbols: int, deviations: float) -> int:
+    """Symbols that must agree: the mean at that similarity less so many standard deviations."""
+    return int(np.floor(symbols * similarity - deviations * np.sqrt(symbols * similarity * (1 - similarity))))
+
+
+def _in_tiles(hot: DataFrame, records: DataFrame, key: str, text: str, at: str | None, kind: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of the rows (a, sig, block) of long buckets whose full sketches agree in enough symbols.
+
+    Every pair of a bucket's blocks is one tile, and a tile is one task's work, so a bucket
+    of any length is spread. All ``SYMBOLS`` symbols are compared, which tells records that
+    share a phrase from near-duplicates far better than the bits that other buckets are thinned by.
+    """
+    asked = hot.select("a").distinct()
+    texts = earliest(records.where(F.col(key).isNotNull() & key_filter(asked, "a")(F.col(key))), key, at, [text])
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, words in _records(batch):
+                keep = [i for i, w in enumerate(words) if len(w) >= shingle]
+                if keep:
+                    own = sketch(*shingle_hashes([words[i] for i in keep], shingle))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(keep)), pa.array([r.tobytes() for r in own], pa.binary())], names=["a", "all"])
+
+    full = texts.select(F.col(key).alias("a"), F.col(text).alias("text")).mapInArrow(symbols, f"a {kind}, all binary")
+    blocks = hot.groupBy("sig").agg((F.max("block") + 1).alias("_blocks"))
+    rows = hot.join(full, "a").join(blocks, "sig").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("sig", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "a", "all")
+    least = agreeing_symbols(similarity, SYMBOLS, DEVIATIONS)
+
+    def compare(tile: pa.Table) -> pa.Table:
+        block = tile.column("block").to_numpy()
+        keys = tile.column("a").combine_chunks()
+        own = np.frombuffer(b"".join(tile.column("all").to_pylist()), dtype=np.uint16).reshape(len(block), SYMBOLS)
+        left = np.nonzero(block == tile.column("i")[0].as_py())[0]
+        right = np.nonzero(block == tile.column("j")[0].as_py())[0]
+        found = []
+        columns = np.ascontiguousarray(own[right].T)
+        for part in range(0, len(left), 500):
+            rows = left[part : part + 500]
+            same = np.zeros((len(rows), len(right)), dtype=np.uint8)
+            for s in range(SYMBOLS):
+                same += own[rows, s][:, None] == columns[s][None]
+            x, y = np.nonzero(same >= least)
+            found.append((rows[x], right[y]))
+        x, y = (pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1))
+        a, b = keys.take(x), keys.take(y)
+        ordered = pc.less(a, b) if tile.column("i")[0] == tile.column("j")[0] else pa.array(np.ones(len(a), dtype=bool))
+        swap = pc.greater(a, b)
+        return pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b)}).filter(ordered)
+
+    return rows.groupBy("sig", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, kind: str, shingle: int, similarity: float) -> DataFrame:
@@ -253,55 +342,83 @@ def _verified(pairs: DataFrame, kind: str, shingle: int, similarity: float) -> D
 def near_duplicate_classes(
     records: DataFrame, key: str, text: str = "text", at: str | None = None, shingle: int = 5, similarity: float = 0.8, least_words: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: (key, rep) of every record long enough; links: (a, b, similarity) between representatives.
+    """(members, links). members: (key, rep, size) of every record long enough; links: (a, b, similarity) between representatives.
 
     A key counts once, by its earliest ``at``. ``rep`` is the smallest key with the same
-    words; texts without a shingle (null, empty, short) are in neither table. Links hold
-    for all members. Records as similar as the threshold share a variant with a
-    probability of 1 - (1 - s**4 - 4 (1-s) s**3)**12, 0.99 at a half and above 0.999 from 0.6 on.
+    words and ``size`` their number; texts without a shingle (null, empty, short) are in
+    neither table. Links hold for all members. Records as similar as the threshold share a
+    variant with a probability of 1 - (1 - s**4 - 4 (1-s) s**3)**12, 0.989 at a half and
+    above 0.999 from 0.6 on; each of the two sketch tests then loses 0.13 % of those at the
+    threshold, and hardly any that are more alike, so 0.986 at a half are found.
     """
     kind = records.schema[key].dataType.simpleString()
     whole = F.struct("c1", "c2", "symbols", "b0", "b1")
     delivered = sketches(records.where(F.col(key).isNotNull()), key, text, at, shingle, least_words)
     sketched = cut(delivered.groupBy("key").agg(F.min_by(whole, F.struct(F.col("at").isNull(), "at", "c1", "c2")).alias("_s")).select("key", "_s.*"))
-    classes = sketched.groupBy("c1", "c2").agg(F.min("key").alias("rep"))
-    members = cut(sketched.select("key", "c1", "c2").join(classes, ["c1", "c2"]).select("key", "rep"))
-    copies = members.where("key <> rep").select("key")
-    reps = anti_join(sketched, copies, ["key"], copies.count())
-    candidates = _candidates(_variants(reps, kind), kind, differing_bits(similarity, 64, 2.5))
-    known = sketched.select("key", "b0", "b1")
+    one = F.min_by(F.struct("key", "symbols", "b0", "b1"), "key").alias("_r")
+    classes = cut(sketched.groupBy("c1", "c2").agg(one, F.count("*").alias("size")).select("c1", "c2", "_r.*", "size"))
+    total = sketched.count()
+    members = cut(_members(sketched.select("key", "c1", "c2"), classes, total))
+    found = cut(_candidates(_variants(classes, kind), kind, differing_bits(similarity, 64, DEVIATIONS)))
+    candidates = found.where("sig IS NULL").select("a", "b").where("a <> b").distinct()
+    hot = found.where("sig IS NOT NULL").select("a", "sig", "block")
+    known = classes.select("key", "b0", "b1")
     both = candidates.join(known.toDF("a", "a0", "a1"), "a").join(known.toDF("b", "b0", "b1"), "b")
     far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    close = cut(both.where(far <= differing_bits(similarity, SYMBOLS, 3)).select("a", "b"))
-    asked = cut(close.select(F.col("a").alias(key)).union(close.select("b")).distinct())
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    needed = records.select(key, text, *([at] if at else [])).join(side, key, "left_semi")
-    texts = cut(first_delivery(needed, key, at, [text]) if at else needed)
+    close = both.where(far <= differing_bits(similarity, SYMBOLS, DEVIATIONS)).select("a", "b")
+    if not hot.isEmpty():
+        close = close.union(_in_tiles(hot, records, key, text, at, kind, shingle, similarity)).distinct()
+    close = cut(close)
+    asked = close.select("a").union(close.select("b")).distinct()
+    # Texts that the filter lets through without need meet no pair in the joins below.
+    texts = cut(earliest(records.where(F.col(key).isNotNull() & key_filter(asked, "a")(F.col(key))), key, at, [text]))
     with_texts = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return members, _verified(with_texts, kind, shingle, similarity)
 
 
+def _members(keys: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """(key, rep, size) of every record. Classes with one in ``HOT_KEYS`` of all records are looked up apart."""
+    name = F.concat_ws(" ", F.col("c1").cast("string"), F.col("c2").cast("string")).alias("class")
+    table = classes.select(name, F.col("key").alias("rep"), "size")
+    hot = classes.where(F.col("size") >= max(SLICE, -(-total // HOT_KEYS))).select(name)
+    return look_up(keys.select("key", name), table, "class", hot, "key").select("key", "rep", "size")
+
+
+def _slices(size: Column) -> Column:
+    return F.ceil(size / SLICE).cast("int")
+
+
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b) of single records, the smaller first: members of linked classes, and members of one class."""
-    m = members.toDF("_k", "_rep")
-    across = (
-        links.select("a", "b").join(m.toDF("ka", "a"), "a").join(m.toDF("kb", "b"), "b")
-        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    )
-    several = m.where(F.col("_k") != F.col("_rep")).select("_rep").distinct()
-    copies = m.join(several, "_rep", "left_semi").select("_k", "_rep")
-    within = copies.toDF("a", "_rep").join(copies.toDF("b", "_rep"), "_rep").where(F.col("a") < F.col("b")).select("a", "b")
+    """(a, b) of single records, the smaller first: members of linked classes, and members of one class.
+
+    Classes of more than ``SLICE`` members are sliced by a hash, and what they meet is dealt
+    to every slice, so no class gathers in one task.
+    """
+    m = members.select(F.col("key").alias("_k"), F.col("rep").alias("_rep"), "size")
+    sliced = m.withColumn("_slice", F.pmod(F.xxhash64("_k"), _slices(F.col("size")).cast("long")).cast("int"))
+    large = m.where(F.col("size") > SLICE).select("_rep", _slices(F.col("size")).alias("_n")).distinct()
+
+    def spread(rows: DataFrame, end: str, name: str) -> DataFrame:
+        known = rows.join(large.withColumnRenamed("_rep", end), end, "left")
+        dealt = known.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+        return dealt.join(sliced.select(F.col("_k").alias(name), F.col("_rep").alias(end), "_slice"), [end, "_slice"]).drop("_slice")
+
+    across = spread(spread(links.select("a", "b"), "a", "ka"), "b", "kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    copies = sliced.where("size > 1")
+    dealt = copies.select(F.col("_k").alias("b"), "_rep", F.explode(F.sequence(F.lit(0), _slices(F.col("size")) - 1)).alias("_slice"))
+    within = copies.select(F.col("_k").alias("a"), "_rep", "_slice").join(dealt, ["_rep", "_slice"]).where(F.col("a") < F.col("b")).select("a", "b")
     return across.unionByName(within)
 
 
-def connected_groups(links: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_groups(links: DataFrame) -> DataFrame:
     """(node, group): the smallest node that the links (a, b) reach, for every node with a link.
 
     Large-star and small-star steps in turn; each step is an aggregation and a join, and
-    its edges are cut into the shared folder. Ends when a round changes nothing.
+    its edges are cut into the shared folder. Ends when a round changes nothing, after a
+    number of rounds in the order of the logarithm of the longest chain.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    for _ in range(rounds):
+    while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
@@ -315,19 +432,20 @@ def connected_groups(links: DataFrame, rounds: int = 50) -> DataFrame:
         edges = after
         if same:
             break
-    else:
-        raise RuntimeError(f"groups did not settle in {rounds} rounds")
     nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("group"))
     return nodes.union(edges.select("lo", "lo")).distinct()
 
 
 def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key, group, links): every record's group, its own key if it has no partner, and its number of linked records."""
+    links = cut(links)
     groups = connected_groups(links)
-    size = members.groupBy("rep").agg(F.count("*").alias("_size"))
+    size = members.groupBy("rep").agg(F.max("size").alias("_n"))
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
     partners = ends.join(size.toDF("other", "_n"), "other").groupBy("rep").agg(F.sum("_n").alias("_across"))
-    named = members.join(groups.toDF("rep", "_g"), "rep", "left").join(size, "rep").join(partners, "rep", "left")
+    known = partners.join(groups.toDF("rep", "_g"), "rep", "full_outer")
+    large = members.where(F.col("size") >= max(SLICE, -(-members.count() // HOT_KEYS))).select("rep").distinct()
+    named = look_up(members, known, "rep", large, "key")
     return named.select(
-        "key", F.coalesce("_g", "rep").alias("group"), (F.coalesce("_across", F.lit(0)) + F.col("_size") - 1).cast("long").alias("links")
+        "key", F.coalesce("_g", "rep").alias("group"), (F.coalesce("_across", F.lit(0)) + F.col("size") - 1).cast("long").alias("links")
     )

@@ -8,16 +8,20 @@ cosine found lies within the distance at which a vector is sure to collide often
 enough; else it is widened and counted again (virtual rehashing): widening is a wider
 range of the same sorted array, nothing is hashed anew. The last level is exact.
 
+A sorted array is kept as sets of the rows before each of its ``EDGES`` edges, a bit a
+row. A window is the difference of two such sets, and all windows of a query are added
+up bit by bit in parallel, so 64 vectors are counted at once.
+
 Counting collisions against all vectors is quadratic, so it is done within cells. The
-centres of an index's cells are fitted on a bounded sample; every vector goes to the
-``copies`` cells whose centres are nearest, and neighbours found in either cell are
-merged. A cell that is still large is divided again, where it is worked on. A vector
-whose k-th neighbour lies farther off than its cells are sure to hold is compared with
-all vectors of its index.
-
-Vectors that are exact copies are counted once up to ``k`` + 1 times: the copies with
-the smallest keys are the neighbours of all others, so a vector that a third of all
-rows share never gathers in one cell.
+cells' centres are fitted on a bounded sample of every index, in two levels where they
+are many, and shared out over the indexes by their size; every vector goes to its two
+nearest cells, and neighbours found in either cell are merged. A cell that is still
+large is divided again, where it is worked on. A vector whose k-th neighbour lies
+farther off than its cells are sure to hold is compared with all vectors of its index.
+
+Vectors that are exact copies are one class; cells hold one vector a class. The k + 1
+smallest keys of a class stand for it, so a vector that a third of all rows share
+never gathers in one task.
 """
 
 from __future__ import annotations
@@ -30,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelode.llm.stage import BROADCAST_ROWS, anti_join, cut
+from pagelode.llm.stage import HOT_KEYS, cut, key_filter, look_up, small_side
 
-#: Vectors per index on which centres are fitted, and the most centres: both bound what the driver holds and sends.
-SAMPLE, CENTRES = 6_000, 1_024
+#: Centres of all indexes together: 25 MB at 384 dimensions is what the driver sends.
+CENTRES = 16_384
+#: Vectors of an index on which its centres are fitted: so many, or so many a centre.
+SAMPLE, SAMPLE_SHARE = 6_000, 8
 #: Vectors a cell should have, and the size from which a cell is divided again.
 CELL_ROWS, SPLIT_ROWS = 400, 4_000
-LINES = 64
+#: Centres from which they are looked up in two levels, groups that are looked into, and centres that are known to a centre as near.
+TWO_LEVELS, LOOK_INTO, NEAR = 512, 4, 64
+LINES, EDGES = 64, 128
 #: Half window on the first level and its growth; collisions that make a candidate.
 WINDOW, GROWTH, LEVELS, THRESHOLD = 0.5, 1.5, 3, 31
 #: At a distance of half / SURE a window holds a vector on 65 % of the lines: THRESHOLD is 2.8 standard deviations less.
@@ -50,7 +58,7 @@ PASS_BYTES = 16 << 20
 def usable(vectors: DataFrame, indexes: DataFrame) -> DataFrame:
     """Rows whose vector has its index's dimensions and more than one value."""
     dims = cut(indexes.where(F.col("index_id").isNotNull()).groupBy("index_id").agg(F.max("dimensions").alias("_d")))
-    dims = F.broadcast(dims) if dims.count() <= BROADCAST_ROWS else dims  # one row an index
+    dims = small_side(dims)  # one row an index
     v = F.col("vector")
     return vectors.where(F.col("chunk_id").isNotNull()).join(dims, "index_id").where(
         v.isNotNull() & (F.size(v) == F.col("_d")) & (F.array_min(v) != F.array_max(v))
@@ -83,32 +91,84 @@ def fit_centres(unit: np.ndarray, count: int, rounds: int = 6, seed: int = 5) ->
     return centres
 
 
-def nearest_centres(unit: np.ndarray, centres: np.ndarray, copies: int) -> np.ndarray:
-    """The ``copies`` nearest centres of each row, (rows, copies)."""
-    copies = min(copies, len(centres))
-    sims = unit @ centres.T
-    if copies == len(centres):
-        return np.argsort(-sims, axis=1)
-    return np.argpartition(-sims, copies - 1, axis=1)[:, :copies]
-
-
-def reach(unit: np.ndarray, centres: np.ndarray, home: np.ndarray) -> np.ndarray:
-    """Up to which distance a row's neighbours are taken to share one of its cells.
-
-    With two cells each, a vector shares none only if two other centres are nearer to it
-    than the row's own nearest, so it lies beyond two of the planes half way to other
-    centres. How far it goes towards a plane is its distance times a random direction's share.
-    """
-    copies = home.shape[1]
-    if len(centres) < 2 * copies:
-        return np.full(len(unit), 9.0, dtype=np.float32)  # any two choices of cells have one in common
-    sims = unit @ centres.T
-    own = np.argmax(sims, axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-9))
-    to_plane = (sims[np.arange(len(unit)), own][:, None] - sims) / apart[own]
-    np.put_along_axis(to_plane, home, np.inf, axis=1)
-    beyond = np.partition(to_plane, copies - 1, axis=1)[:, copies - 1]
-    return (beyond * max(1.0, np.sqrt(unit.shape[1]) / STRAY)).astype(np.float32)
+def fit_levels(unit: np.ndarray, count: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, group of each): at once, or groups first and centres within each where they are many."""
+    if count <= TWO_LEVELS:
+        centres = fit_centres(unit, count, seed=seed)
+        return centres, np.zeros(len(centres), dtype=np.int32)
+    groups = fit_centres(unit, int(np.sqrt(count)), seed=seed)
+    home = np.argmax(unit @ groups.T, axis=1)
+    parts, group = [], []
+    for g in np.unique(home):
+        own = unit[home == g]
+        parts.append(fit_centres(own, max(1, round(count * len(own) / len(unit))), seed=seed))
+        group += [g] * len(parts[-1])
+    return np.concatenate(parts), np.array(group, dtype=np.int32)
+
+
+class Cells:
+    """The cells of one index: which two a vector belongs to, and how far its neighbours are sure to share one."""
+
+    def __init__(self, centres: np.ndarray, group: np.ndarray) -> None:
+        order = np.argsort(group, kind="stable")
+        self.centres, self.names = centres[order], order
+        group = group[order]
+        starts = np.unique(group, return_index=True)[1]
+        self.bounds = np.append(starts, len(group))
+        means = np.add.reduceat(self.centres, starts, axis=0)
+        self.groups = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+        near = min(NEAR, len(centres) - 1)
+        self.near = np.empty((len(centres), near), dtype=np.int64)
+        self.apart = np.empty((len(centres), near), dtype=np.float32)
+        for at in range(0, len(centres), 1_000) if near else ():
+            sims = self.centres[at : at + 1_000] @ self.centres.T
+            rows = np.arange(len(sims))
+            sims[rows, at + rows] = -9
+            self.near[at : at + 1_000] = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+            self.apart[at : at + 1_000] = distance(np.take_along_axis(sims, self.near[at : at + 1_000], axis=1))
+
+    def _own(self, unit: np.ndarray) -> np.ndarray:
+        """The nearest centre, looked for in the nearest groups if there are many."""
+        if len(self.groups) == 1:
+            return np.argmax(unit @ self.centres.T, axis=1)
+        sims = unit @ self.groups.T
+        best, own = np.full(len(unit), -9.0, dtype=np.float32), np.zeros(len(unit), dtype=np.int64)
+        top = np.argpartition(-sims, min(LOOK_INTO, sims.shape[1]) - 1, axis=1)[:, :LOOK_INTO]
+        for g in np.unique(top):
+            rows = np.nonzero((top == g).any(1))[0]
+            inside = unit[rows] @ self.centres[self.bounds[g] : self.bounds[g + 1]].T
+            which = inside.argmax(1)
+            value = inside[np.arange(len(rows)), which]
+            better = value > best[rows]
+            best[rows[better]], own[rows[better]] = value[better], which[better] + self.bounds[g]
+        return own
+
+    def places(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((rows, 1 or 2) cells of every row, the distance up to which its neighbours are taken to share one).
+
+        A vector shares neither cell only if two other centres are nearer to it than the row's
+        own nearest, so it lies beyond two of the planes half way to other centres. How far it
+        goes towards a plane is its distance times a random direction's share.
+        """
+        own = self._own(unit)
+        sure = np.full(len(unit), 9.0, dtype=np.float32)
+        if len(self.centres) == 1:
+            return self.names[own][:, None], sure
+        home = np.empty((len(unit), 2), dtype=np.int64)
+        home[:, 0] = own
+        order = np.argsort(own, kind="stable")
+        for rows in np.split(order, np.nonzero(np.diff(own[order]))[0] + 1):
+            c = own[rows[0]]
+            x = unit[rows]
+            sims = x @ self.centres[self.near[c]].T
+            second = sims.argmax(1)
+            home[rows, 1] = self.near[c][second]
+            if len(self.centres) >= 4:  # of fewer, any two choices have one in common
+                to_plane = ((x @ self.centres[c])[:, None] - sims) / np.maximum(self.apart[c], 1e-6)
+                to_plane[np.arange(len(rows)), second] = np.inf
+                beyond = np.partition(to_plane, 1, axis=1)[:, 1]
+                sure[rows] = beyond * max(1.0, np.sqrt(unit.shape[1]) / STRAY)
+        return self.names[home], sure
 
 
 def distance(cosine: np.ndarray | float) -> np.ndarray:
@@ -119,22 +179,65 @@ def lines(dims: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng([seed, dims]).standard_normal((dims, LINES)).astype(np.float32)
 
 
-def count_collisions(values: np.ndarray, who: np.ndarray, half: float) -> np.ndarray:
-    """How many of the query-centred windows each vector lies in: (len(who), rows).
-
-    ``values``: rows x lines. A window is a range of ranks in the line's sorted array.
-    """
-    rows = len(values)
-    hits = np.zeros((len(who), rows), dtype=np.uint8)
-    rank = np.empty(rows, dtype=np.uint16 if rows < 65_000 else np.uint32)
-    for line in values.T:
-        order = np.argsort(line, kind="stable")
-        array = line[order]
-        rank[order] = np.arange(rows, dtype=rank.dtype)
-        low = np.searchsorted(array, line[who] - half, "left").astype(rank.dtype)
-        width = np.searchsorted(array, line[who] + half, "right").astype(rank.dtype) - low
-        hits += (rank[None, :] - low[:, None]) < width[:, None]  # unsigned: a rank below the window wraps around
-    return hits
+class SortedLines:
+    """The sorted arrays of a cell's lines, as sets of the rows before each edge; ``values``: rows x lines."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.rows = len(values)
+        edges = np.arange(EDGES + 1) * self.rows // EDGES
+        words = -(-self.rows // 64)
+        self.sorted = np.sort(values, axis=0).T.copy()
+        self.before = np.zeros((values.shape[1], EDGES + 1, words * 8), dtype=np.uint8)
+        self.rank = np.empty((values.shape[1], self.rows), dtype=np.int32)
+        for line, column in enumerate(values.T):
+            self.rank[line, np.argsort(column, kind="stable")] = np.arange(self.rows, dtype=np.int32)
+            packed = np.packbits(self.rank[line][None, :] < edges[:, None], axis=1)
+            self.before[line, :, : packed.shape[1]] = packed
+        self.before = self.before.view(np.uint64)
+        self.edges = edges
+        self._windows: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+    def windows(self, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """(lines, rows) edges at which the windows of a half width around every row begin and end."""
+        if half not in self._windows:
+            low, high = np.empty_like(self.rank), np.empty_like(self.rank)
+            for line, array in enumerate(self.sorted):  # in the array's own order, which is quick to search
+                first = np.searchsorted(self.edges, np.searchsorted(array, array - half, "left"), "right") - 1
+                last = np.searchsorted(self.edges, np.searchsorted(array, array + half, "right"), "left")
+                low[line], high[line] = first[self.rank[line]], last[self.rank[line]]
+            self._windows[half] = low, high
+        return self._windows[half]
+
+    def collided(self, who: np.ndarray, half: float, least: int) -> np.ndarray:
+        """(len(who), rows) whether a row lies in ``least`` of a query's windows; windows reach to the next edges."""
+        levels: list[list[np.ndarray]] = [[]]
+        low, high = (edge[:, who] for edge in self.windows(half))
+        for line in range(len(self.before)):
+            _add(levels, 0, self.before[line][high[line]] ^ self.before[line][low[line]])
+        enough = np.full_like(levels[0][0], np.iinfo(np.uint64).max)
+        for level in range(len(levels) + 1):  # what waits in pairs is carried on
+            if level < len(levels) and len(levels[level]) == 2:
+                a, b = levels[level]
+                levels[level] = [a ^ b]
+                _add(levels, level + 1, a & b)
+        for level, (bits, *_) in enumerate(levels):
+            enough = enough & bits if least >> level & 1 else enough | bits
+        if least >> len(levels):
+            enough[:] = 0
+        return np.unpackbits(enough.view(np.uint8), axis=1)[:, : self.rows].view(bool)
+
+
+def _add(levels: list[list[np.ndarray]], level: int, bits: np.ndarray) -> None:
+    """Adds numbers of weight 2 ** level, one a bit; three of a weight become one and a carry."""
+    if level == len(levels):
+        levels.append([])
+    waiting = levels[level]
+    waiting.append(bits)
+    if len(waiting) == 3:
+        a, b, c = waiting
+        both = a ^ b
+        levels[level] = [both ^ c]
+        _add(levels, level + 1, (a & b) | (both & c))
 
 
 #: Rounding of a product of unit vectors; what is so near to the k-th best is told by the exact cosine.
@@ -159,16 +262,16 @@ def neighbours_in_cell(keys: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.
     exact = codes.astype(np.float32)  # integer sums below 2**24 are exact in float32
     norms = np.einsum("ij,ij->i", exact, exact).astype(np.float64)
     unit = exact / np.sqrt(norms)[:, None].astype(np.float32)
-    values = unit @ lines(codes.shape[1])
+    arrays = SortedLines(unit @ lines(codes.shape[1]))
     need = min(k, n - 1)
     out_q, out_n, out_c = [], [], []
-    block = max(1, min(n, 8_000_000 // n))
+    block = max(1, min(n, 2_000_000 // n))
     for at in range(0, n, block):
         who = np.arange(at, min(at + block, n))
         half, level = WINDOW, 0
         while len(who):
             if level < LEVELS:
-                q, x = np.nonzero(count_collisions(values, who, half) >= THRESHOLD)
+                q, x = np.nonzero(arrays.collided(who, half, THRESHOLD))
                 if 4 * len(q) > len(who) * n:  # a window that takes so many costs more than the exact level
                     level = LEVELS
             if level >= LEVELS:  # every vector is a candidate; the k-th best is told by a product
@@ -195,59 +298,66 @@ def neighbours_in_cell(keys: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.
 
 
 def _divide(
-    keys: np.ndarray, codes: np.ndarray, k: int, copies: int, depth: int = 0, sure: np.ndarray | None = None, at: np.ndarray | None = None
+    keys: np.ndarray, codes: np.ndarray, k: int, sure: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query keys, neighbour keys, cosines), dividing a large cell first.
+    """(query keys, neighbour keys, cosines), dividing a large cell first, and its parts again while that makes them smaller.
 
-    ``sure``, at the positions ``at``, is lowered to the ``reach`` of the divided cells.
+    ``sure`` is lowered to what the divided cells are sure to hold.
     """
-    if len(keys) > SPLIT_ROWS and depth < 6:
-        unit = _unit(codes)
-        sample = unit[np.random.default_rng(depth).choice(len(unit), min(len(unit), SAMPLE), replace=False)]
-        centres = fit_centres(sample, min(CENTRES, len(keys) // CELL_ROWS), seed=depth)
-        home = nearest_centres(unit, centres, copies)
-        cells = [np.nonzero((home == c).any(axis=1))[0] for c in range(len(centres))]
-        if max(map(len, cells)) < len(keys):
-            at = np.arange(len(keys)) if at is None else at
-            if sure is not None:
-                sure[at] = np.minimum(sure[at], reach(unit, centres, home))
-            del unit
-            for inside in cells:
-                if len(inside):
-                    yield from _divide(keys[inside], codes[inside], k, copies, depth + 1, sure, at[inside])
-            return
-    yield from _whole(keys, codes, k)
-
-
-def _whole(keys: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    q, x, c = neighbours_in_cell(keys, codes, k)
-    yield keys[q], keys[x], c
-
-
-def sample_units(rows: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarray]:
-    """At most about ``SAMPLE`` unit vectors per index, chosen by a hash of the key."""
-    share = F.lit(0.0)
-    for index, n in counts.items():
-        share = F.when(F.col("index_id") == index, F.lit(min(1.0, SAMPLE / max(n, 1)))).otherwise(share)
-    at = F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(at < share).select("index_id", "vector").toArrow()
-    index = picked.column(0).to_numpy()
-    vectors = picked.column(1).combine_chunks()
-    return {i: _unit(_matrix(vectors.take(pa.array(np.nonzero(index == i)[0])))) for i in counts if (index == i).any()}
-
-
-def _to_cells(rows: DataFrame, centres: dict[int, np.ndarray], copies: int) -> DataFrame:
-    """(index_id, cell, chunk_id, code, sure): each vector once for each of its nearest cells; sure is its ``reach``."""
+    waiting = [np.arange(len(keys))]
+    while waiting:
+        at = waiting.pop()
+        if len(at) > SPLIT_ROWS:
+            unit = _unit(codes[at])
+            rng = np.random.default_rng(len(at))
+            count = min(TWO_LEVELS, len(at) // CELL_ROWS)
+            cells = Cells(*fit_levels(unit[rng.choice(len(at), min(len(at), SAMPLE), replace=False)], count))
+            home, reach = cells.places(unit)
+            parts = [np.nonzero((home == c).any(axis=1))[0] for c in range(len(cells.centres))]
+            if max(map(len, parts)) <= 0.8 * len(at):
+                if sure is not None:
+                    sure[at] = np.minimum(sure[at], reach)
+                waiting += [at[p] for p in parts if len(p)]
+                continue
+        q, x, c = neighbours_in_cell(keys[at], codes[at], k)
+        yield keys[at][q], keys[at][x], c
+
+
+def _fitted(rows: DataFrame, plan: DataFrame) -> dict[int, Cells]:
+    """The cells of every index that has more than one, fitted where its sample is."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(float(SAMPLE)), F.col("cells") * float(SAMPLE_SHARE)) / F.col("n"))
+    chance = F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(plan.where("cells > 1"), "index_id").where(chance < share).select("index_id", "cells", "vector")
+
+    def fit(table: pa.Table) -> pa.Table:
+        centres, group = fit_levels(_unit(_matrix(table.column("vector").combine_chunks())), table.column("cells")[0].as_py())
+        index = np.full(len(centres), table.column("index_id")[0].as_py(), dtype=np.int32)
+        return pa.table({"index_id": index, "group": group, "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
+
+    got = sample.groupBy("index_id").applyInArrow(fit, "index_id int, group int, centre binary").toArrow()  # at most CENTRES rows
+    index = got.column("index_id").to_numpy()
+    raw, group = got.column("centre").to_pylist(), got.column("group").to_numpy()
+    at = {int(i): np.nonzero(index == i)[0] for i in np.unique(index)}
+    return {i: (np.stack([np.frombuffer(raw[r], dtype=np.float32) for r in rows]), group[rows]) for i, rows in at.items()}
+
+
+def _to_cells(rows: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(index_id, cell, chunk_id, code, sure): each vector once for each of its two cells; an index without centres is one cell."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Cells] = {}
         for batch in batches:
             index = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in np.unique(index):
+            for i in np.unique(index).tolist():
                 at = np.nonzero(index == i)[0]
                 codes = _matrix(batch.column(2).take(pa.array(at)))
-                unit = _unit(codes)
-                home = nearest_centres(unit, centres[int(i)], copies)
-                sure = reach(unit, centres[int(i)], home)
+                if i in sent.value:
+                    if i not in known:
+                        known[i] = Cells(*sent.value[i])
+                    home, sure = known[i].places(_unit(codes))
+                else:
+                    home, sure = np.zeros((len(at), 1), dtype=np.int64), np.full(len(at), 9.0, dtype=np.float32)
                 row = np.repeat(np.arange(len(at)), home.shape[1])
                 blob = pa.array([r.tobytes() for r in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -261,41 +371,45 @@ def _to_cells(rows: DataFrame, centres: dict[int, np.ndarray], copies: int) -> D
     return rows.select("index_id", "chunk_id", "vector").mapInArrow(run, "index_id int, cell int, chunk_id bigint, code binary, sure float")
 
 
-def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2) -> DataFrame:
+def _one_version(rows: DataFrame) -> DataFrame:
+    """(chunk_id, index_id, h1, h2, versions): of a key with several vectors the one of the earliest embedded_at holds."""
+    vector = F.struct("index_id", "h1", "h2")
+    return rows.groupBy("chunk_id").agg(
+        F.min_by(vector, F.struct(F.col("embedded_at").isNull(), "embedded_at", "index_id", "h1", "h2")).alias("_r"),
+        (F.min(vector) != F.max(vector)).alias("versions"),
+    ).select("chunk_id", "_r.*", "versions")
+
+
+def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     """(index_id, chunk_id, neighbour, cosine): up to k most similar vectors of the same index for every usable vector.
 
-    Ties go to the smaller key, and a vector has all others of its index where these are fewer than k. Repeated rows count once; where one key has several vectors, the earliest
+    Ties go to the smaller key, and a vector has all others of its index where these are
+    fewer than k. Repeated rows count once; where one key has several vectors, the earliest
     embedded_at holds. Unusable vectors (null, wrong length, one repeated value) give no row.
     """
-    rows = usable(vectors, indexes).withColumn("_h", F.xxhash64("vector"))
-    seen = rows.groupBy("index_id", "chunk_id", "_h").agg(F.min(F.struct(F.col("embedded_at").isNull(), "embedded_at")).alias("_at"))
-    chosen = seen.groupBy("chunk_id").agg(
-        F.min_by(F.struct("index_id", "_h"), F.struct("_at", "index_id", "_h")).alias("_r"), F.count("*").alias("_versions")
-    ).select("chunk_id", "_r.index_id", "_r._h", "_versions")
-    place = F.row_number().over(Window.partitionBy("index_id", "_h").orderBy("chunk_id"))
-    chosen = cut(chosen.withColumn("_place", place))
-    counts = {r["index_id"]: r["n"] for r in chosen.groupBy("index_id").agg(F.count("*").alias("n")).collect()}  # one row an index
-    if not counts:
-        return vectors.sparkSession.createDataFrame([], "index_id int, chunk_id bigint, neighbour bigint, cosine double")
-    # Rows that are left out of the cells: other versions of a key, and copies beyond the first k + 1.
-    versions = chosen.where("_versions > 1")
-    other = rows.join(versions.select("chunk_id", F.col("_h").alias("_first")), "chunk_id").where("_h <> _first").select("chunk_id", "_h")
-    tail = chosen.where(F.col("_place") > k + 1)
-    n_versions, n_tail = chosen.agg(F.count_if(F.col("_versions") > 1), F.count_if(F.col("_place") > k + 1)).first()
-    kept = rows
-    if n_versions:
-        kept = anti_join(kept, other.distinct(), ["chunk_id", "_h"], n_versions)
-    kept = anti_join(kept, tail.select("chunk_id"), ["chunk_id"], n_tail)
-    units = sample_units(kept, counts)
-    centres = {i: fit_centres(u, min(CENTRES, max(1, counts[i] // CELL_ROWS))) for i, u in units.items()}
-    cells = _to_cells(kept, centres, copies)
+    rows = usable(vectors, indexes).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(77), F.col("vector")))
+    chosen = cut(_one_version(rows))
+    # The k + 1 smallest keys of a class of copies; the limit is applied before the shuffle too.
+    place = F.row_number().over(Window.partitionBy("index_id", "h1", "h2").orderBy("chunk_id"))
+    heads = cut(chosen.withColumn("place", place).where(F.col("place") <= k + 1))
+    reps = heads.where("place = 1")
+    plan = reps.groupBy("index_id").agg(F.count("*").alias("n"))
+    total = reps.count()
+    size = max(CELL_ROWS, -(-total // CENTRES))
+    plan = small_side(cut(plan.withColumn("cells", F.floor(F.col("n") / size).cast("int"))))  # one row an index
+    # Rows of keys that are not the first of their class, or have other versions, are looked at; all others pass.
+    odd = chosen.join(reps.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id").union(chosen.where("versions").select("chunk_id"))
+    suspect = key_filter(odd, "chunk_id")(F.col("chunk_id"))
+    checked = rows.where(suspect).join(reps.select("chunk_id", "index_id", "h1", "h2"), ["chunk_id", "index_id", "h1", "h2"], "left_semi")
+    kept = rows.where(~suspect).select("index_id", "chunk_id", "vector").unionByName(checked.select("index_id", "chunk_id", "vector"))
+    cells = _to_cells(kept, _fitted(kept, plan))
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("chunk_id").to_numpy()
         keys, first = np.unique(keys, return_index=True)  # repeated rows meet in their cell
         codes = _matrix(table.column("code").combine_chunks().take(pa.array(first)))
         sure = table.column("sure").to_numpy()[first]
-        parts = list(_divide(keys, codes, k, copies, sure=sure))
+        parts = list(_divide(keys, codes, k, sure=sure))
         q, x, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
         sure = sure[np.searchsorted(keys, q)]
         index = np.full(len(q), table.column("index_id")[0].as_py(), dtype=np.int32)
@@ -304,47 +418,64 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5, copies: int = 2)
     found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
     once = found.repartition("index_id", "chunk_id").groupBy("index_id", "chunk_id", "neighbour", "cosine").agg(F.min("sure").alias("sure"))
     near = cut(_best(once, k))  # one shuffle for both steps
-    near = _search_all(near, kept, k, chosen.where(F.col("_place") <= k + 1).select("index_id", "chunk_id"), counts)
-    if n_tail:
-        # All copies beyond the first k + 1 have the k smallest ones as neighbours, at cosine 1.
-        heads = chosen.where(F.col("_place") <= k).select("index_id", "_h", F.col("chunk_id").alias("neighbour"))
-        near = near.unionByName(tail.select("index_id", "_h", "chunk_id").join(heads, ["index_id", "_h"]).select(
-            "index_id", "chunk_id", "neighbour", F.lit(1.0).alias("cosine")
-        ))
-    return near
+    near = _search_all(near, kept, k, reps.select("index_id", "chunk_id"), plan)
+    return _with_copies(near, chosen, heads, k)
+
 
+def _with_copies(near: DataFrame, chosen: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """``near`` between classes of copies as neighbours of single keys.
 
-def _search_all(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, counts: dict[int, int]) -> DataFrame:
+    A copy's neighbours are the smallest keys of its own class at cosine 1, then those of the
+    classes that are near. Copies beyond the first k + 1 all have the first k.
+    """
+    name = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("index_id", "h1", "h2")]).alias("class")
+    lists = heads.groupBy("index_id", "h1", "h2").agg(F.sort_array(F.collect_list("chunk_id")).alias("heads")).where(F.size("heads") > 1)
+    lists = cut(lists.select(name, F.col("heads")[0].alias("rep"), "heads"))
+    if lists.isEmpty():
+        return near
+    sizes = chosen.groupBy("index_id", "h1", "h2").agg(F.count("*").alias("n"))
+    hot = sizes.where(F.col("n") >= max(1_000, -(-chosen.count() // HOT_KEYS))).select(name)
+    several = look_up(chosen.select("chunk_id", "index_id", name), lists, "class", hot, "chunk_id", "inner")
+    several = cut(several.select("index_id", "chunk_id", "rep", "heads"))
+    first = F.array_contains("heads", F.col("chunk_id"))
+    own = several.where(first).select("index_id", "chunk_id", F.explode("heads").alias("neighbour"), F.lit(1.0).alias("cosine")).where("chunk_id <> neighbour")
+    late = several.where(~first).select("index_id", "chunk_id", F.explode(F.slice("heads", 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))
+    # Only rows that name a class of several go through the joins.
+    copied = key_filter(lists.select("rep"), "rep")
+    part = near.where(copied(F.col("neighbour")))
+    spelt = part.join(lists.select(F.col("rep").alias("neighbour"), "heads"), "neighbour", "left")
+    spelt = spelt.select("index_id", "chunk_id", F.explode(F.coalesce("heads", F.array("neighbour"))).alias("neighbour"), "cosine")
+    every = near.where(~copied(F.col("neighbour"))).unionByName(spelt)
+    part = every.where(copied(F.col("chunk_id")))
+    askers = several.where(first).select(F.col("rep").alias("chunk_id"), F.col("chunk_id").alias("_one"))
+    asked = part.join(askers, "chunk_id", "left").select("index_id", F.coalesce("_one", "chunk_id").alias("chunk_id"), "neighbour", "cosine")
+    return _best(every.where(~copied(F.col("chunk_id"))).unionByName(asked).unionByName(own), k).unionByName(late)
+
+
+def _search_all(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, plan: DataFrame) -> DataFrame:
     """``near`` without ``sure``, with better neighbours of the vectors whose cells may not hold all that are near enough.
 
     So it is where the k-th lies beyond ``sure``, and where the cells hold fewer than k others but the index more.
-
     These are compared with all vectors of their index, in passes of at most about ``PASS_BYTES``.
     """
     kth = near.groupBy("index_id", "chunk_id").agg(F.count("*").alias("_n"), F.min("cosine").alias("floor"), F.min("sure").alias("_sure"))
-    far = (F.col("_n") == k) & (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("_sure"))
-    unsure = kth.where(far).select("chunk_id", "floor")
-    wanted = F.lit(0)
-    for i, m in counts.items():
-        wanted = F.when(F.col("index_id") == i, F.lit(min(k, m - 1))).otherwise(wanted)
-    short = keys.join(kth.select("chunk_id", "_n"), "chunk_id", "left").where(F.coalesce("_n", F.lit(0)) < wanted).select("chunk_id", F.lit(None).cast("double").alias("floor"))
-    unsure = cut(unsure.unionByName(short))
+    known = keys.join(kth, ["index_id", "chunk_id"], "left").join(plan, "index_id")
+    short = F.coalesce("_n", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("_sure")
+    unsure = cut(known.where(short | far).select("chunk_id", F.when(~short, F.col("floor")).alias("floor")))
     near, n = near.drop("sure"), unsure.count()
     if not n:
         return near
-    asked = kept.select("index_id", "chunk_id", "vector").join(F.broadcast(unsure) if n <= BROADCAST_ROWS else unsure, "chunk_id")
+    asked = kept.where(key_filter(unsure, "chunk_id")(F.col("chunk_id"))).join(unsure, "chunk_id")
     asked = cut(asked.dropDuplicates(["chunk_id"]))
     size = asked.agg(F.sum(F.size("vector"))).first()[0]
     passes = -(-size // PASS_BYTES)
-    found = [near]
+    every = near
     for i in range(passes):
         part = asked.where(F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(passes)) == i).select("index_id", "chunk_id", "floor", "vector").toArrow()
         if len(part):
-            found.append(cut(_compare(kept, part, k)))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return _best(every.repartition("index_id", "chunk_id").distinct(), k)
+            every = every.unionByName(cut(_compare(kept, part, k)))
+    return cut(_best(every.repartition("index_id", "chunk_id").distinct(), k))
 
 
 def _compare(kept: DataFrame, part: pa.Table, k: int) -> DataFrame:

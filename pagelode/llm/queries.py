@@ -45,8 +45,8 @@ tf AS (SELECT chunk_id, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELEC
 @query(f"""WITH {TERMS_SQL} SELECT chunk_id, term FROM tf JOIN df USING (term)
 WHERE tf >= 3 AND df BETWEEN 2 AND 12 AND length(term) >= 5 AND term[1] BETWEEN 'a' AND 'z'""")
 def p1_found(spark, sf):
-    scored = distinctive.distinctive_terms(chunk_texts(spark, sf), "chunk_id", least=3)
-    return scored.where(F.col("df").between(2, 12) & F.col("term").rlike("^[a-z]") & (F.length("term") >= 5)).select("chunk_id", "term")
+    scored = distinctive.distinctive_terms(chunk_texts(spark, sf), "chunk_id", least=3, between=(2, 12))
+    return scored.where(F.col("term").rlike("^[a-z]") & (F.length("term") >= 5)).select("chunk_id", "term")
 
 
 @query(f"""WITH {TERMS_SQL}, n AS (SELECT count(*) AS n, avg(length(text)) AS mean FROM t),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelode.llm.stage import BROADCAST_ROWS, cut
+from pagelode.llm.stage import cut, small_side
 
 WORD = re.compile(r"\S+")
 START = re.compile(r"(?<!\S)\S")
@@ -153,9 +153,7 @@ def settings_in_force(configs: DataFrame, default_size: int = 256, default_overl
 def with_settings(chunks: DataFrame, configs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns with ``_size`` and ``_overlap`` of each row's index."""
     own, (size, overlap) = settings_in_force(configs)
-    own = cut(own)
-    side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own  # one row an index
-    joined = chunks.select("index_id", *columns).join(side, "index_id", "left")
+    joined = chunks.select("index_id", *columns).join(small_side(cut(own)), "index_id", "left")  # one row an index
     size_col = F.coalesce("_size", F.lit(size))
     lap = F.greatest(F.least(F.coalesce("_overlap", F.lit(overlap)), size_col - 1), F.lit(0))
     return joined.select(*columns, size_col.cast("int").alias("_size"), lap.cast("int").alias("_overlap"))

@@ -1,27 +1,58 @@
-"""Cutting lineage in the shared checkpoint folder, and choosing a join by a checked size."""
+"""Cutting lineage in the shared checkpoint folder, and joins whose cost is alike at every size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.session import ensure_checkpoint_dir
+from pagelode.session import cut_lineage as cut
 
-#: Rows of a side that may be broadcast; at most some MB of keys.
+#: Rows of a narrow side (one row an index, source or setting) that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+#: Most keys that are looked up apart as hot.
+HOT_KEYS = 10_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A narrow table with a row an index, source or setting, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true of every key in the table, and seldom of others.
+
+    The table is a Bloom filter of ``FILTER_BITS`` bits, three a key. The more keys there
+    are, the more others pass: 1 % at six million, a third at 25 million, all in the end.
+    So a step that works on what passes costs ever more towards all rows, and its result
+    must not depend on what passes too much. The driver and every task hold 8 MB.
+    """
+    h = F.xxhash64(F.col(key), F.lit(41))
+    low, high = F.lit(FILTER_BITS - 1), F.shiftrightunsigned(h, 38)
+    places = F.array(h.bitwiseAND(low), F.shiftrightunsigned(h, 26).bitwiseAND(low), h.bitwiseAND(low).bitwiseXOR(high))
+    at = keys.where(F.col(key).isNotNull()).select(F.explode(places).alias("_at"))
+    words = at.groupBy(F.shiftright("_at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")).alias("bits"))
+    got = words.toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(table)
 
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        own = sent.value
+        x = hashes.to_numpy().view(np.uint64)
+        first = x & np.uint64(FILTER_BITS - 1)
+        out = np.ones(len(x), dtype=bool)
+        for place in (first, (x >> np.uint64(26)) & np.uint64(FILTER_BITS - 1), first ^ (x >> np.uint64(38))):
+            out &= (own[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
 
-def anti_join(rows: DataFrame, out: DataFrame, on: list[str], known_rows: int) -> DataFrame:
-    """Rows whose key is not in ``out``: nothing to do if it is empty, broadcast if small, else a shuffle join."""
-    if known_rows == 0:
-        return rows
-    return rows.join(F.broadcast(out) if known_rows <= BROADCAST_ROWS else out, on, "left_anti")
+    return lambda column: held(F.xxhash64(column, F.lit(41)))
 
 
 def first_delivery(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
@@ -29,23 +60,40 @@ def first_delivery(df: DataFrame, key: str, at: str, columns: list[str]) -> Data
 
     Null keys are left out; a null time counts as the latest; ties go to the smallest
     row hash, so the result is the same on every run. The keys that were delivered more
-    than once are found by their keys alone; while they are few enough to broadcast, only
-    their rows are shuffled and all others pass as they are. Map-side aggregation keeps a
-    key that was delivered very often from gathering in one task.
+    than once are found by their keys alone. Rows that their filter lets through are
+    shuffled and aggregated, all others pass as they are. A key that was delivered very
+    often is aggregated before the shuffle.
     """
     rows = df.where(F.col(key).isNotNull())
     again = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
-    few = again.count()
-    if few > BROADCAST_ROWS:
-        return _earliest(rows, key, at, columns)
-    once = rows.select(key, *columns)
-    if few == 0:
-        return once
-    several = rows.select(key, at, *columns).join(F.broadcast(again), key, "left_semi")
-    return once.join(F.broadcast(again), key, "left_anti").unionByName(_earliest(several, key, at, columns))
+    suspect = key_filter(again, key)(F.col(key))
+    return rows.where(~suspect).select(key, *columns).unionByName(earliest(rows.where(suspect), key, at, columns))
 
 
-def _earliest(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+def earliest(rows: DataFrame, key: str, at: str | None, columns: list[str]) -> DataFrame:
+    """One row per key, as ``first_delivery`` chooses it, by aggregation of all rows."""
     row = F.struct(*[F.col(c) for c in columns])
-    order = F.struct(F.col(at).isNull(), F.col(at), *[F.xxhash64(F.col(c)) for c in columns])
+    time = [F.col(at).isNull(), F.col(at)] if at else []
+    order = F.struct(*time, *[F.xxhash64(F.col(c)) for c in columns])
     return rows.groupBy(key).agg(F.min_by(row, order).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, salt: str, how: str = "left") -> DataFrame:
+    """Rows joined with a table that has one row per ``key``, though many rows share one of the ``hot`` keys.
+
+    ``hot`` (the key alone) has at most some ``HOT_KEYS`` rows by its construction. Their rows
+    of the table are broadcast; the rows that found theirs there go through the other join
+    under a key made of ``salt``, so they gather nowhere, and what they meet there is not taken.
+    """
+    values = [c for c in table.columns if c != key]
+    some = table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*values).alias("_hot"))
+    known = rows.join(F.broadcast(some), key, "left")
+    kind = rows.schema[key].dataType
+    spread = F.pmod(F.xxhash64(salt), F.lit(1 << 20)).cast("string")
+    spread = F.concat(F.lit("\0"), spread) if kind.simpleString() == "string" else F.xxhash64(spread).cast(kind)
+    keyed = known.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    joined = keyed.join(table.select(F.col(key).alias("_at"), F.struct(*values).alias("_cold")), "_at", "left")
+    if how == "inner":
+        joined = joined.where(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
+    found = F.coalesce("_hot", "_cold")
+    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])

@@ -58,9 +58,36 @@ def test_pairs_and_groups_against_brute_force(spark, size, similarity, least):
 
 
 def test_long_chain_settles(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000, 1001)], "a long, b long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["group"] for r in nd.connected_groups(links).collect()}
-    assert got == {i: 0 for i in range(61)} | {1000: 1000, 1001: 1000}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_long_buckets_are_compared_in_tiles(spark, monkeypatch):
+    """All texts share a passage, so buckets are long; pairs are the same as with short buckets."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for i in range(60):
+        own = [f"t{rng.randrange(10**6)}" for _ in range(30)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:-2] + ["x", "y"]))]
+    want, _ = brute(rows, 3, 0.5, 20)
+    df = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(nd, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(nd, "SLICE", 2)
+    members, links = nd.near_duplicate_classes(df, "id", shingle=3, similarity=0.5, least_words=20)
+    got = [(r["a"], r["b"]) for r in nd.expand_pairs(members, links).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want) and len(want) >= 60
+
+
+def test_sliced_classes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SLICE", 3)
+    members = spark.createDataFrame([(i, 0, 10) for i in range(10)] + [(20 + i, 20, 4) for i in range(4)] + [(30, 30, 1)], "key long, rep long, size long")
+    links = spark.createDataFrame([(0, 20, 0.9), (0, 30, 0.8)], "a long, b long, similarity double")
+    got = sorted((r["a"], r["b"]) for r in nd.expand_pairs(members, links).collect())
+    ten, four = range(10), range(20, 24)
+    want = [(a, b) for x in (ten, four) for a in x for b in x if a < b] + [(a, b) for a in ten for b in (*four, 30)]
+    assert got == sorted(want)
 
 
 def test_hot_group_of_copies(spark):

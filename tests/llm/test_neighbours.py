@@ -57,7 +57,7 @@ def test_large_cell_is_divided(spark, monkeypatch):
     x = np.array([r[2] for r in rows], dtype=np.int8)
     monkeypatch.setattr(nb, "SPLIT_ROWS", 500)
     got = set()
-    for q, n, _ in nb._divide(np.arange(3000), x, 5, 2):
+    for q, n, _ in nb._divide(np.arange(3000), x, 5):
         got |= {(int(min(a, b)), int(max(a, b))) for a, b in zip(q, n)}
     want = brute(rows, {1: 24}, 5)
     assert len(got & want) >= 0.95 * len(want)
@@ -91,15 +91,51 @@ def test_little_alike_across_cells(spark, share):
 def test_cells_with_fewer_than_k_others(spark, monkeypatch):
     rows = clustered(300, 16, 3, 1)
     dims = {1: 16}
-    alone = lambda unit, count, **_: unit  # noqa: E731: every vector is a centre, and its two cells hold few others
-    monkeypatch.setattr(nb, "fit_centres", alone)
+    monkeypatch.setattr(nb, "CELL_ROWS", 1)
+    alone = lambda unit, count, **_: (unit, np.zeros(len(unit), dtype=np.int32))  # noqa: E731: every vector is a centre, and its two cells hold few others
+    monkeypatch.setattr(nb, "fit_levels", alone)
     got = set(found(spark, rows, dims))
     assert got == brute(rows, dims, 5)
 
 
-def test_collisions_count_windows():
-    values = np.array([[0.0, 0.0], [0.4, 5.0], [0.6, 0.1]], dtype=np.float32)
-    assert nb.count_collisions(values, np.arange(3), 0.5).tolist() == [[2, 1, 1], [1, 2, 1], [1, 1, 2]]
+def test_collisions_are_counted_in_windows():
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(777, nb.LINES)).astype(np.float32)
+    arrays = nb.SortedLines(values)
+    who = np.array([0, 5, 776])
+    rank = values.argsort(0).argsort(0)
+    for half, least in ((0.5, 31), (0.2, 5), (3.0, 64), (0.5, 1)):
+        inside = np.abs(values[who][:, None] - values[None]) <= half
+        got = arrays.collided(who, half, least)
+        assert (got | ~(inside.sum(2) >= least)).all()  # a window is never narrower than it says
+        wide = 2 * 777 // nb.EDGES + 2  # and reaches to the next edges at most
+        low = np.array([[(values[:, l] < values[q, l] - half).sum() for l in range(nb.LINES)] for q in who]) - wide
+        high = np.array([[(values[:, l] <= values[q, l] + half).sum() for l in range(nb.LINES)] for q in who]) + wide
+        most = ((rank[None] >= low[:, None]) & (rank[None] < high[:, None])).sum(2)
+        assert (~got | (most >= least)).all()
+
+
+def test_two_levels_of_centres(spark, monkeypatch):
+    monkeypatch.setattr(nb, "TWO_LEVELS", 8)
+    monkeypatch.setattr(nb, "CELL_ROWS", 60)
+    dims = {1: 32, 2: 16}
+    rows = clustered(2500, 32, 1, 1) + clustered(40, 16, 2, 2, 10_000)
+    want, got = brute(rows, dims, 5), found(spark, rows, dims)
+    assert len(got) == len(set(got)) and len(want & set(got)) >= 0.95 * len(want)
+
+
+def test_hot_copies_and_versions(spark):
+    """A third of all rows are one vector; other keys come twice with different vectors."""
+    from datetime import datetime
+
+    base = clustered(600, 8, 4, 1)
+    hot = [(5000 + i, 1, base[0][2], None, 0) for i in range(300)]
+    twins = [(700 + i, 1, base[i + 1][2], None, 0) for i in range(20)]
+    late = [(r[0], 1, base[(i + 9) % 600][2], datetime(2030, 1, 1), 0) for i, r in enumerate(base[:30])]
+    early = [(*r[:3], datetime(2020, 1, 1), 0) for r in base[:30]]
+    rows = early + base[30:] + hot + twins
+    got = found(spark, rows + late + hot[:5], {1: 8})
+    assert len(got) == len(set(got)) and set(got) == brute(rows, {1: 8}, 5)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 1, [1, 2, 3, 4], None, 0)]])
