@@ -4,11 +4,15 @@ A stack automaton reads each text and keeps what is open: fences, brackets and q
 of the paragraph, tags, templates, tables, environments. What is still open at the end,
 a broken last character or escape, or a truncation mark is a cut by itself. Where the
 structure is closed, the last line decides: one that ends like a sentence is complete,
-and of the others it is asked how such lines end elsewhere. That baseline is counted
-over all documents: with which words sentences, list items, headings and lines of code
-end before more text follows, which short closing lines (a version, a signature) many
-documents end with, and at which length a source's texts pile up, in characters or
-bytes, as texts do that a field limit has cut.
+and of the others it is asked how such lines end elsewhere.
+
+That baseline is counted over all documents, and per source: with which words sentences,
+list items, headings and lines of code end before more text follows, against how many
+documents hold the word at all; which short closing lines (a version, a signature) many
+documents, or many of the source, end with; how many of a source's documents end without
+a terminator at all; and at which length a source's texts pile up, in characters or
+bytes, as texts do that a field limit has cut. All of it is judged by shares, and by how
+far a share is beyond chance, so the same text is judged alike in a small and a large table.
 """
 
 from __future__ import annotations
@@ -19,22 +23,29 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelode.llm.markup import HTML_NAMES
-from pagelode.llm.stage import cut
+from pagelode.llm.stage import HOT_KEYS, cut, look_up
 
 FENCE = re.compile(r"^[^\S\n]*(`{3,}|~{3,})[^\n`]*$", re.MULTILINE)
 TAG = re.compile(rf"<(/?)({HTML_NAMES.replace(' ', '|')})(?![\w-])[^<>]*?(/?)>", re.IGNORECASE)
-HALF_TAG = re.compile(r"<[/!]?(?:[A-Za-z][^<>\n]{0,300})?$")
-#: A tag with an attribute may be cut after any length and number of lines.
+#: A tag that has just begun, or goes on with attributes and nothing else; any length.
+HALF_TAG = re.compile(
+    r"<[/!]?(?:[A-Za-z][\w.:-]*(?:\s+[A-Za-z_:@][\w:.@-]*(?:=(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+))?)*"
+    r"(?:\s+[A-Za-z_:@][\w:.@-]*=(?:\"[^\"<>]*|'[^'<>]*)?)?\s*/?)?$"
+)
+#: A tag of HTML with an attribute may hold anything.
 LONG_HALF_TAG = re.compile(rf"(?<!`)<(?:{HTML_NAMES.replace(' ', '|')})\s+[\w:@.-]+\s*=[^<>]*$", re.IGNORECASE)
-MARK = re.compile(r"\s*(?:…|\.{3})?\s*(?:\[(?:\.\.\.|…|cut|truncated|snip|more)\]|\((?:truncated|cut|more)\)|<truncated>)$", re.IGNORECASE)
-ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
+#: The longest of these marks has eleven characters, so they are looked for in that many.
+MARK = re.compile(r"(?:\[(?:\.\.\.|…|cut|truncated|snip|more)\]|\((?:truncated|cut|more)\)|<truncated>)$", re.IGNORECASE)
+LONGEST_MARK = 11
+#: Likewise: the longest half escape has ten.
 HALF_ESCAPE = re.compile(r"(?:&(?:#\w{0,7}|[A-Za-z]{2,8})|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]?|%[0-9A-F]?)$")
-STOP = re.compile(r"[.!?。！？؟।:;][)\]}\"'”’»」』*_`]*$")
+LONGEST_ESCAPE = 10
+STOPS, CLOSING = ".!?。！？؟।:;", ")]}\"'”’»」』*_`"
 ITEM = re.compile(r"^[^\S\n]*(?:[-*+•]|\d{1,3}[.)])[^\S\n]+")
 HEADING = re.compile(r"^#{1,6}[^\S\n]|^={1,6}[^=]")
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "area", "base", "embed", "source", "track"}
@@ -43,28 +54,31 @@ OPTIONAL = {"p", "li", "td", "th", "tr", "dt", "dd", "option", "thead", "tbody",
 PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "』": "『", "）": "（"}
 OPENERS = set(PAIRS.values())
 BRACKETS = re.compile(r"[()\[\]{}“”«»「」『』（）\"`]|\[\[|\]\]")
-#: Kinds of interior line ends that are counted, and how often a word must end one to count as a possible end.
-SENTENCE, LIST, TITLE, SOURCE = "sentence", "item", "heading", "code"
-SEEN = 3
-#: The same for the word before the last of a sentence, and for the two together. Two words that would often end
-#: a sentence if they met by chance, and never do, do not end one ("the large", of "the large file").
+#: Kinds of interior line ends that are counted, and the documents that hold a word anywhere.
+SENTENCE, LIST, TITLE, SOURCE, ANYWHERE = "sentence", "item", "heading", "code", "any"
+#: A word can be an end if it is one in that share of the documents that hold it, beyond chance, and that share of all documents hold it.
+END_SHARE, KNOWN_SHARE = 0.005, 2e-4
+#: Standard deviations beyond chance.
+SURELY = 2.0
+#: The word before the last of a sentence, and the two together. Two words that would often end
+#: a sentence if they met by chance, and hardly ever do, do not end one ("the large", of "the large file").
 BEFORE, PAIR = "before", "pair"
-BY_CHANCE = 8
+BY_CHANCE, SELDOM = 8, 0.02
 #: Endings that decide by themselves.
 CUT_ENDINGS, WHOLE_ENDINGS = ("mark", "broken", "open"), ("stop", "closed")
-#: Share of documents that must end with a closing line of one form.
-CLOSING_SHARE = 0.002
-#: A pile: at least so many texts of one length, and so many times the mean of the lengths around it.
-PILE_TEXTS, PILE_TIMES, AROUND = 6, 8, 30
+#: Share of the other documents, or of the source's other documents, that must end with a closing line of one form.
+CLOSING_SHARE, SOURCE_CLOSING_SHARE = 0.002, 0.02
+#: A source most of whose texts end without a terminator, away from a limit, ends them so by habit.
+HABIT = 0.5
+#: A pile: that share of the source's texts, so many times the mean of the lengths around it, and so many deviations above it.
+PILE_SHARE, PILE_TIMES, PILE_DEVIATIONS, AROUND = 0.002, 8, 5, 30
 
-
-#: Characters before an end that its last words are looked for in.
-TAIL = 60
 LETTERS = re.compile(r"[^\W\d_]+")
-LAST = re.compile(r"([^\W\d_]+)[^\w]*$")
 #: A terminator before more text; the closing signs before it belong to it.
 TERMINATOR = re.compile(r"[.!?](?=\s+\S)|[。！？](?=\s*\S)")
 CLOSERS = frozenset(")]\"'”’»*_")
+#: From this character on scripts write no spaces; the last two characters stand for the word.
+SPACELESS = 0x3040
 
 
 def visible(text: str) -> str:
@@ -75,20 +89,53 @@ def visible(text: str) -> str:
     return text[:end]
 
 
-def last_word(line: str) -> str:
-    """The last run of letters, lower case; of scripts without spaces the last two characters; else the last token."""
-    line = line[-TAIL:]
-    m = LAST.search(line)
-    if m is None:
-        return re.sub(r"\d", "0", line.split()[-1])[-12:] if line.split() else ""
-    word = m.group(1).lower()
-    return word[-2:] if ord(word[-1]) >= 0x3040 else word
+def _is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def ends_with_stop(line: str) -> bool:
+    """Whether a line ends like a sentence, closing signs apart."""
+    body = line.rstrip(CLOSING)
+    return bool(body) and body[-1] in STOPS
+
+
+def word_key(word: str) -> str:
+    word = word.lower()
+    return word[-2:] if ord(word[-1]) >= SPACELESS else word
+
+
+def last_two(segment: str) -> tuple[str, str]:
+    """(the word before the last, the last) of a stretch of one sentence; '' where there is none.
 
+    The last word must end the stretch, but for signs, and the one before must stand in the
+    same or the next blank-separated token.
+    """
+    tokens = segment.rsplit(None, 2)[-2:]
+    joined = " ".join(tokens)
+    end = len(joined)
+    while end and not (joined[end - 1].isalnum() or joined[end - 1] == "_"):
+        end -= 1
+    if not end or not _is_letter(joined[end - 1]):
+        return "", ""
+    words = LETTERS.findall(joined, 0, end)[-2:]
+    return words[0].lower() if len(words) > 1 and ord(words[-1][-1]) < SPACELESS else "", words[-1]
+
+
+def last_sentence(line: str) -> str:
+    """What follows the last terminator within a line."""
+    at = 0
+    for m in TERMINATOR.finditer(line):
+        at = m.end()
+    return line[at:]
 
-def word_before(line: str) -> str:
-    """The word before the last one, lower case; '' without one or beside a script without spaces."""
-    words = LETTERS.findall(line[-2 * TAIL :])
-    return words[-2].lower() if len(words) > 1 and ord(words[-1][-1]) < 0x3040 else ""
+
+def last_word(line: str) -> str:
+    """The last run of letters, lower case; of scripts without spaces the last two characters; else the last token, digits as 0."""
+    word = last_two(line)[1]
+    if word:
+        return word_key(word)
+    tokens = line.rsplit(None, 1)
+    return re.sub(r"\d", "0", tokens[-1]) if tokens else ""
 
 
 def closing_form(line: str) -> str:
@@ -110,6 +157,7 @@ def open_at_end(text: str) -> str:
     if fence:
         return "fence"
     stack: list[str] = []
+    opened: Counter[str] = Counter()
     if "<" in text:
         for m in TAG.finditer(text):
             name = m.group(2).lower()
@@ -117,9 +165,11 @@ def open_at_end(text: str) -> str:
                 continue
             if not m.group(1):
                 stack.append(name)
-            elif name in stack:
-                while stack.pop() != name:
-                    pass
+                opened[name] += 1
+            elif opened[name]:
+                while (last := stack.pop()) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
     required = [t for t in stack if t not in OPTIONAL]
     if required:
         return f"<{required[-1]}>"
@@ -149,7 +199,7 @@ def open_at_end(text: str) -> str:
     if half >= after and half > text.rfind(">") and (HALF_TAG.match(text, half) or LONG_HALF_TAG.match(text, half)):
         return "tag"
     line = text[text.rfind("\n") + 1 :]
-    if open_now and not STOP.search(line[-TAIL:]) and not (line.endswith(">") and TAG.search(line)):
+    if open_now and not ends_with_stop(line) and not (line.endswith(">") and TAG.search(line)):
         return open_now[-1]
     return ""
 
@@ -164,21 +214,24 @@ def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
     t = visible(text)
     if not t:
         return None
-    base = max(0, len(t) - TAIL)
-    m = MARK.search(t, base)
-    if m is not None and m.start() > 0:
-        return "mark", "", "", m.start(), len(t[: m.start()].encode("utf-8", "replace"))
+    m = MARK.search(t[-LONGEST_MARK:])
+    if m is not None:
+        rest = t[: len(t) - len(m.group())].rstrip()
+        rest = rest[:-1].rstrip() if rest.endswith("…") else rest[:-3].rstrip() if rest.endswith("...") else rest
+        if rest:
+            return "mark", "", "", len(rest), len(rest.encode("utf-8", "replace"))
     size = len(text), len(text.encode("utf-8", "replace"))
     if t[-1] == "�":
         return "broken", "", "", *size
-    dots = ELLIPSIS.search(t, base)
-    body = t[: dots.start()] if dots is not None and dots.start() > 0 else t
+    body = t[:-1].rstrip() if t.endswith("…") else t.rstrip(".").rstrip() if t.endswith("...") else t
+    dots = 0 < len(body) < len(t)
+    body = body if dots else t
     line = body[body.rfind("\n") + 1 :]
     state = open_at_end(body)
     if state:
         return "open", "", "", *size
-    if dots is not None:
-        return "ellipsis", last_word(line), word_before(line), *size
+    if dots:
+        return "ellipsis", last_word(line), last_two(last_sentence(line))[0], *size
     if FENCE.match(line.strip()) or (TAG.search(line) and line.endswith(">")):
         return "closed", "", "", *size
     if line.lstrip().startswith("|"):
@@ -187,38 +240,48 @@ def read_end(text: str | None) -> tuple[str, str, str, int, int] | None:
         return SOURCE, last_word(line), "", *size
     if HEADING.match(line):
         return TITLE, last_word(line), "", *size
-    if ITEM.match(line) and not STOP.search(line[-TAIL:]):
+    if ITEM.match(line) and not ends_with_stop(line):
         return LIST, last_word(line), "", *size
-    if STOP.search(line[-TAIL:]) or line.endswith(("}}", "]]", "|}")):
+    if ends_with_stop(line) or line.endswith(("}}", "]]", "|}")):
         return "stop", "", "", *size
-    if HALF_ESCAPE.search(line[-TAIL:]):
+    if HALF_ESCAPE.search(line[-LONGEST_ESCAPE:]):
         return "broken", "", "", *size
     alone = body[: len(body) - len(line)].endswith("\n\n") or body[: len(body) - len(line)].endswith("\r\n\r\n")
     return "line", last_word(line), closing_form(line) if alone else "", *size
 
 
+def words_anywhere(text: str) -> set[str]:
+    """All words of a text as ``last_word`` would name them."""
+    out = set()
+    for word in LETTERS.findall(text.lower()):
+        if word[-1] < chr(SPACELESS) and word.isascii():
+            out.add(word)
+        else:
+            out.update(word[max(0, i - 1) : i + 1] for i, c in enumerate(word) if ord(c) >= SPACELESS)
+            if ord(word[-1]) < SPACELESS:
+                out.add(word)
+    return out
+
+
 def line_ends(text: str | None, counts: Counter[tuple[str, str]]) -> None:
-    """Counts with which words the sentences and lines of a text end before more text follows."""
+    """Counts a text's words, and with which of them its sentences and lines end before more text follows."""
     if not text:
         return
+    seen = {(ANYWHERE, w) for w in words_anywhere(text)}
     pairs = set()
+    after = 0
     for m in TERMINATOR.finditer(text):
         end = m.start()
         while end and text[end - 1] in CLOSERS:
             end -= 1
-        if not end or not text[end - 1].isalpha():
-            continue
-        words = LETTERS.findall(text, max(0, end - TAIL), end)
-        pairs.add((words[-2].lower() if len(words) > 1 else "", words[-1].lower()))
-    for word in {b for _, b in pairs}:
-        counts[SENTENCE, word[-2:] if ord(word[-1]) >= 0x3040 else word] += 1
-    for word in {a for a, _ in pairs if a}:
-        counts[BEFORE, word] += 1
+        if end > after and text[end - 1].isalpha():
+            pairs.add(last_two(text[max(after, text.rfind("\n", after, end) + 1) : end]))
+        after = m.end()
     for a, b in pairs:
-        if a and ord(b[-1]) < 0x3040:
-            counts[PAIR, f"{a} {b}"] += 1
+        seen.add((SENTENCE, word_key(b)))
+        if a:
+            seen.update({(BEFORE, a), (PAIR, f"{a} {b.lower()}")})
     fenced = False
-    seen = set()
     for line in text.split("\n")[:-1]:
         bare = line.strip()
         if not bare or (bare[0].isalpha() and not line[0].isspace()):
@@ -237,7 +300,7 @@ def line_ends(text: str | None, counts: Counter[tuple[str, str]]) -> None:
 
 
 def end_baseline(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, word, n): in how many documents a word ends a sentence or a line of that kind, or stands before such an end."""
+    """(kind, word, n): how many documents hold a word, and in how many it ends a sentence or a line of that kind, or stands before such an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,17 +335,53 @@ def read_ends(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
 
 def length_piles(ends: DataFrame) -> DataFrame:
-    """(source, unit, length): lengths at which a source's texts pile up.
+    """(source, unit, length, n): lengths at which a source's texts pile up.
 
-    Counted over all texts of the source; a pile stands out from the lengths around it.
+    Counted over all texts of the source; a pile stands out from the lengths around it, in
+    times their mean and beyond chance, and is a share of the source's texts.
     """
     sized = ends.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length"))
-    counts = sized.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    counts = cut(sized.groupBy("source", "unit", "length").agg(F.count("*").alias("n")))
+    texts = counts.where("unit = 'chars'").groupBy("source").agg(F.sum("n").alias("_texts"))
     around = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-AROUND, AROUND)
     mean = (F.sum("n").over(around) - F.col("n")) / (2 * AROUND)
-    return counts.withColumn("_mean", mean).where((F.col("n") >= PILE_TEXTS) & (F.col("n") >= PILE_TIMES * F.col("_mean"))).select(
-        "source", "unit", "length", "n"
+    stands_out = (F.col("n") >= PILE_TIMES * F.col("_mean")) & (F.col("n") - F.col("_mean") >= PILE_DEVIATIONS * F.sqrt(F.col("_mean") + 1))
+    piles = counts.withColumn("_mean", mean).where(stands_out).join(texts, "source").where(F.col("n") >= PILE_SHARE * F.col("_texts"))
+    return piles.select("source", "unit", "length", "n")
+
+
+def at_least(part: Column, whole: Column) -> Column:
+    """The lower bound of a share, ``SURELY`` standard deviations off (Wilson's)."""
+    z = SURELY * SURELY
+    p = part / whole
+    return (p + z / (2 * whole) - SURELY * F.sqrt(p * (1 - p) / whole + z / (4 * whole * whole))) / (1 + z / whole)
+
+
+def possible_ends(baseline: DataFrame, documents: int) -> DataFrame:
+    """(ask, ends): the kinds and words, as "kind word", that end sentences or lines often enough, and in how many documents."""
+    ends = baseline.where(~F.col("kind").isin(ANYWHERE, BEFORE, PAIR)).withColumnRenamed("n", "ends")
+    held = baseline.where(F.col("kind") == ANYWHERE).select("word", F.col("n").alias("held"))
+    whole = F.greatest(F.coalesce("held", F.lit(0)), F.col("ends"))
+    known = ends.join(held, "word", "left").where((at_least(F.col("ends"), whole) >= END_SHARE) & (whole >= KNOWN_SHARE * documents))
+    return known.select(F.concat_ws(" ", "kind", "word").alias("ask"), "ends")
+
+
+def _asked(rows: DataFrame, name: str, ask: Column, table: DataFrame, total: int) -> DataFrame:
+    """Rows with the table's columns where ``ask`` is its key ``name``; keys of very many rows do not gather in one task."""
+    asked = rows.withColumn(name, ask)
+    hot = asked.groupBy(name).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(1_000, -(-total // HOT_KEYS))).select(name)
+    return look_up(asked, table, name, hot, "key").drop(name)
+
+
+def _closing_forms(ends: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(form), at most 1 / ``CLOSING_SHARE`` of them, and (source_form): closing lines that many documents end with, or many of a source."""
+    lines = ends.where("ending = 'line' AND form <> ''")
+    forms = lines.groupBy("form").agg(F.count("*").alias("_n")).where(F.col("_n") - 1 >= F.greatest(F.lit(CLOSING_SHARE * (total - 1)), F.lit(1)))
+    texts = ends.groupBy("source").agg(F.count("*").alias("_texts"))
+    own = lines.groupBy("source", "form").agg(F.count("*").alias("_n")).join(texts, "source").where(
+        F.col("_n") - 1 >= F.greatest(SOURCE_CLOSING_SHARE * (F.col("_texts") - 1), F.lit(1))
     )
+    return forms.select("form", F.lit(True).alias("_form")), own.select(F.concat_ws("\0", "source", "form").alias("source_form"), F.lit(True).alias("_own"))
 
 
 def judge_ends(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -291,46 +390,67 @@ def judge_ends(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     Keys need not be unique; every row is judged by itself.
     """
     ends = cut(read_ends(docs, key, source, text).withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
-    n = ends.count()
+    total = ends.count()
     baseline = cut(end_baseline(docs, text))
-    forms = ends.where("ending = 'line' AND form <> ''").groupBy("form").agg(F.count("*").alias("_forms")).where(F.col("_forms") >= max(SEEN, CLOSING_SHARE * n))
-    # Bytes may fall short of the limit by the rest of a character.
-    piles = length_piles(ends).groupBy("source", "unit", "length").agg(F.max("n").alias("_pile"))
-    chars = piles.where("unit = 'chars'").select("source", F.col("length").alias("chars"), F.lit(True).alias("_char_pile"))
-    byte = piles.where("unit = 'bytes'").select("source", F.explode(F.sequence(F.col("length") - 3, F.col("length"))).alias("bytes")).distinct().withColumn(
-        "_byte_pile", F.lit(True)
-    )
-    limit = F.coalesce("_char_pile", F.lit(False)) | F.coalesce("_byte_pile", F.lit(False))
-    sized = cut(
-        ends.join(chars, ["source", "chars"], "left").join(byte, ["source", "bytes"], "left").withColumn("at_limit", limit)
-        .select("key", "source", "ending", "word", "form", "at_limit")
-    )
+    known = cut(possible_ends(baseline, total))
+    piles = cut(length_piles(ends))
+    sizes = [("chars", F.col("length")), ("bytes", F.explode(F.sequence(F.col("length") - 3, F.col("length"))))]  # bytes may fall short by the rest of a character
+    sized = ends
+    for unit, length in sizes:
+        table = piles.where(F.col("unit") == unit).select("source", length.alias("length")).distinct()
+        table = table.select(F.concat_ws("\0", "source", F.col("length").cast("string")).alias("_pile"), F.lit(True).alias(f"_{unit}"))
+        sized = _asked(sized, "_pile", F.concat_ws("\0", "source", F.col(unit).cast("string")), table, total)
+    limit = F.coalesce("_chars", F.lit(False)) | F.coalesce("_bytes", F.lit(False))
+    sized = cut(sized.withColumn("at_limit", limit).select("key", "source", "ending", "word", "form", "at_limit"))
     # Each branch joins only what it asks about, so rows that need no answer gather under no key.
     decided = sized.where(sized["ending"].isin(*CUT_ENDINGS, *WHOLE_ENDINGS)).withColumn("cut", F.col("ending").isin(*CUT_ENDINGS))
-    lines = sized.where("ending = 'line'").join(forms, "form", "left").withColumn("cut", F.col("_forms").isNull() | F.col("at_limit"))
-    asked = F.when(F.col("ending") == "ellipsis", F.lit(SENTENCE)).otherwise(F.col("ending"))
-    known = baseline.where((F.col("n") >= SEEN) & ~F.col("kind").isin(BEFORE, PAIR)).select(F.col("kind").alias("_kind"), "word", F.col("n").alias("_known"))
-    worded = sized.where(sized["ending"].isin("ellipsis", LIST, TITLE, SOURCE)).withColumn("_kind", asked).join(known, ["_kind", "word"], "left")
-    plain = worded.where("ending <> 'ellipsis'").withColumn("cut", F.col("at_limit") | F.col("_known").isNull())
-    before = baseline.where(F.col("kind") == BEFORE).select(F.col("word").alias("form"), F.col("n").alias("_before"))
-    met = baseline.where(F.col("kind") == PAIR).select(F.col("word").alias("_pair"), F.lit(True).alias("_met"))
-    dotted = worded.where("ending = 'ellipsis'").withColumn("_pair", F.concat_ws(" ", "form", "word")).join(before, "form", "left").join(met, "_pair", "left")
-    never_met = F.col("_met").isNull() & (F.coalesce("_before", F.lit(0)) * F.col("_known") >= BY_CHANCE * max(n, 1))
-    dotted = dotted.withColumn("cut", F.col("at_limit") | F.col("_known").isNull() | never_met)
+
+    forms, own_forms = _closing_forms(ends, total)
+    lines = sized.where("ending = 'line'").join(F.broadcast(forms), "form", "left")
+    formed = _asked(lines.where("_form IS NULL AND form <> ''"), "source_form", F.concat_ws("\0", "source", "form"), own_forms, total)
+    formed = formed.unionByName(lines.where("_form IS NOT NULL OR form = ''").withColumn("_own", F.lit(None).cast("boolean")))
+    bare = F.col("_form").isNull() & F.col("_own").isNull()
+    formed = cut(formed.withColumn("bare", bare))
+    texts = ends.groupBy("source").agg(F.count("*").alias("_texts"))
+    without = formed.where("bare AND NOT at_limit").groupBy("source").agg(F.count("*").alias("_bare"))
+    habit = texts.join(without, "source").where(at_least(F.col("_bare"), F.col("_texts")) >= HABIT).select("source", F.lit(True).alias("_habit"))
+    anywhere = baseline.where((F.col("kind") == ANYWHERE) & (F.col("n") > 1) & (F.col("n") >= KNOWN_SHARE * total)).select(F.col("word").alias("_word"), F.lit(True).alias("_whole"))
+    lines = formed.where("at_limit OR NOT bare").withColumn("cut", F.col("bare") | F.col("at_limit"))
+    usual = _asked(formed.where("bare AND NOT at_limit"), "_source", F.col("source"), habit.withColumnRenamed("source", "_source"), total)
+    unusual = usual.where("_habit IS NULL").withColumn("cut", F.lit(True))
+    by_word = _asked(usual.where("_habit"), "_word", F.col("word"), anywhere, total).withColumn("cut", F.col("_whole").isNull())
+
+    kind = F.when(F.col("ending") == "ellipsis", F.lit(SENTENCE)).otherwise(F.col("ending"))
+    worded = _asked(sized.where(sized["ending"].isin("ellipsis", LIST, TITLE, SOURCE)), "ask", F.concat_ws(" ", kind, "word"), known, total)
+    plain = worded.where("ending <> 'ellipsis' OR form = ''").withColumn("cut", F.col("at_limit") | F.col("ends").isNull())
+    before = baseline.where(F.col("kind") == BEFORE).select(F.col("word").alias("_first"), F.col("n").alias("_before"))
+    met = baseline.where(F.col("kind") == PAIR).select(F.col("word").alias("_pair"), F.col("n").alias("_met"))
+    dotted = worded.where("ending = 'ellipsis' AND form <> ''")
+    dotted = _asked(_asked(dotted, "_first", F.col("form"), before, total), "_pair", F.concat_ws(" ", "form", "word"), met, total)
+    expected = F.coalesce("_before", F.lit(0)) * F.col("ends") / max(total, 1)
+    never_met = (expected >= BY_CHANCE) & (F.coalesce("_met", F.lit(0)) < SELDOM * expected)
+    dotted = dotted.withColumn("cut", F.col("at_limit") | F.col("ends").isNull() | never_met)
     columns = ["key", "source", "ending", "at_limit", "cut"]
     judged = decided.select(*columns)
-    for part in (lines, plain, dotted):
+    for part in (lines, unusual, by_word, plain, dotted):
         judged = judged.unionByName(part.select(*columns))
     name = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
     return judged.select(F.col("key").alias(key), name.alias("source"), "ending", "at_limit", "cut")
 
 
 def source_report(docs: DataFrame, judged: DataFrame, source: str = "source") -> DataFrame:
-    """(source, docs, cut, share, at_limit): how many of each source's documents are cut, blank ones counted as documents."""
+    """(source, docs, cut, share, at_limit, unterminated): how many of each source's documents are cut, and how many end without a terminator.
+
+    Blank documents count as documents.
+    """
     every = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"))
-    cuts = judged.groupBy("source").agg(F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("at_limit"))
+    cuts = judged.groupBy("source").agg(
+        F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("at_limit"),
+        F.count_if(~F.col("ending").isin(*WHOLE_ENDINGS)).alias("unterminated"),
+    )
     joined = every.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    none = F.lit(0)
     return joined.select(
-        "source", "docs", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("docs")).alias("share"),
-        F.coalesce("at_limit", F.lit(0)).alias("at_limit"),
+        "source", "docs", F.coalesce("cut", none).alias("cut"), (F.coalesce("cut", none) / F.col("docs")).alias("share"),
+        F.coalesce("at_limit", none).alias("at_limit"), F.coalesce("unterminated", none).alias("unterminated"),
     )
