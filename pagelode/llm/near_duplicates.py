@@ -355,14 +355,15 @@ def near_duplicate_classes(
     whole = F.struct("c1", "c2", "symbols", "b0", "b1")
     delivered = sketches(records.where(F.col(key).isNotNull()), key, text, at, shingle, least_words)
     sketched = cut(delivered.groupBy("key").agg(F.min_by(whole, F.struct(F.col("at").isNull(), "at", "c1", "c2")).alias("_s")).select("key", "_s.*"))
-    one = F.min_by(F.struct("key", "symbols", "b0", "b1"), "key").alias("_r")
-    classes = cut(sketched.groupBy("c1", "c2").agg(one, F.count("*").alias("size")).select("c1", "c2", "_r.*", "size"))
-    total = sketched.count()
-    members = cut(_members(sketched.select("key", "c1", "c2"), classes, total))
-    found = cut(_candidates(_variants(classes, kind), kind, differing_bits(similarity, 64, DEVIATIONS)))
+    classes = cut(sketched.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.count("*").alias("size")))
+    members = cut(_members(sketched.select("key", "c1", "c2"), classes))
+    copies = members.where("key <> rep").select("key")
+    copied = key_filter(copies, "key")(F.col("key"))
+    reps = sketched.where(~copied).unionByName(sketched.where(copied).join(copies, "key", "left_anti"))
+    found = cut(_candidates(_variants(reps, kind), kind, differing_bits(similarity, 64, DEVIATIONS)))
     candidates = found.where("sig IS NULL").select("a", "b").where("a <> b").distinct()
     hot = found.where("sig IS NOT NULL").select("a", "sig", "block")
-    known = classes.select("key", "b0", "b1")
+    known = reps.select("key", "b0", "b1")
     both = candidates.join(known.toDF("a", "a0", "a1"), "a").join(known.toDF("b", "b0", "b1"), "b")
     far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     close = both.where(far <= differing_bits(similarity, SYMBOLS, DEVIATIONS)).select("a", "b")
@@ -376,12 +377,15 @@ def near_duplicate_classes(
     return members, _verified(with_texts, kind, shingle, similarity)
 
 
-def _members(keys: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """(key, rep, size) of every record. Classes with one in ``HOT_KEYS`` of all records are looked up apart."""
+def _members(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep, size) of every record. Only rows that seem to be of a class of several are joined with it, and hot classes are looked up apart."""
     name = F.concat_ws(" ", F.col("c1").cast("string"), F.col("c2").cast("string")).alias("class")
-    table = classes.select(name, F.col("key").alias("rep"), "size")
-    hot = classes.where(F.col("size") >= max(SLICE, -(-total // HOT_KEYS))).select(name)
-    return look_up(keys.select("key", name), table, "class", hot, "key").select("key", "rep", "size")
+    several = classes.where("size > 1")
+    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one row
+    hot = several.where(F.col("size") >= max(SLICE, -(-total // HOT_KEYS))).select(name)
+    part = keys.where(key_filter(several, "c1")(F.col("c1"))).select("key", name)
+    shared = look_up(part, several.select(name, "rep", "size"), "class", hot, "key", "inner").select("key", "rep", "size")
+    return classes.where("size = 1").select(F.col("rep").alias("key"), "rep", "size").unionByName(shared)
 
 
 def _slices(size: Column) -> Column:
