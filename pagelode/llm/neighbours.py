@@ -324,7 +324,7 @@ def _divide(
 
 
 def _fitted(rows: DataFrame, plan: DataFrame) -> dict[int, Cells]:
-    """The cells of every index that has more than one, fitted where its sample is."""
+    """The cells of every index that has more than one, fitted where its sample is. Rows may be a part of them, as the sample is."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(float(SAMPLE)), F.col("cells") * float(SAMPLE_SHARE)) / F.col("n"))
     chance = F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(plan.where("cells > 1"), "index_id").where(chance < share).select("index_id", "cells", "vector")
@@ -401,8 +401,10 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     odd = chosen.join(reps.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id").union(chosen.where("versions").select("chunk_id"))
     suspect = key_filter(odd, "chunk_id")(F.col("chunk_id"))
     checked = rows.where(suspect).join(reps.select("chunk_id", "index_id", "h1", "h2"), ["chunk_id", "index_id", "h1", "h2"], "left_semi")
-    kept = rows.where(~suspect).select("index_id", "chunk_id", "vector").unionByName(checked.select("index_id", "chunk_id", "vector"))
-    cells = _to_cells(kept, _fitted(kept, plan))
+    checked = cut(checked.select("index_id", "chunk_id", "vector"))
+    others = rows.where(~suspect).select("index_id", "chunk_id", "vector")
+    kept = others.unionByName(checked)
+    cells = _to_cells(kept, _fitted(others, plan))
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("chunk_id").to_numpy()
