@@ -61,7 +61,7 @@ def usable(vectors: DataFrame, indexes: DataFrame) -> DataFrame:
     dims = small_side(dims)  # one row an index
     v = F.col("vector")
     return vectors.where(F.col("chunk_id").isNotNull()).join(dims, "index_id").where(
-        v.isNotNull() & (F.size(v) == F.col("_d")) & (F.array_min(v) != F.array_max(v))
+        v.isNotNull() & (F.size(v) == F.col("_d")) & F.exists(v, lambda x: x != v[0])
     ).select("chunk_id", "index_id", "embedded_at", "vector")
 
 
@@ -387,7 +387,9 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     fewer than k. Repeated rows count once; where one key has several vectors, the earliest
     embedded_at holds. Unusable vectors (null, wrong length, one repeated value) give no row.
     """
-    rows = usable(vectors, indexes).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(77), F.col("vector")))
+    # Two vectors are copies by a hash of all values and one of the first eight by themselves.
+    first = F.xxhash64(F.lit(77), *[F.get("vector", F.lit(i)) for i in range(8)])
+    rows = usable(vectors, indexes).withColumn("h1", F.xxhash64("vector")).withColumn("h2", first)
     chosen = cut(_one_version(rows))
     # The k + 1 smallest keys of a class of copies; the limit is applied before the shuffle too.
     place = F.row_number().over(Window.partitionBy("index_id", "h1", "h2").orderBy("chunk_id"))
@@ -404,7 +406,8 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     checked = cut(checked.select("index_id", "chunk_id", "vector"))
     others = rows.where(~suspect).select("index_id", "chunk_id", "vector")
     kept = others.unionByName(checked)
-    cells = _to_cells(kept, _fitted(others, plan))
+    centres = _fitted(others, plan)
+    cells = _to_cells(kept, centres)
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("chunk_id").to_numpy()
@@ -420,7 +423,7 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
     once = found.repartition("index_id", "chunk_id").groupBy("index_id", "chunk_id", "neighbour", "cosine").agg(F.min("sure").alias("sure"))
     near = cut(_best(once, k))  # one shuffle for both steps
-    near = _search_all(near, kept, k, reps.select("index_id", "chunk_id"), plan)
+    near = _search_on(near, kept, k, reps.select("index_id", "chunk_id"), plan, centres)
     return _with_copies(near, chosen, heads, k)
 
 
@@ -442,23 +445,23 @@ def _with_copies(near: DataFrame, chosen: DataFrame, heads: DataFrame, k: int) -
     first = F.array_contains("heads", F.col("chunk_id"))
     own = several.where(first).select("index_id", "chunk_id", F.explode("heads").alias("neighbour"), F.lit(1.0).alias("cosine")).where("chunk_id <> neighbour")
     late = several.where(~first).select("index_id", "chunk_id", F.explode(F.slice("heads", 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))
-    # Only rows that name a class of several go through the joins.
+    # Only queries that are of a class of several, or near to one, are ranked anew.
     copied = key_filter(lists.select("rep"), "rep")
-    part = near.where(copied(F.col("neighbour")))
+    touched = cut(near.where(copied(F.col("neighbour")) | copied(F.col("chunk_id"))).select("chunk_id").distinct())
+    changed = key_filter(touched, "chunk_id")(F.col("chunk_id"))
+    part = cut(near.where(changed))
     spelt = part.join(lists.select(F.col("rep").alias("neighbour"), "heads"), "neighbour", "left")
     spelt = spelt.select("index_id", "chunk_id", F.explode(F.coalesce("heads", F.array("neighbour"))).alias("neighbour"), "cosine")
-    every = near.where(~copied(F.col("neighbour"))).unionByName(spelt)
-    part = every.where(copied(F.col("chunk_id")))
     askers = several.where(first).select(F.col("rep").alias("chunk_id"), F.col("chunk_id").alias("_one"))
-    asked = part.join(askers, "chunk_id", "left").select("index_id", F.coalesce("_one", "chunk_id").alias("chunk_id"), "neighbour", "cosine")
-    return _best(every.where(~copied(F.col("chunk_id"))).unionByName(asked).unionByName(own), k).unionByName(late)
+    asked = spelt.join(askers, "chunk_id", "left").select("index_id", F.coalesce("_one", "chunk_id").alias("chunk_id"), "neighbour", "cosine")
+    return near.where(~changed).unionByName(_best(asked.unionByName(own), k)).unionByName(late)
 
 
-def _search_all(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, plan: DataFrame) -> DataFrame:
+def _search_on(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, plan: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``near`` without ``sure``, with better neighbours of the vectors whose cells may not hold all that are near enough.
 
     So it is where the k-th lies beyond ``sure``, and where the cells hold fewer than k others but the index more.
-    These are compared with all vectors of their index, in passes of at most about ``PASS_BYTES``.
+    These are compared with the vectors of all cells that lie within their reach, in passes of at most about ``PASS_BYTES``.
     """
     kth = near.groupBy("index_id", "chunk_id").agg(F.count("*").alias("_n"), F.min("cosine").alias("floor"), F.min("sure").alias("_sure"))
     known = keys.join(kth, ["index_id", "chunk_id"], "left").join(plan, "index_id")
@@ -468,63 +471,97 @@ def _search_all(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, plan:
     near, n = near.drop("sure"), unsure.count()
     if not n:
         return near
-    asked = kept.where(key_filter(unsure, "chunk_id")(F.col("chunk_id"))).join(unsure, "chunk_id")
+    open_ = key_filter(unsure, "chunk_id")
+    asked = kept.where(open_(F.col("chunk_id"))).join(unsure, "chunk_id")
     asked = cut(asked.dropDuplicates(["chunk_id"]))
     size = asked.agg(F.sum(F.size("vector"))).first()[0]
     passes = -(-size // PASS_BYTES)
-    every = near
+    again = near.where(open_(F.col("chunk_id")))
     for i in range(passes):
         part = asked.where(F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(passes)) == i).select("index_id", "chunk_id", "floor", "vector").toArrow()
         if len(part):
-            every = every.unionByName(cut(_compare(kept, part, k)))
-    return cut(_best(every.repartition("index_id", "chunk_id").distinct(), k))
-
-
-def _compare(kept: DataFrame, part: pa.Table, k: int) -> DataFrame:
-    """(index_id, chunk_id, neighbour, cosine): all vectors at least as near to one of ``part`` as its floor, without one the k best of each batch."""
+            again = again.unionByName(cut(_compare(kept, part, k, centres)))
+    return cut(near.where(~open_(F.col("chunk_id"))).unionByName(_best(again.repartition("index_id", "chunk_id").distinct(), k)))
+
+
+class Asked:
+    """The vectors of one index that are compared on, and which cells each of them asks."""
+
+    def __init__(self, keys: np.ndarray, floor: np.ndarray, codes: np.ndarray, centres: tuple[np.ndarray, np.ndarray] | None) -> None:
+        self.keys, self.floor = keys, floor.astype(np.float32)
+        self.exact, self.unit = codes.astype(np.float32), _unit(codes)
+        self.norms = np.einsum("ij,ij->i", self.exact, self.exact).astype(np.float64)
+        self.cells = Cells(*centres) if centres is not None else None
+        if self.cells is not None:
+            own = self.cells.centres[self.cells._own(self.unit)]
+            ask = np.ones((len(keys), len(self.cells.centres)), dtype=bool)
+            factor = max(1.0, np.sqrt(codes.shape[1]) / STRAY)
+            for at in range(0, len(keys), 2_000):
+                part = slice(at, at + 2_000)
+                plane = np.einsum("ij,ij->i", self.unit[part], own[part])[:, None] - self.unit[part] @ self.cells.centres.T
+                plane /= np.maximum(distance(own[part] @ self.cells.centres.T), 1e-6)
+                ask[part] = ~(plane * factor > distance(self.floor[part])[:, None])  # all of them without a floor
+            self.ask = ask
+
+    def parts(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) that are to be compared."""
+        if self.cells is None:
+            yield np.arange(len(self.keys)), np.arange(len(unit))
+            return
+        own = self.cells._own(unit)
+        for c in np.unique(own):
+            queries = np.nonzero(self.ask[:, c])[0]
+            if len(queries):
+                yield queries, np.nonzero(own == c)[0]
+
+
+def _compare(kept: DataFrame, part: pa.Table, k: int, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(index_id, chunk_id, neighbour, cosine): vectors at least as near to one of ``part`` as its floor, without one the k best of each cell and batch."""
     index = part.column("index_id").to_numpy()
     queries = {}
-    for i in np.unique(index):
+    for i in np.unique(index).tolist():
         at = pa.array(np.nonzero(index == i)[0])
         own = part.take(at)
-        queries[int(i)] = own.column("chunk_id").to_numpy(), own.column("floor").to_numpy(), _matrix(own.column("vector").combine_chunks())
+        queries[i] = own.column("chunk_id").to_numpy(), own.column("floor").to_numpy(), _matrix(own.column("vector").combine_chunks()), centres.get(i)
     sent = kept.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = {}
+        ready: dict[int, Asked] = {}
         for batch in batches:
             index = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in np.unique(index):
-                if int(i) not in sent.value:
+            for i in np.unique(index).tolist():
+                if i not in sent.value:
                     continue
                 if i not in ready:
-                    keys, floor, codes = sent.value[int(i)]
-                    ready[i] = keys, floor.astype(np.float32), codes.astype(np.float32), _unit(codes)
-                keys, floor, exact, unit = ready[i]
-                norms = np.einsum("ij,ij->i", exact, exact).astype(np.float64)
+                    ready[i] = Asked(*sent.value[i])
+                asked = ready[i]
                 at = np.nonzero(index == i)[0]
                 others = batch.column(1).to_numpy(zero_copy_only=False)[at]
                 rows = _matrix(batch.column(2).take(pa.array(at))).astype(np.float32)
-                row_norms = np.einsum("ij,ij->i", rows, rows).astype(np.float64)
-                across = (rows / np.sqrt(row_norms)[:, None].astype(np.float32)).T
-                step = max(1, 4_000_000 // len(at))
-                for s in range(0, len(keys), step):
-                    sims = unit[s : s + step] @ across
-                    least = floor[s : s + step].copy()
-                    open_ = np.isnan(least)  # nothing is known of these: the k best here, themselves besides
-                    if open_.any():
-                        least[open_] = np.partition(sims[open_], -min(k + 1, len(at)), axis=1)[:, -min(k + 1, len(at))]
-                    q, x = np.nonzero(sims >= least[:, None] - SLACK)
-                    q = q + s
-                    keep = keys[q] != others[x]
-                    q, x = q[keep], x[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(q), i, dtype=np.int32)), pa.array(keys[q].astype(np.int64)),
-                            pa.array(others[x].astype(np.int64)), pa.array(_cosines(exact, norms, q, rows, row_norms, x)),
-                        ],
-                        names=["index_id", "chunk_id", "neighbour", "cosine"],
-                    )
+                norms = np.einsum("ij,ij->i", rows, rows).astype(np.float64)
+                across = rows / np.sqrt(norms)[:, None].astype(np.float32)
+                for queries, members in asked.parts(across):
+                    step = max(1, 4_000_000 // len(members))
+                    for s in range(0, len(queries), step):
+                        who = queries[s : s + step]
+                        sims = asked.unit[who] @ across[members].T
+                        least = asked.floor[who].copy()
+                        unknown = np.isnan(least)  # nothing is known of these: the k best here, themselves besides
+                        if unknown.any():
+                            most = min(k + 1, len(members))
+                            least[unknown] = np.partition(sims[unknown], -most, axis=1)[:, -most]
+                        q, x = np.nonzero(sims >= least[:, None] - SLACK)
+                        q, x = who[q], members[x]
+                        keep = asked.keys[q] != others[x]
+                        q, x = q[keep], x[keep]
+                        if len(q):
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(np.full(len(q), i, dtype=np.int32)), pa.array(asked.keys[q].astype(np.int64)),
+                                    pa.array(others[x].astype(np.int64)), pa.array(_cosines(asked.exact, asked.norms, q, rows, norms, x)),
+                                ],
+                                names=["index_id", "chunk_id", "neighbour", "cosine"],
+                            )
 
     return kept.select("index_id", "chunk_id", "vector").mapInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double")
 
