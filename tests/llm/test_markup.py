@@ -1,3 +1,7 @@
+import itertools
+import time
+
+import numpy as np
 import pytest
 
 from pagelode.llm import markup as mk
@@ -5,7 +9,7 @@ from pagelode.llm import markup as mk
 
 def kinds(text):
     _, labels = mk.label_texts([text], mk.trained_model())
-    return {mk.KINDS[int(y)] for y in labels[0] if int(y) in mk.KINDS}
+    return {mk.KINDS[int(y)] for y in labels[0][1:] if int(y) in mk.KINDS}
 
 
 def clean(text):
@@ -14,42 +18,83 @@ def clean(text):
 
 
 def test_held_out_pages():
+    """Pages of the grammar that were not trained on: surroundings tell what shapes alone do not."""
     model = mk.trained_model()
-    right = total = 0
-    for text, spans in mk.labelled_pages(300, seed=77):
+    right = alone = total = 0
+    for text, spans, form in mk.labelled_pages(300, seed=77):
         nodes = mk.read_tree(text)
-        truth = mk.label_nodes(nodes, spans)
+        truth = mk.label_nodes(nodes, spans, form)[1:]
         _, got = mk.label_texts([text], model)
-        right += sum(int(a) == b for a, b in zip(got[0], truth))
+        single = model.alone(np.array([n[1] for n in nodes]))
+        right += sum(int(a) == b for a, b in zip(got[0][1:], truth))
+        alone += sum(int(a) == b for a, b in zip(single[1:], truth))
         total += len(truth)
-    assert right / total > 0.98
+    assert right / total > 0.96 and alone / total < 0.9
+
+
+#: Pages written by hand, with the kinds they hold; none of their sentences or signs come from the grammar.
+PAGES = [
+    ("Install it:\n\n```html\n<ul>\n<li><a href='#'>one &amp; two</a></li>\n</ul>\n```\n\nThen reload.", {"markdown"}),
+    ("~~~xml\n<note><to>Ann &lt;a@b&gt;</to><p>| x | y |</p></note>\n~~~", {"markdown"}),
+    ("```tex\n\\begin{tabular}{ll}\n\\textbf{a} & $x^2$ \\\\\n\\end{tabular}\n```", {"markdown"}),
+    ("````md\n```\n## inner\n```\n[[not a link]] {{nor this}}\n````", {"markdown"}),
+    ("<article>\n<p>Mix <em>flour</em> &amp; water.</p>\n<pre>\n# bake at 220\n* wait\n- rest\n</pre>\n</article>", {"html"}),
+    ("<div><div><pre>a = b[1] | c\n== done ==\n&gt;&gt; 4</pre></div></div>", {"html"}),
+    ("|-\n| Oslo || 709\n|-\n| Bergen || 291\n|}", {"wiki"}),
+    ("Trees of the north\n\n| tree | age |\n| :-- | --: |\n| yew | 900 |", {"markdown"}),
+    ("{| class=\"sortable\"\n! Tree !! Age\n|-\n| Yew || 900\n|}\n'''Yews''' grow slowly.", {"wiki"}),
+    ("\\section{Heat}\nBy \\emph{Fourier}, $q = -k T$ where\n\\begin{enumerate}\n\\item $k$ is known\n\\end{enumerate}", {"latex"}),
+    ("Dear all,\n\nwe met at 5 & 7 o'clock; 3 < 4 and 9 > 2 hold. Costs: $12, maybe $14!\n\nBye ~ A.", set()),
+    ("for i in a[0] do x = y | z; print x * y, {q: 1}", set()),
+    ("# Soup\n\n1. Peel\n2. Boil\n\n> Salt *later*\n\nSee [the list](shop.md).", {"markdown"}),
+    ("== Soup ==\n{{Recipe|time=20}}\nUse [[salt|some salt]] and ''pepper''.\n[[Category:Soups]]", {"wiki"}),
+]
+
+
+def test_pages_written_by_hand():
+    model = mk.trained_model()
+    with_messages = [kinds(text) == want for text, want in PAGES]
+    alone = []
+    for text, want in PAGES:
+        labels = model.alone(np.array([n[1] for n in mk.read_tree(text)]))[1:]
+        alone.append({mk.KINDS[int(y)] for y in labels if int(y) in mk.KINDS} == want)
+    assert all(with_messages), [t for (t, _), ok in zip(PAGES, with_messages) if not ok]
+    assert sum(alone) <= len(PAGES) - 4
 
 
 def test_sum_product_is_exact():
     """Marginals against summing over all labellings of a small tree."""
-    import itertools
-
-    import numpy as np
-
     model = mk.trained_model()
     parent, shape, depth = np.array([-1, 0, 0, 1]), np.array([0, 3, 5, 7]), np.array([0, 1, 1, 2])
     n = len(mk.LABELS)
     total = np.zeros((4, n))
     for ys in itertools.product(range(n), repeat=4):
-        p = model.root[ys[0]] * np.prod([model.shape[y, s] for y, s in zip(ys, shape)]) * np.prod([model.pair[ys[parent[i]], ys[i]] for i in (1, 2, 3)])
+        p = model.root[ys[0]] * np.prod([model.shape[y, s] for y, s in zip(ys, shape)]) * model.first[ys[0], ys[1]] * model.first[ys[0], ys[2]] * model.pair[ys[1], ys[3]]
         for i, y in enumerate(ys):
             total[i, y] += p
     assert model.marginals(parent, shape, depth) == pytest.approx(total / total.sum(1, keepdims=True), abs=1e-9)
 
 
+def shapes(text):
+    nodes = mk.read_tree(text)
+    return [(mk.SHAPES[s], mk.SHAPES[nodes[p][1]]) for p, s, *_ in nodes[1:]]
+
+
+def test_elements_hold_what_is_in_them():
+    assert shapes("<div><p>a &amp; <b>c</b></p></div><br>") == [
+        ("element", "root"), ("element", "element"), ("entity", "element"), ("element", "element"), ("close", "element"), ("close", "element"), ("close", "element"), ("tag", "root"),
+    ]
+    assert shapes("<p>one<p>two</i>") == [("tag", "root"), ("tag", "root"), ("tag", "root")]
+    assert shapes("- a **b**\n**c**") == [("item", "root"), ("strong", "item"), ("strong", "root")]
+    assert shapes("| a |\n|---|\nx\n| b |")[:3] == [("lines", "root"), ("row", "lines"), ("divider", "lines")]
+
+
 @pytest.mark.parametrize("text, want", [
-    ("<p>One</p>", {"html"}), ("It&#8217;s", {"html"}), ("a <!-- b --> c", {"html"}), ("a<BR/>b", {"html"}), ("## Head\ntext", {"markdown"}), ("- a\n- b", {"markdown"}), ("1. a\n2. b", {"markdown"}),
-    ("Title\n=====\nx", {"markdown"}), ("a **b** c", {"markdown"}), ("[a](b.md)", {"markdown"}), ("|a|b|\n|---|:-:|\n|1|2|", {"markdown"}), ("---\ntitle: x\n---\ny", {"markdown"}), ("so.[^1]", {"markdown"}),
-    ("== H ==\nx", {"wiki"}), ("an '''x''' y", {"wiki"}), ("[[A|b]]", {"wiki"}), ("{{Note|x}}", {"wiki"}), ("{| class=\"a\"\n|-\n| a || b\n|}", {"wiki"}), ("__TOC__\nx", {"wiki"}),
-    ("\\section{A}", {"latex"}), ("cost $O(n \\log n)$ now", {"latex"}), ("$$\\sum x$$", {"latex"}), ("\\begin{itemize}\n\\item a\n\\end{itemize}", {"latex"}),
-    ("```sh\n# a\n<div id=\"x\">y</div>\n[[z]] \\section{q}\n```", {"markdown"}), ("~~~\n<b>x</b>\n~~~\n<b>x</b>", {"markdown", "html"}),
-    ("if a < 3 and b > 2", set()), ("Map<u8, u16> x", set()), ("costs $5 or $6 [draft]", set()), ("Set $a_HOME and $b_PATH first", set()), ("C:\\data\\new\\begin by", set()), ("max_a_b and min_c_d", set()),
-    ("a * b and * c", set()), ("#96 a & b", set()), ("left == right | x", set()), ("a -> b ~ c ^ d", set()), ("--x=1 or {\"a\": true}", set()), ("", set()), (None, set()), (" \n", set()),
+    ("<td>One</td>", {"html"}), ("caf&eacute;", {"html"}), ("x <!-- y --> z", {"html"}), ("x<HR/>y", {"html"}), ("### Top\nlow", {"markdown"}), ("+ x\n+ y", {"markdown"}), ("3. x\n4. y", {"markdown"}),
+    ("Top\n---\nlow", {"markdown"}), ("x __y z__ w", {"markdown"}), ("![x](y.svg)", {"markdown"}), ("---\nlang: en\n---\nlow", {"markdown"}), ("thus.[^note]", {"markdown"}), ("[x]: ../y", {"markdown"}),
+    ("=== Top ===\nlow", {"wiki"}), ("some ''x'' here", {"wiki"}), ("[[File:x.svg|thumb]]", {"wiki"}), ("{{Stub}}", {"wiki"}), ("__NOGALLERY__\nlow", {"wiki"}), ("#REDIRECT [[x]]", {"wiki"}),
+    ("\\chapter{X}", {"latex"}), ("so \\(a+b\\) is", {"latex"}), ("\\[ a \\]", {"latex"}), ("\\begin{center}\nx\n\\end{center}", {"latex"}), ("let $k$ be", {"latex"}),
+    ("", set()), (None, set()), (" \n", set()), ("nothing at all", set()), ("7 * 6 = 42", set()), ("x^y", set()), ("a/b\\c", set()), ("one_two_three", set()), ("I <3 it", set()), ("50 % & more", set()),
 ])
 def test_kinds(text, want):
     assert kinds(text) == want
@@ -58,7 +103,7 @@ def test_kinds(text, want):
 @pytest.mark.parametrize("text, want", [
     ("## Head\n\ntext **b** `c`", "Head\n\ntext b c"), ("<ul>\n<li>a</li>\n<li>b &amp; c</li>\n</ul>", "- a\n- b & c"), ("* [x] a\n* [ ] b", "- [x] a\n- [ ] b"),
     ("```sh\n# a <b>\n```\nend", "    # a <b>\nend"), ("It is $x^2$ and \\textbf{bold}\\footnote{n}", "It is $x^2$ and bold (n)"), ("See [[A|the b]] and ''c''", "See the b and c"),
-    ("| a | b |\n|---|---|\n| 1 | 2 |", "a b\n\n1 2"), ("a < b & c\r\n", "a < b & c\r\n"), (None, None), ("", ""),
+    ("| a | b |\n|---|---|\n| 1 | 2 |", "a b\n\n1 2"), ("a < b & c\r\n", "a < b & c\r\n"), ("<div><p>a <em>b</em></p></div>", "a b"), (None, None), ("", ""),
 ])
 def test_clean(text, want):
     assert clean(text) == want
@@ -81,3 +126,14 @@ def test_deep_containers_are_read(depth):
     assert any(start == at for _, _, _, start, _ in mk.read_tree(text))
     cleaned = clean(text)
     assert "\\item" not in cleaned and "deep" in cleaned
+
+
+@pytest.mark.parametrize("sign", ["\\[", "\\(", "<pre>", "{|\n", "\\begin{a}", "<div>", "$a", "```\n", "<!--", "[", "*a", "'''a", "| a\n", "$a= "])
+def test_time_is_linear_in_what_is_left_open(sign):
+    def took(n):
+        began = time.perf_counter()
+        mk.read_tree(sign * n)
+        return time.perf_counter() - began
+
+    took(1_000)
+    assert took(20_000) < 3
