@@ -44,7 +44,7 @@ SAMPLE, SAMPLE_SHARE = 6_000, 8
 CELL_ROWS, SPLIT_ROWS = 400, 4_000
 #: Centres from which they are looked up in two levels, groups that are looked into, and centres that are known to a centre as near.
 TWO_LEVELS, LOOK_INTO, NEAR = 512, 4, 64
-LINES, EDGES = 64, 128
+LINES, EDGES = 64, 64
 #: Half window on the first level and its growth; collisions that make a candidate.
 WINDOW, GROWTH, LEVELS, THRESHOLD = 0.5, 1.5, 3, 31
 #: At a distance of half / SURE a window holds a vector on 65 % of the lines: THRESHOLD is 2.8 standard deviations less.
@@ -194,7 +194,10 @@ class SortedLines:
             packed = np.packbits(self.rank[line][None, :] < edges[:, None], axis=1)
             self.before[line, :, : packed.shape[1]] = packed
         self.before = self.before.view(np.uint64)
-        self.edges = edges
+        #: The last edge not after, and the first not before, each place in a sorted array.
+        places = np.arange(self.rows + 1)
+        self.down = np.searchsorted(edges, places, "right").astype(np.int32) - 1
+        self.up = np.searchsorted(edges, places, "left").astype(np.int32)
         self._windows: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     def windows(self, half: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +205,8 @@ class SortedLines:
         if half not in self._windows:
             low, high = np.empty_like(self.rank), np.empty_like(self.rank)
             for line, array in enumerate(self.sorted):  # in the array's own order, which is quick to search
-                first = np.searchsorted(self.edges, np.searchsorted(array, array - half, "left"), "right") - 1
-                last = np.searchsorted(self.edges, np.searchsorted(array, array + half, "right"), "left")
-                low[line], high[line] = first[self.rank[line]], last[self.rank[line]]
+                low[line] = self.down[np.searchsorted(array, array - half, "left")][self.rank[line]]
+                high[line] = self.up[np.searchsorted(array, array + half, "right")][self.rank[line]]
             self._windows[half] = low, high
         return self._windows[half]
 
@@ -391,18 +393,15 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     first = F.xxhash64(F.lit(77), *[F.get("vector", F.lit(i)) for i in range(8)])
     rows = usable(vectors, indexes).withColumn("h1", F.xxhash64("vector")).withColumn("h2", first)
     chosen = cut(_one_version(rows))
-    # The k + 1 smallest keys of a class of copies; the limit is applied before the shuffle too.
-    place = F.row_number().over(Window.partitionBy("index_id", "h1", "h2").orderBy("chunk_id"))
-    heads = cut(chosen.withColumn("place", place).where(F.col("place") <= k + 1))
-    reps = heads.where("place = 1")
-    plan = reps.groupBy("index_id").agg(F.count("*").alias("n"))
-    total = reps.count()
-    size = max(CELL_ROWS, -(-total // CENTRES))
-    plan = small_side(cut(plan.withColumn("cells", F.floor(F.col("n") / size).cast("int"))))  # one row an index
+    classes = cut(chosen.groupBy("index_id", "h1", "h2").agg(F.min("chunk_id").alias("chunk_id"), F.count("*").alias("copies")))
+    plan = classes.groupBy("index_id").agg(F.count("*").alias("n"))
+    size = F.greatest(F.lit(CELL_ROWS), F.ceil(F.sum("n").over(Window.partitionBy()) / CENTRES))  # one row an index
+    plan = small_side(cut(plan.withColumn("cells", F.floor(F.col("n") / size).cast("int"))))
+    members = cut(_copies(chosen, classes))
     # Rows of keys that are not the first of their class, or have other versions, are looked at; all others pass.
-    odd = chosen.join(reps.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id").union(chosen.where("versions").select("chunk_id"))
+    odd = members.where("chunk_id <> rep").select("chunk_id").union(chosen.where("versions").select("chunk_id"))
     suspect = key_filter(odd, "chunk_id")(F.col("chunk_id"))
-    checked = rows.where(suspect).join(reps.select("chunk_id", "index_id", "h1", "h2"), ["chunk_id", "index_id", "h1", "h2"], "left_semi")
+    checked = rows.where(suspect).join(classes, ["chunk_id", "index_id", "h1", "h2"], "left_semi")
     checked = cut(checked.select("index_id", "chunk_id", "vector"))
     others = rows.where(~suspect).select("index_id", "chunk_id", "vector")
     kept = others.unionByName(checked)
@@ -416,32 +415,51 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
         sure = table.column("sure").to_numpy()[first]
         parts = list(_divide(keys, codes, k, sure=sure))
         q, x, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-        sure = sure[np.searchsorted(keys, q)]
+        found = np.bincount(np.searchsorted(keys, q.astype(np.int64)), minlength=len(keys))
+        alone = keys[found < k]  # these come out with themselves, so that none is missing
+        q, x, c = np.concatenate([q, alone]), np.concatenate([x, alone]), np.concatenate([c, np.full(len(alone), -9.0)])
+        sure = sure[np.searchsorted(keys, q.astype(np.int64))]
         index = np.full(len(q), table.column("index_id")[0].as_py(), dtype=np.int32)
         return pa.table({"index_id": index, "chunk_id": q.astype(np.int64), "neighbour": x.astype(np.int64), "cosine": c.astype(np.float64), "sure": sure.astype(np.float32)})
 
     found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
     once = found.repartition("index_id", "chunk_id").groupBy("index_id", "chunk_id", "neighbour", "cosine").agg(F.min("sure").alias("sure"))
-    near = cut(_best(once, k))  # one shuffle for both steps
-    near = _search_on(near, kept, k, reps.select("index_id", "chunk_id"), plan, centres)
-    return _with_copies(near, chosen, heads, k)
+    own = Window.partitionBy("index_id", "chunk_id")
+    ranked = once.withColumn("_r", F.row_number().over(own.orderBy(F.desc("cosine"), F.asc("neighbour")))).where(F.col("_r") <= k)
+    real = F.when(F.col("neighbour") != F.col("chunk_id"), F.col("cosine"))
+    near = cut(ranked.withColumns({"found": F.count(real).over(own), "floor": F.min(real).over(own), "sure": F.min("sure").over(own)}))  # one shuffle
+    near = _search_on(near, kept, k, plan, centres)
+    return _with_copies(near, members, k)
 
 
-def _with_copies(near: DataFrame, chosen: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+def _class() -> Column:
+    return F.concat_ws(" ", *[F.col(c).cast("string") for c in ("index_id", "h1", "h2")]).alias("class")
+
+
+def _copies(chosen: DataFrame, classes: DataFrame) -> DataFrame:
+    """(chunk_id, index_id, rep, copies) of every key whose vector others have too."""
+    several = classes.where("copies > 1")
+    total = chosen.count()
+    hot = several.where(F.col("copies") >= max(1_000, -(-total // HOT_KEYS))).select(_class())
+    part = chosen.where(key_filter(several, "h1")(F.col("h1"))).select("chunk_id", "index_id", _class())
+    table = several.select(_class(), F.col("chunk_id").alias("rep"), "copies")
+    return look_up(part, table, "class", hot, "chunk_id", "inner").select("chunk_id", "index_id", "rep", "copies")
+
+
+def _with_copies(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """``near`` between classes of copies as neighbours of single keys.
 
-    A copy's neighbours are the smallest keys of its own class at cosine 1, then those of the
-    classes that are near. Copies beyond the first k + 1 all have the first k.
+    The k + 1 smallest keys of a class stand for it. A copy's neighbours are those of its own
+    class at cosine 1, then those of the classes that are near. Copies beyond the first k + 1
+    all have the first k.
     """
-    name = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("index_id", "h1", "h2")]).alias("class")
-    lists = heads.groupBy("index_id", "h1", "h2").agg(F.sort_array(F.collect_list("chunk_id")).alias("heads")).where(F.size("heads") > 1)
-    lists = cut(lists.select(name, F.col("heads")[0].alias("rep"), "heads"))
-    if lists.isEmpty():
+    if members.isEmpty():
         return near
-    sizes = chosen.groupBy("index_id", "h1", "h2").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") >= max(1_000, -(-chosen.count() // HOT_KEYS))).select(name)
-    several = look_up(chosen.select("chunk_id", "index_id", name), lists, "class", hot, "chunk_id", "inner")
-    several = cut(several.select("index_id", "chunk_id", "rep", "heads"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("chunk_id"))  # the limit is applied before the shuffle too
+    heads = members.withColumn("_place", place).where(F.col("_place") <= k + 1)
+    lists = cut(heads.groupBy("rep").agg(F.sort_array(F.collect_list("chunk_id")).alias("heads")))
+    hot = members.where(F.col("copies") >= max(1_000, -(-members.count() // HOT_KEYS))).select("rep").distinct()
+    several = cut(look_up(members.select("index_id", "chunk_id", "rep"), lists, "rep", hot, "chunk_id", "inner"))
     first = F.array_contains("heads", F.col("chunk_id"))
     own = several.where(first).select("index_id", "chunk_id", F.explode("heads").alias("neighbour"), F.lit(1.0).alias("cosine")).where("chunk_id <> neighbour")
     late = several.where(~first).select("index_id", "chunk_id", F.explode(F.slice("heads", 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))
@@ -457,19 +475,18 @@ def _with_copies(near: DataFrame, chosen: DataFrame, heads: DataFrame, k: int) -
     return near.where(~changed).unionByName(_best(asked.unionByName(own), k)).unionByName(late)
 
 
-def _search_on(near: DataFrame, kept: DataFrame, k: int, keys: DataFrame, plan: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """``near`` without ``sure``, with better neighbours of the vectors whose cells may not hold all that are near enough.
+def _search_on(near: DataFrame, kept: DataFrame, k: int, plan: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``near`` (with each vector's number ``found`` and ``floor``, the least cosine) with better neighbours of the vectors whose cells may not hold all that are near enough.
 
     So it is where the k-th lies beyond ``sure``, and where the cells hold fewer than k others but the index more.
     These are compared with the vectors of all cells that lie within their reach, in passes of at most about ``PASS_BYTES``.
     """
-    kth = near.groupBy("index_id", "chunk_id").agg(F.count("*").alias("_n"), F.min("cosine").alias("floor"), F.min("sure").alias("_sure"))
-    known = keys.join(kth, ["index_id", "chunk_id"], "left").join(plan, "index_id")
-    short = F.coalesce("_n", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)
-    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("_sure")
-    unsure = cut(known.where(short | far).select("chunk_id", F.when(~short, F.col("floor")).alias("floor")))
-    near, n = near.drop("sure"), unsure.count()
-    if not n:
+    short = F.col("found") < F.least(F.lit(k), F.col("n") - 1)
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("sure")
+    unsure = near.where("_r = 1").join(plan, "index_id").where(short | far)
+    unsure = cut(unsure.select("chunk_id", F.when(~short, F.col("floor")).alias("floor")))
+    near = near.where("neighbour <> chunk_id").select("index_id", "chunk_id", "neighbour", "cosine")
+    if unsure.isEmpty():
         return near
     open_ = key_filter(unsure, "chunk_id")
     asked = kept.where(open_(F.col("chunk_id"))).join(unsure, "chunk_id")
