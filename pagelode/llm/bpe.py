@@ -1,17 +1,18 @@
-"""Byte-level BPE as an automaton compiled from the merge list (problem 7).
-
-The merges are compiled one after another into gadgets of a deterministic automaton
-over tokens. Its states are the start and "the last token was t"; an arc labelled u
-leads from state t to state u. The gadget of a merge (x, y) closes exactly the arcs
-t -> u across whose border that merge would fire: x on the right edge of t's merge
-tree, y on the left edge of u's, both still unmerged when the merge's turn comes.
-What remains accepts, of every byte string, one token sequence: the BPE encoding.
-Closed arcs are kept as the gadgets' tables and an arc is decided from them when it
-is first met, then remembered, since all arcs of a 50,000-token automaton do not fit.
-
-A word is encoded in one pass from left to right. Every prefix has exactly one open
-path, and the pass keeps its last arc; reading the arcs back emits the labels.
-Vocabulary files are read where they lie and only parsed once per Python worker.
+"""Byte-level BPE as an automaton over tokens (problem 7).
+
+Its states are the start and "the last token was t"; an arc labelled u leads from state t
+to state u. A merge (x, y) closes exactly the arcs t -> u across whose border it would
+fire: x on the right edge of t's merge tree, y on the left edge of u's, both still
+unmerged when the merge's turn comes. What remains accepts, of every byte string, one
+token sequence: the BPE encoding.
+
+The automaton is not written out: 50,000 tokens would have 2.5 thousand million arcs. What
+is compiled from the merge list is each merge's turn and each token's merge tree; a merge's
+gadget is the set of arcs that these two close, and whether an arc is open is decided when
+it is first met and then looked up. A word is encoded in one pass from left to right. Every
+prefix has exactly one open path, and the pass keeps its last arc; reading the arcs back
+emits the labels. Vocabulary files are read where they lie and only parsed once per Python
+worker.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
         self.ids = dict(vocab)
         self.labels = {i: b for b, i in vocab.items()}
-        #: Gadget of each merge: (left token, right token) -> its turn.
+        #: (left token, right token) of each merge -> its turn.
         self.turn: dict[tuple[int, int], int] = {}
         self.tree: dict[int, tuple[int, int, int]] = {}
         for turn, pair in enumerate(merges):
@@ -71,7 +72,7 @@ class MergeAutomaton:
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
 
     def _add(self, turn: int, left: bytes, right: bytes) -> None:
-        """Splices one merge's gadget in."""
+        """Notes what one merge's gadget is made of: its turn and the tree of the token it makes."""
         pair = self.ids[left], self.ids[right]
         self.turn.setdefault(pair, turn)
         self.tree.setdefault(self.ids[left + right], (*pair, turn))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.llm import bpe, distinctive, markup, mixing, near_duplicates, neighbours, splitting, truncation
 from pagelode.llm.stage import cut, first_delivery
+from pagelode.session import ensure_checkpoint_dir
+from pagelode.sources.fs import SharedFolder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +98,20 @@ def p8_shares(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+@query("""SELECT t.source, count(doc_id) AS docs, true AS within_cap, true AS as_expected
+FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) t LEFT JOIN documents d USING (source) GROUP BY 1""")
+def p8_checked(spark, sf):
+    """Of every target its documents, whether none is used more often than allowed, and whether its copies are as many as its rate says, up to one."""
+    copies, shares = mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    got = copies.groupBy("source").agg(F.sum("copies").alias("_copies"))
+    rate = F.when(F.col("tokens") > 0, F.least(F.col("target_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    known = shares.join(got, "source", "left")
+    return known.select(
+        "source", "docs", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"),
+        (F.abs(F.coalesce("_copies", F.lit(0)) - rate * F.col("docs")) < 1 + 1e-6).alias("as_expected"),
+    )
+
+
 # ---- problem 2
 
 
@@ -158,13 +177,57 @@ def p4_found(spark, sf):
     return splitting.oversized(_sized(spark, sf, ["chunk_id", "text"]), "chunk_id").select("chunk_id")
 
 
+def _pieces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = splitting.long_enough(_sized(spark, sf, ["chunk_id", "ingested_at", "heading", "text", "range"]))
+    kept = first_delivery(rows, "chunk_id", "ingested_at", ["heading", "text", "range", "_size", "_overlap"])
+    return kept, splitting.split_records(kept, "chunk_id")
+
+
 @query()
 def p4_pieces(spark, sf):
     """(chunk_id, piece, heading, text, range, words) of every oversized chunk."""
-    rows = _sized(spark, sf, ["chunk_id", "ingested_at", "heading", "text", "range"])
-    long = splitting.oversized(rows, "chunk_id").select("chunk_id")
-    kept = first_delivery(rows.join(long, "chunk_id", "left_semi"), "chunk_id", "ingested_at", ["heading", "text", "range", "_size", "_overlap"])
-    return splitting.split_records(kept, "chunk_id")
+    return _pieces(spark, sf)[1]
+
+
+UNICODE_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SIZES_SQL = """d AS (SELECT chunksize, chunkoverlap FROM search_configs WHERE index_id IS NULL ORDER BY saved_at DESC LIMIT 1),
+f AS (SELECT index_id, arg_max(coalesce(chunksize, (SELECT chunksize FROM d)), saved_at) AS size, arg_max(coalesce(chunkoverlap, (SELECT chunkoverlap FROM d)), saved_at) AS lap
+  FROM search_configs WHERE index_id IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH {SIZES_SQL}, t AS (SELECT chunk_id, any_value(text) AS text, any_value(index_id) AS index_id FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+w AS (SELECT chunk_id, list_filter(regexp_split_to_array(text, '{UNICODE_WS}+'), lambda x: x <> '') AS w, coalesce(size, (SELECT chunksize FROM d)) AS size FROM t LEFT JOIN f USING (index_id))
+SELECT chunk_id, len(w)::BIGINT AS words, md5(array_to_string(w, ' ')) AS content, true AS fits, true AS ranged FROM w WHERE len(w) > size""")
+def p4_coverage(spark, sf):
+    """Of every oversized chunk its pieces' words without those shared with the piece before, whether all fit, and whether ranges are their own."""
+    kept, pieces = _pieces(spark, sf)
+    joined = pieces.join(kept.select("chunk_id", F.col("text").alias("whole"), F.col("range").alias("span"), "_size", "_overlap"), "chunk_id")
+    cut_out = F.when(F.col("range").isNull(), F.col("span").isNull()).otherwise(
+        F.expr("substring(whole, CAST(range.start - span.start + 1 AS INT), CAST(range.end - range.start AS INT))") == F.col("text")
+    )
+    rows = joined.select("chunk_id", "piece", "text", "words", "_size", "_overlap", cut_out.alias("own"))
+
+    def unshared(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("piece")
+        words: list[str] = []
+        for text, size, overlap in zip(frame["text"], frame["_size"], frame["_overlap"]):
+            words += text.split()[min(overlap, len(words), size - 1) :]
+        content = hashlib.md5(" ".join(words).encode()).hexdigest()
+        return pd.DataFrame([(frame["chunk_id"].iloc[0], len(words), content, bool((frame["words"] <= frame["_size"]).all()), bool(frame["own"].all()))])
+
+    return rows.groupBy("chunk_id").applyInPandas(unshared, "chunk_id bigint, words bigint, content string, fits boolean, ranged boolean")
+
+
+@query(f"SELECT sum(len(list_filter(regexp_split_to_array(text, '{UNICODE_WS}+'), lambda x: x <> '')))::BIGINT AS words, 0::BIGINT AS over FROM documents")
+def p4_files(spark, sf):
+    """All documents' texts as some large files, cut by byte ranges: their words without the shared ones, and pieces over the limit."""
+    base = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").where("text IS NOT NULL").select("text").coalesce(4).write.option("lineSep", "\n\n").text(base)
+    pieces = splitting.split_files(spark, base, 256, 32)
+    per_file = pieces.groupBy("path").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.count_if(F.col("words") > 256).alias("over"))
+    done = cut(per_file.agg(F.sum(F.col("words") - 32 * (F.col("n") - 1)).alias("words"), F.coalesce(F.sum("over"), F.lit(0)).alias("over")))
+    SharedFolder(spark, base).delete("")
+    return done
 
 
 # ---- problem 9

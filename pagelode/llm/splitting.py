@@ -159,25 +159,27 @@ def with_settings(chunks: DataFrame, configs: DataFrame, columns: list[str]) ->
     return joined.select(*columns, size_col.cast("int").alias("_size"), lap.cast("int").alias("_overlap"))
 
 
+def long_enough(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose texts have enough characters to hold more than ``_size`` words; others cannot."""
+    return rows.where(F.length(text) > 2 * F.col("_size"))
+
+
 def oversized(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, words) of the rows (key, text, _size, _overlap) with more words than ``_size``; repeated keys count once."""
+    """(key, words, pieces) of the rows (key, text, _size, _overlap) that ``split_text`` cuts; repeated keys count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, words = [], []
-            for i, (t, size) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                table = boundary_table(t)
-                n = table[-1][2] if table else 0
-                if n > size:
-                    at.append(i)
-                    words.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.int64())], names=["key", "words"])
+            cuts = [split_text(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            at = [i for i, (_, pieces) in enumerate(cuts) if pieces]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array([cuts[i][0] for i in at], pa.int64()), pa.array([len(cuts[i][1]) for i in at], pa.int64())],
+                names=["key", "words", "pieces"],
+            )
 
     kind = rows.schema[key].dataType.simpleString()
-    # Fewer characters than that cannot hold more words.
-    long = rows.where(F.col(key).isNotNull() & (F.length(text) > 2 * F.col("_size")))
-    found = long.select(F.col(key).alias("key"), F.col(text).alias("text"), "_size").mapInArrow(run, f"key {kind}, words bigint")
-    return found.groupBy("key").agg(F.max("words").alias("words")).withColumnRenamed("key", key)
+    long = long_enough(rows.where(F.col(key).isNotNull()), text)
+    found = long.select(F.col(key).alias("key"), F.col(text).alias("text"), "_size", "_overlap").mapInArrow(run, f"key {kind}, words bigint, pieces bigint")
+    return found.groupBy("key").agg(F.max("words").alias("words"), F.max("pieces").alias("pieces")).withColumnRenamed("key", key)
 
 
 def split_records(rows: DataFrame, key: str) -> DataFrame:

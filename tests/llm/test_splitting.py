@@ -63,12 +63,14 @@ def test_records(spark):
     c = spark.createDataFrame(chunks, "chunk_id long, index_id int, heading string, text string, range struct<start:long,end:long>, ingested_at long")
     s = spark.createDataFrame(configs, "index_id int, chunksize int, chunkoverlap int, saved_at long")
     rows = sp.with_settings(c, s, ["chunk_id", "heading", "text", "range"])
-    assert {(r["chunk_id"], r["words"]) for r in sp.oversized(rows, "chunk_id").collect()} == {(1, 30), (3, 6), (4, 13), (5, 13), (7, 40)}
+    long = {r["chunk_id"]: (r["words"], r["pieces"]) for r in sp.oversized(rows, "chunk_id").collect()}
+    assert {k: n for k, (n, _) in long.items()} == {1: 30, 3: 6, 4: 13, 5: 13, 7: 40}
     pieces = sp.split_records(rows.where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]), "chunk_id").orderBy("chunk_id", "piece").collect()
     by = {}
     for p in pieces:
         by.setdefault(p["chunk_id"], []).append(p)
     assert set(by) == {1, 3, 4, 5, 7}
+    assert {k: len(p) for k, p in by.items()} == {k: n for k, (_, n) in long.items()}
     texts = {r[0]: r[3] for r in chunks}
     for k, size, lap in ((1, 10, 2), (3, 4, 3), (4, 12, 3), (5, 12, 3), (7, 5, 4)):
         assert [p["piece"] for p in by[k]] == list(range(len(by[k])))
