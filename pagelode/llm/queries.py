@@ -119,13 +119,24 @@ def _duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicate_classes(table(spark, sf, "chunks"), "chunk_id", at="ingested_at", shingle=3, similarity=0.5, least_words=20)
 
 
-@query()
+PAIRS_SQL = """t AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
+s AS (SELECT DISTINCT chunk_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM w WHERE len(w) >= 20),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.chunk_id < y.chunk_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM b JOIN n na ON na.chunk_id = a JOIN n nb ON nb.chunk_id = b WHERE shared >= 0.5 * (na.n + nb.n - shared))"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT a AS chunk_id_a, b AS chunk_id_b FROM pairs")
 def p2_found(spark, sf):
     pairs = near_duplicates.expand_pairs(*_duplicates(spark, sf))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, ends AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT u, u AS v FROM ends UNION SELECT r.u, e.v FROM reached r JOIN ends e ON e.u = r.v)
+SELECT n.chunk_id, coalesce(g, n.chunk_id) AS group_id, coalesce(links, 0)::BIGINT AS links
+FROM n LEFT JOIN (SELECT u AS chunk_id, min(v) AS g FROM reached GROUP BY 1) USING (chunk_id) LEFT JOIN (SELECT u AS chunk_id, count(*) AS links FROM ends GROUP BY 1) USING (chunk_id)""")
 def p2_groups(spark, sf):
     """One row per chunk of 20 words or more: its group and its number of near-duplicates."""
     groups = near_duplicates.near_duplicate_groups(*_duplicates(spark, sf))
@@ -135,13 +146,21 @@ def p2_groups(spark, sf):
 # ---- problem 3
 
 
-@query()
+NEAREST_SQL = """u AS (SELECT v.chunk_id, v.index_id, arg_min(vector, embedded_at) AS x FROM vectors v JOIN search_indexes i ON v.index_id = i.index_id
+  AND len(vector) = dimensions AND list_min(vector) <> list_max(vector) WHERE chunk_id IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT *, list_dot_product(x::DOUBLE[], x::DOUBLE[]) AS n FROM u),
+c AS (SELECT a.index_id, a.chunk_id, b.chunk_id AS neighbour, list_dot_product(a.x::DOUBLE[], b.x::DOUBLE[]) / sqrt(a.n * b.n) AS cosine
+  FROM d a JOIN d b ON a.index_id = b.index_id AND a.chunk_id <> b.chunk_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY index_id, chunk_id ORDER BY cosine DESC, neighbour) AS r FROM c) WHERE r <= 5)"""
+
+
+@query(f"WITH {NEAREST_SQL} SELECT DISTINCT least(chunk_id, neighbour) AS chunk_id_a, greatest(chunk_id, neighbour) AS chunk_id_b FROM near")
 def p3_found(spark, sf):
     near = neighbours.nearest(table(spark, sf, "vectors"), table(spark, sf, "search_indexes"))
     return neighbours.neighbour_pairs(near)
 
 
-@query()
+@query(f"WITH {NEAREST_SQL} SELECT index_id, chunk_id, neighbour, cosine FROM near")
 def p3_neighbours(spark, sf):
     """(index_id, chunk_id, neighbour, cosine) of the five most similar vectors of every usable vector."""
     return neighbours.nearest(table(spark, sf, "vectors"), table(spark, sf, "search_indexes"))
