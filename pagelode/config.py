@@ -17,12 +17,9 @@ MODEL_CATALOGUE: tuple[tuple[str, int, bool], ...] = (
 )
 DEFAULT_INCLUDE = ("**/*.md", "**/*.txt", "**/*.html")
 STATE_DIR = ".pagelode"
-DEFAULT_EXCLUDE = tuple(
-    f"**/{name}/**"
-    for name in (
-        "node_modules", "dist", "build", "site", ".git", STATE_DIR, ".cache", ".next", ".nuxt", "coverage", ".svn",
-        ".hg", "vendor",
-    )
+DEFAULT_EXCLUDE = (
+    "**/node_modules/**", "**/dist/**", "**/build/**", "**/site/**", "**/.git/**", "**/.pagelode/**", "**/.cache/**", "**/.next/**", "**/.nuxt/**",
+    "**/coverage/**", "**/.svn/**", "**/.hg/**", "**/vendor/**",
 )
 
 

@@ -40,11 +40,6 @@ def quantize(vector: Column, params: Column, dims: int) -> Column:
     ))
 
 
-def dequantize(codes: Column, params: Column) -> Column:
-    """Floats back from codes and their kept zero-point; the error is at most half a step."""
-    return F.transform(codes, lambda c: (c.cast("double") + 128.0) / 255.0 * params["range"] + params["min"])
-
-
 def dot_int(a: Column, b: Column) -> Column:
     """Exact integer dot product over the entries that both have."""
     n = F.least(F.size(a), F.size(b))
@@ -121,8 +116,3 @@ def ternary_unpack(packed: Column, dims: Column | int) -> Column:
 def compression_for(count: Column) -> Column:
     """Which codec a run of that many chunks uses; ``pq`` is a label for the ternary payload."""
     return F.when(count >= PQ_AT, F.lit("pq")).when(count >= TERNARY_AT, F.lit("ternary")).otherwise(F.lit("none"))
-
-
-def stored_codes(codes: Column, compression: Column) -> Column:
-    """What a reader sees of codes written with that codec."""
-    return F.when(compression == "none", codes).otherwise(ternary(codes))

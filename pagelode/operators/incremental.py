@@ -66,12 +66,6 @@ def detect_changes(current: DataFrame, previous: DataFrame, git_changed: DataFra
     return by_stat if named.isEmpty() else named
 
 
-def replace_changed(index: DataFrame, fresh: DataFrame, touched: DataFrame, file: str = "file") -> DataFrame:
-    """The index without any row of a touched (changed or deleted) file, plus the fresh rows."""
-    kept = index.join(touched.select(F.col("path").alias(file)).distinct(), file, "left_anti")
-    return kept.select(*index.columns).unionByName(fresh.select(*index.columns))
-
-
 def running_counters(chunks: DataFrame) -> DataFrame:
     """(batch_id, total_chunks, indexed_files) after each stored batch."""
     first = chunks.groupBy("file").agg(F.min("batch_id").alias("batch_id")).groupBy("batch_id").agg(F.count("*").alias("_f"))
