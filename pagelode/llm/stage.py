@@ -33,8 +33,9 @@ def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     must not depend on what passes too much. The driver and every task hold 8 MB.
     """
     h = F.xxhash64(F.col(key), F.lit(41))
-    low, high = F.lit(FILTER_BITS - 1), F.shiftrightunsigned(h, 38)
-    places = F.array(h.bitwiseAND(low), F.shiftrightunsigned(h, 26).bitwiseAND(low), h.bitwiseAND(low).bitwiseXOR(high))
+    mask = FILTER_BITS - 1
+    first, second, third = (F.shiftrightunsigned(h, n).bitwiseAND(F.lit(mask)) for n in (0, 26, 38))
+    places = F.array(first, second, first.bitwiseXOR(third))
     at = keys.where(F.col(key).isNotNull()).select(F.explode(places).alias("_at"))
     words = at.groupBy(F.shiftright("_at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")).alias("bits"))
     got = words.toArrow()  # at most FILTER_BITS / 64 rows
@@ -46,9 +47,9 @@ def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     def held(hashes: pd.Series) -> pd.Series:
         own = sent.value
         x = hashes.to_numpy().view(np.uint64)
-        first = x & np.uint64(FILTER_BITS - 1)
+        first, second, third = (x >> np.uint64(n) & np.uint64(mask) for n in (0, 26, 38))
         out = np.ones(len(x), dtype=bool)
-        for place in (first, (x >> np.uint64(26)) & np.uint64(FILTER_BITS - 1), first ^ (x >> np.uint64(38))):
+        for place in (first, second, first ^ third):
             out &= (own[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
         return pd.Series(out)
 
