@@ -47,10 +47,14 @@ def dot_int(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def cosine_int(a: Column, b: Column) -> Column:
-    """Cosine of codes; 0 where a norm is 0. One square root and one division after exact sums."""
-    norm = F.sqrt(dot_int(a, a).cast("double")) * F.sqrt(dot_int(b, b).cast("double"))
-    return dot_int(a, b).cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+def norm_int(a: Column) -> Column:
+    return F.sqrt(dot_int(a, a).cast("double"))
+
+
+def cosine_int(a: Column, b: Column, norm_a: Column | None = None) -> Column:
+    """Cosine of codes; 0 where a norm is 0. Exact sums before one square root each and one division; a known norm is not computed again."""
+    norm = (norm_int(a) if norm_a is None else norm_a) * norm_int(b)
+    return let(norm, lambda n: dot_int(a, b).cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
 def dot_float(a: Column, b: Column) -> Column:

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelode.functions.text import WORD_RE, keyword_score, query_terms
-from pagelode.functions.vectors import cosine_float, cosine_int, is_nonzero, l2_norm
+from pagelode.functions.vectors import cosine_float, cosine_int, is_nonzero, l2_norm, norm_int
+from pagelode.session import cut_lineage
 
 #: Queries, and bytes of their words or vectors, in one block: what the driver collects and every task holds.
 QUERY_BLOCK, BLOCK_BYTES = 4_096, 16 << 20
@@ -227,10 +228,10 @@ def rerank(hits: DataFrame, vectors: DataFrame, key: str = "doc_id", vector: str
     """
     vecs = vectors.select(F.col(key).alias(key), F.col(vector).alias("_v"))
     best = hits.agg(F.min_by(key, F.struct(-F.col("kw"), F.col(key))).alias("_seed"), F.count("*").alias("_n"))
-    seed = best.join(vecs.withColumnRenamed(key, "_seed"), "_seed", "left").select("_n", F.col("_v").alias("_sv"))
+    seed = best.join(vecs.withColumnRenamed(key, "_seed"), "_seed", "left").select("_n", F.col("_v").alias("_sv"), norm_int(F.col("_v")).alias("_norm"))
     joined = hits.join(vecs, key, "left").join(F.broadcast(seed))  # one row
     usable = (F.col("_n") > 1) & F.col("_sv").isNotNull() & F.coalesce(is_nonzero(F.col("_sv")), F.lit(False))
-    mixed = F.lit(0.6) * (F.col("kw") / (F.col("kw") + F.lit(1.0))) + F.lit(0.4) * cosine_int(F.col("_sv"), F.col("_v"))
+    mixed = F.lit(0.6) * (F.col("kw") / (F.col("kw") + F.lit(1.0))) + F.lit(0.4) * cosine_int(F.col("_sv"), F.col("_v"), F.col("_norm"))
     return joined.select(key, "kw", F.when(usable & F.col("_v").isNotNull(), mixed).otherwise(F.col("kw")).alias("score"))
 
 
@@ -319,9 +320,9 @@ def hybrid_search(
     docs: DataFrame, vectors: DataFrame, query: str, k: int = 10,
     key: str = "doc_id", text: str = "text", vector: str = "vector",
 ) -> DataFrame:
-    """(key, kw, score) of the k best texts of one query: one scan of the texts, vectors only for hits."""
+    """(key, kw, score) of the k best texts of one query: one scan of the texts, whose hits (key, kw) are kept, and vectors only for hits."""
     _check_k(k)
-    scored = rerank(keyword_hits(docs, query, key, text), vectors, key, vector)
+    scored = rerank(cut_lineage(keyword_hits(docs, query, key, text)), vectors, key, vector)
     return scored.orderBy(F.desc("score"), F.desc("kw"), F.asc(key)).limit(k)
 
 
