@@ -26,7 +26,7 @@ def query_terms(query: Column) -> Column:
 
 def trim_ws(text: Column) -> Column:
     """Strip the whole whitespace class from both ends (``trim`` knows only U+0020)."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def term_count(text: Column, term: Column) -> Column:

@@ -16,7 +16,6 @@ from pagelode.schemas import PIECES
 
 HEADING = re.compile(f"#{{1,6}}[{WS_CHARS}]")
 HEADING_MARK = re.compile(f"^#+[{WS_CHARS}]*")
-EDGES = re.compile(f"^[{WS_CHARS}]+|[{WS_CHARS}]+$")
 
 
 def utf16(text: str) -> int:
@@ -46,7 +45,7 @@ def fold_lines(text: str | None, size: int, overlap: int) -> list[tuple[str | No
             words = words[-overlap:] if overlap else words
             start = at
         if title:
-            heading = EDGES.sub("", HEADING_MARK.sub("", line))
+            heading = HEADING_MARK.sub("", line).strip(WS_CHARS)
         at = after
     if words:
         out.append((heading, " ".join(words), start, at))

@@ -10,6 +10,8 @@ from pagelode.session import cut_lineage
 
 #: ``monotonically_increasing_id`` keeps the row's place within its partition in so many low bits.
 PLACE_BITS = 33
+#: Columns in between, named so that the rows' own columns keep theirs.
+PLACE, PART, BEFORE, COUNT = "_ordinal_place", "_ordinal_part", "_ordinal_before", "_ordinal_count"
 
 
 def numbered(ordered: DataFrame, name: str) -> DataFrame:
@@ -19,17 +21,17 @@ def numbered(ordered: DataFrame, name: str) -> DataFrame:
     counts of the partitions and the rows moved on by them then speak of the same
     partitions, whatever columns are read and whichever executor is lost.
     """
-    placed = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_place", PLACE_BITS)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    placed = cut_lineage(ordered.withColumn(PLACE, F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(PLACE, PLACE_BITS)
+    counts = placed.groupBy(part.alias(PART)).agg(F.count("*").alias(COUNT))
+    running = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = counts.select(PART, F.coalesce(F.sum(COUNT).over(running), F.lit(0)).alias(BEFORE))
+    place = F.col(PLACE).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(before), "_part")  # one row a partition
-        .withColumn(name, (F.col("_before") + place).cast("long"))
-        .drop("_part", "_before", "_place")
+        placed.withColumn(PART, part)
+        .join(F.broadcast(before), PART)  # one row a partition
+        .withColumn(name, (F.col(BEFORE) + place).cast("long"))
+        .drop(PART, BEFORE, PLACE)
     )
 
 
