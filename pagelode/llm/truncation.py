@@ -72,6 +72,11 @@ CLOSING_SHARE, SOURCE_CLOSING_SHARE = 0.002, 0.02
 HABIT = 0.5
 #: A pile: that share of the source's texts, so many times the mean of the lengths around it, and so many deviations above it.
 PILE_SHARE, PILE_TIMES, PILE_DEVIATIONS, AROUND = 0.002, 8, 5, 30
+#: And so many times each of the lengths next to it.
+NEXT_TO, NEXT_TIMES = 5, 3
+
+#: Rows of a baseline that are sent to all tasks; more are joined by a shuffle, with the same result.
+SENT_ROWS = 100_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A terminator before more text; the closing signs before it belong to it.
@@ -338,15 +343,23 @@ def length_piles(ends: DataFrame) -> DataFrame:
     """(source, unit, length, n): lengths at which a source's texts pile up.
 
     Counted over all texts of the source; a pile stands out from the lengths around it, in
-    times their mean and beyond chance, and is a share of the source's texts.
+    times their mean and beyond chance, and from each of the nearest, and is a share of the
+    source's texts. In bytes the lengths just below are those of texts cut before a long character,
+    so they may hold as many texts, but no more.
     """
     sized = ends.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length"))
     counts = cut(sized.groupBy("source", "unit", "length").agg(F.count("*").alias("n")))
     texts = counts.where("unit = 'chars'").groupBy("source").agg(F.sum("n").alias("_texts"))
-    around = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-AROUND, AROUND)
-    mean = (F.sum("n").over(around) - F.col("n")) / (2 * AROUND)
-    stands_out = (F.col("n") >= PILE_TIMES * F.col("_mean")) & (F.col("n") - F.col("_mean") >= PILE_DEVIATIONS * F.sqrt(F.col("_mean") + 1))
-    piles = counts.withColumn("_mean", mean).where(stands_out).join(texts, "source").where(F.col("n") >= PILE_SHARE * F.col("_texts"))
+    lengths = Window.partitionBy("source", "unit").orderBy("length")
+    mean = (F.sum("n").over(lengths.rangeBetween(-AROUND, AROUND)) - F.col("n")) / (2 * AROUND)
+    most = lambda low, high: F.coalesce(F.max("n").over(lengths.rangeBetween(low, high)), F.lit(0))
+    below = F.when(F.col("unit") == "chars", most(-NEXT_TO, -1)).otherwise(F.greatest(most(-NEXT_TO - 3, -4), most(-3, -1) / NEXT_TIMES))
+    beside = F.greatest(below, most(1, NEXT_TO))
+    stands_out = (
+        (F.col("n") >= PILE_TIMES * F.col("_mean")) & (F.col("n") - F.col("_mean") >= PILE_DEVIATIONS * F.sqrt(F.col("_mean") + 1))
+        & (F.col("n") >= NEXT_TIMES * F.col("_beside"))
+    )
+    piles = counts.withColumns({"_mean": mean, "_beside": beside}).where(stands_out).join(texts, "source").where(F.col("n") >= PILE_SHARE * F.col("_texts"))
     return piles.select("source", "unit", "length", "n")
 
 
@@ -367,8 +380,14 @@ def possible_ends(baseline: DataFrame, documents: int) -> DataFrame:
 
 
 def _asked(rows: DataFrame, name: str, ask: Column, table: DataFrame, total: int) -> DataFrame:
-    """Rows with the table's columns where ``ask`` is its key ``name``; keys of very many rows do not gather in one task."""
+    """Rows with the table's columns where ``ask`` is its key ``name``.
+
+    The tables are of words, forms and lengths, so they are mostly small enough to send. One
+    that is not is joined by a shuffle in which keys of very many rows do not gather in one task.
+    """
     asked = rows.withColumn(name, ask)
+    if table.count() <= SENT_ROWS:
+        return asked.join(F.broadcast(table), name, "left").drop(name)
     hot = asked.groupBy(name).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(1_000, -(-total // HOT_KEYS))).select(name)
     return look_up(asked, table, name, hot, "key").drop(name)
 

@@ -55,7 +55,10 @@ def corpus(n=3000, seed=3):
     return rows
 
 
-def test_held_out_accuracy(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_held_out_accuracy(spark, monkeypatch, sent):
+    """Alike whether the baselines are sent or joined."""
+    monkeypatch.setattr(tr, "SENT_ROWS", sent)
     rows = corpus()
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, source string, text string")
     got = {r["doc_id"] for r in tr.judge_ends(df).where("cut").collect()}
@@ -82,3 +85,34 @@ def test_report_and_odd_rows(spark):
 ])
 def test_unfinished_tags_of_any_length(text, ending):
     assert tr.read_end(text)[0] == ending
+
+
+def test_source_habits_and_forms(spark):
+    """A source of titles ends without terminators by habit, and another's signature is its own closing line; elsewhere the same ends are cuts."""
+    rng = random.Random(4)
+    rows = [(i, "titles", f"The {rng.choice(ADJ)} {rng.choice(NOUNS)}") for i in range(300)]
+    rows += [(1000 + i, "prose", " ".join(sentence(rng) for _ in range(3))) for i in range(3000)]
+    rows += [(5000 + i, "letters", " ".join(sentence(rng) for _ in range(2)) + "\n\nYours, the keeper") for i in range(60)]
+    rows += [(9000, "prose", "Every anchor needs one\n\nThe dusty ham"), (9001, "prose", sentence(rng) + " The dusty"), (9002, "titles", "The dusty xqz")]
+    got = {r["doc_id"] for r in tr.judge_ends(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("cut").collect()}
+    assert got == {9000, 9001, 9002}
+
+
+def test_ends_are_judged_alike_at_every_size(spark):
+    """Shares decide: the same documents five times over are judged as once."""
+    rows = [r[:3] for r in corpus(1500, seed=9)]
+    schema = "doc_id long, source string, text string"
+    once = {r["doc_id"]: r["cut"] for r in tr.judge_ends(spark.createDataFrame(rows, schema)).collect()}
+    more = [(i + 10_000 * n, s, t) for n in range(5) for i, s, t in rows]
+    many = {r["doc_id"]: r["cut"] for r in tr.judge_ends(spark.createDataFrame(more, schema)).where("doc_id < 10000").collect()}
+    assert sum(once[i] != many[i] for i in once) <= 0.01 * len(once)
+
+
+@pytest.mark.parametrize("text", ["<p>" * 40_000 + "</b>" * 40_000, "a1" * 100_000, "1 2 3 " * 50_000 + ". " + "x. " * 50_000, "a " * 100_000 + "<b x", "(" * 100_000])
+def test_time_is_linear(text):
+    import time
+    from collections import Counter
+
+    began = time.perf_counter()
+    tr.read_end(text), tr.line_ends(text, Counter())
+    assert time.perf_counter() - began < 3
