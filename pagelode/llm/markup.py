@@ -77,9 +77,9 @@ LINE: dict[str, list[Rule]] = {
     "0": [_leaf("numbered", rf"{_S}*\d{{1,3}}[.)]{_S}+(?=\S)")],
     "#": [_leaf("heading", rf"{_S}{{0,3}}#{{1,6}}{_S}+(?=\S)"), _leaf("redirect", r"#redirect\b")],
     ">": [_leaf("quote", rf"{_S}{{0,3}}>{_S}?(?=[^\s=])")],
-    "=": [_leaf("underline", rf"={{3,}}{_S}*$"), _leaf("wikihead", rf"(={{1,6}}){_S}*[^=\n]+?{_S}*\1(?!=)")],
+    "=": [_leaf("underline", rf"={{3,}}{_S}*$"), _leaf("wikihead", r"(={1,6})[^=\n]+\1(?!=)")],
     "|": [
-        _leaf("wikirow", rf"\|(?:-{_S}*(?:[a-z][^\n|]*)?$|\}})"), _leaf("divider", rf"\|(?:{_S}*:?-+:?{_S}*\|)+{_S}*$"), _leaf("row", r"\|[^\n]*\|"), _leaf("param", rf"\|{_S}*[\w ]+{_S}*="),
+        _leaf("wikirow", rf"\|(?:-{_S}*(?:[a-z][^\n|]*)?$|\}})"), _leaf("divider", rf"\|(?:{_S}*:?-+:?{_S}*\|)+{_S}*$"), _leaf("row", r"\|[^\n]*\|"), _leaf("param", rf"\|(?:\w|{_S})+="),
     ],
     "!": [_leaf("wikirow", rf"!{_S}+[^\n]*?!!")],
     "{": [("wikitable", _c(r"\{\|"), "|}", True)],
@@ -738,7 +738,7 @@ def clean_text(text: str | None, nodes: list[Node], labels: np.ndarray) -> str |
         else:
             running.append(render(*asked))
             done = None
-    done = re.sub(r"[^\S\n]+$", "", done, flags=re.MULTILINE)
+    done = "\n".join(line.rstrip() for line in done.split("\n"))
     return re.sub(r"\n{3,}", "\n\n", done).strip("\n")
 
 

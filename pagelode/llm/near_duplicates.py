@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.llm.distinctive import words_of
-from pagelode.llm.stage import HOT_KEYS, cut, earliest, key_filter, look_up
+from pagelode.llm.stage import HOT_KEYS, binary_as_rows, cut, earliest, key_filter, look_up, rows_as_binary
 
 SEGMENTS, WIDTH = 12, 4
 #: Hash functions; each gives a smallest and a largest value, so twice as many symbols. All of them give a
@@ -130,7 +130,7 @@ def sketches(records: DataFrame, key: str, text: str, at: str | None, shingle: i
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(chosen), times.take(chosen), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                        pa.array([r.tobytes() for r in indexed], pa.binary()), pa.array(bits[:, 0].view(np.int64)), pa.array(bits[:, 1].view(np.int64)),
+                        rows_as_binary(indexed), pa.array(bits[:, 0].view(np.int64)), pa.array(bits[:, 1].view(np.int64)),
                     ],
                     names=names,
                 )
@@ -142,7 +142,7 @@ def sketches(records: DataFrame, key: str, text: str, at: str | None, shingle: i
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), SEGMENTS * WIDTH)
+    return binary_as_rows(column, np.uint16, SEGMENTS * WIDTH)
 
 
 def variant_signatures(symbols: np.ndarray) -> np.ndarray:
@@ -287,7 +287,7 @@ def _in_tiles(hot: DataFrame, records: DataFrame, key: str, text: str, at: str |
                 keep = [i for i, w in enumerate(words) if len(w) >= shingle]
                 if keep:
                     own = sketch(*shingle_hashes([words[i] for i in keep], shingle))
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(keep)), pa.array([r.tobytes() for r in own], pa.binary())], names=["a", "all"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(keep)), rows_as_binary(own)], names=["a", "all"])
 
     full = texts.select(F.col(key).alias("a"), F.col(text).alias("text")).mapInArrow(symbols, f"a {kind}, all binary")
     blocks = hot.groupBy("sig").agg((F.max("block") + 1).alias("_blocks"))
@@ -298,7 +298,7 @@ def _in_tiles(hot: DataFrame, records: DataFrame, key: str, text: str, at: str |
     def compare(tile: pa.Table) -> pa.Table:
         block = tile.column("block").to_numpy()
         keys = tile.column("a").combine_chunks()
-        own = np.frombuffer(b"".join(tile.column("all").to_pylist()), dtype=np.uint16).reshape(len(block), SYMBOLS)
+        own = binary_as_rows(tile.column("all").combine_chunks(), np.uint16, SYMBOLS)
         left = np.nonzero(block == tile.column("i")[0].as_py())[0]
         right = np.nonzero(block == tile.column("j")[0].as_py())[0]
         found = []

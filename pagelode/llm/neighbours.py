@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelode.llm.stage import HOT_KEYS, cut, key_filter, look_up, small_side
+from pagelode.llm.stage import HOT_KEYS, binary_as_rows, cut, key_filter, look_up, rows_as_binary, small_side
 
 #: Centres of all indexes together: 25 MB at 384 dimensions is what the driver sends.
 CENTRES = 16_384
@@ -70,7 +70,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if pa.types.is_list(column.type):
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int8, copy=False)
         return flat.reshape(len(column), -1)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(len(column), -1)
+    return binary_as_rows(column, np.int8, 0)
 
 
 def _unit(codes: np.ndarray) -> np.ndarray:
@@ -186,12 +186,15 @@ class SortedLines:
         self.rows = len(values)
         edges = np.arange(EDGES + 1) * self.rows // EDGES
         words = -(-self.rows // 64)
-        self.sorted = np.sort(values, axis=0).T.copy()
-        self.before = np.zeros((values.shape[1], EDGES + 1, words * 8), dtype=np.uint8)
-        self.rank = np.empty((values.shape[1], self.rows), dtype=np.int32)
-        for line, column in enumerate(values.T):
-            self.rank[line, np.argsort(column, kind="stable")] = np.arange(self.rows, dtype=np.int32)
-            packed = np.packbits(self.rank[line][None, :] < edges[:, None], axis=1)
+        across = np.ascontiguousarray(values.T)
+        order = np.argsort(across, axis=1)
+        self.sorted = np.take_along_axis(across, order, axis=1)
+        self.rank = np.empty(across.shape, dtype=np.int32)
+        np.put_along_axis(self.rank, order, np.arange(self.rows, dtype=np.int32)[None], axis=1)
+        self.before = np.zeros((len(across), EDGES + 1, words * 8), dtype=np.uint8)
+        narrow = self.rank.astype(np.uint16) if self.rows < 1 << 16 else self.rank
+        for line in range(len(across)):
+            packed = np.packbits(narrow[line][None, :] < edges[:, None].astype(narrow.dtype), axis=1)
             self.before[line, :, : packed.shape[1]] = packed
         self.before = self.before.view(np.uint64)
         #: The last edge not after, and the first not before, each place in a sorted array.
@@ -334,7 +337,7 @@ def _fitted(rows: DataFrame, plan: DataFrame) -> dict[int, Cells]:
     def fit(table: pa.Table) -> pa.Table:
         centres, group = fit_levels(_unit(_matrix(table.column("vector").combine_chunks())), table.column("cells")[0].as_py())
         index = np.full(len(centres), table.column("index_id")[0].as_py(), dtype=np.int32)
-        return pa.table({"index_id": index, "group": group, "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
+        return pa.table({"index_id": index, "group": group, "centre": rows_as_binary(centres.astype(np.float32))})
 
     got = sample.groupBy("index_id").applyInArrow(fit, "index_id int, group int, centre binary").toArrow()  # at most CENTRES rows
     index = got.column("index_id").to_numpy()
@@ -361,7 +364,7 @@ def _to_cells(rows: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]
                 else:
                     home, sure = np.zeros((len(at), 1), dtype=np.int64), np.full(len(at), 9.0, dtype=np.float32)
                 row = np.repeat(np.arange(len(at)), home.shape[1])
-                blob = pa.array([r.tobytes() for r in codes], pa.binary())
+                blob = rows_as_binary(codes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(row), i, dtype=np.int32)), pa.array(home.ravel().astype(np.int32)),

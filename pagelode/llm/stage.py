@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +99,20 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, salt: s
         joined = joined.where(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
+
+
+def rows_as_binary(matrix: np.ndarray) -> pa.Array:
+    """Each row of a matrix as one binary value."""
+    rows = np.ascontiguousarray(matrix)
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.view(np.uint8).ravel() if rows.size else b"")])
+
+
+def binary_as_rows(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Binary values of equal length, none of them null, as the rows of a matrix; ``width`` is that of an empty one."""
+    if not len(column):
+        return np.zeros((0, width), dtype=kind)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return flat.view(kind).reshape(len(column), -1)

@@ -137,3 +137,10 @@ def test_time_is_linear_in_what_is_left_open(sign):
 
     took(1_000)
     assert took(20_000) < 3
+
+
+@pytest.mark.parametrize("start", ["=", "|", "#", "> ", "* ", "a ", "1. ", "`", "<a ", "$a", "[", "{{", "'" * 3, "---"])
+def test_long_runs_of_blanks(start):
+    began = time.perf_counter()
+    clean("**b** " + "\n" + start + " " * 100_000 + "x\n" + start + " " * 100_000)
+    assert time.perf_counter() - began < 3

@@ -50,3 +50,15 @@ def test_small_side_is_checked(spark, monkeypatch):
     monkeypatch.setattr(stage, "BROADCAST_ROWS", 5)
     assert not hint(stage.small_side(df))
     assert np.uint64(stage.FILTER_BITS - 1) == stage.FILTER_BITS - 1
+
+
+def test_binary_rows_round_trip():
+    import pyarrow as pa
+
+    rows = np.arange(24, dtype=np.uint16).reshape(6, 4)
+    column = stage.rows_as_binary(rows)
+    assert column.to_pylist() == [r.tobytes() for r in rows]
+    assert (stage.binary_as_rows(column, np.uint16, 4) == rows).all()
+    assert (stage.binary_as_rows(column.slice(2, 3), np.uint16, 4) == rows[2:5]).all()
+    assert (stage.binary_as_rows(column.take(pa.array([5, 0])), np.uint16, 4) == rows[[5, 0]]).all()
+    assert stage.binary_as_rows(stage.rows_as_binary(rows[:0]), np.uint16, 4).shape == (0, 4)
