@@ -16,7 +16,7 @@ from pagelode.config import DEFAULT_EXCLUDE, DEFAULT_INCLUDE
 from pagelode.functions import text as tx
 from pagelode.functions import vectors as vx
 from pagelode.operators import chunking, incremental, ledger, nav, search
-from pagelode.operators.ordinal import with_ordinal
+from pagelode.operators.ordinal import numbered, with_ordinal
 from pagelode.sources.store import size_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,6 +490,13 @@ def nav_tree(spark, sf):
     return nav.nav_nodes(table(spark, sf, "source_files").select("path", F.lit("").alias("title")))
 
 
+@query(f"WITH nodes AS (WITH {NAV_SQL}) SELECT path, row_number() OVER (ORDER BY path COLLATE en, path) - 1 AS place FROM nodes")
+def nav_sorted(spark, sf):
+    """The navigation's nodes in locale order of their paths."""
+    nodes = nav.nav_nodes(table(spark, sf, "source_files").select("path", F.lit("").alias("title")))
+    return numbered(nav.nav_order(nodes), "place").select("path", "place")
+
+
 @query("SELECT file, coalesce(arg_min(heading, chunk_id) FILTER (heading IS NOT NULL), '') AS heading FROM chunks GROUP BY file")
 def first_heading(spark, sf):
     return nav.first_headings(table(spark, sf, "chunks"))
