@@ -329,7 +329,7 @@ def _divide(
 
 
 def _fitted(rows: DataFrame, plan: DataFrame) -> dict[int, Cells]:
-    """The cells of every index that has more than one, fitted where its sample is. Rows may be a part of them, as the sample is."""
+    """The cells of every index that has more than one, fitted where its sample is."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(float(SAMPLE)), F.col("cells") * float(SAMPLE_SHARE)) / F.col("n"))
     chance = F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(plan.where("cells > 1"), "index_id").where(chance < share).select("index_id", "cells", "vector")
@@ -406,9 +406,8 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     suspect = key_filter(odd, "chunk_id")(F.col("chunk_id"))
     checked = rows.where(suspect).join(classes, ["chunk_id", "index_id", "h1", "h2"], "left_semi")
     checked = cut(checked.select("index_id", "chunk_id", "vector"))
-    others = rows.where(~suspect).select("index_id", "chunk_id", "vector")
-    kept = others.unionByName(checked)
-    centres = _fitted(others, plan)
+    kept = rows.where(~suspect).select("index_id", "chunk_id", "vector").unionByName(checked)
+    centres = _fitted(kept, plan)
     cells = _to_cells(kept, centres)
 
     def run(table: pa.Table) -> pa.Table:
