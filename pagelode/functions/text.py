@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # The whitespace characters of ECMAScript.
 WS_CHARS = "\t\n\x0b\x0c\r    -     　﻿"
 WS = f"[{WS_CHARS}]"
+#: The same one by one, without a range.
+WS_EACH = "".join(c for c in map(chr, range(0x10000)) if re.match(WS, c))
 #: Runs of anything else, for Python's ``re``.
 WORD_RE = re.compile(f"[^{WS_CHARS}]+")
 
@@ -26,7 +28,7 @@ def query_terms(query: Column) -> Column:
 
 def trim_ws(text: Column) -> Column:
     """Strip the whole whitespace class from both ends (``trim`` knows only U+0020)."""
-    return F.trim(text, F.lit(WS_CHARS))
+    return F.trim(text, F.lit(WS_EACH))
 
 
 def term_count(text: Column, term: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelode.functions.text import WORD_RE, WS, WS_CHARS, tokens, trim_ws
+from pagelode.functions.text import WORD_RE, WS, WS_CHARS, WS_EACH, tokens, trim_ws
 from pagelode.operators.ordinal import numbered, with_ordinal
 from pagelode.schemas import PIECES
 
@@ -45,7 +45,7 @@ def fold_lines(text: str | None, size: int, overlap: int) -> list[tuple[str | No
             words = words[-overlap:] if overlap else words
             start = at
         if title:
-            heading = HEADING_MARK.sub("", line).strip(WS_CHARS)
+            heading = HEADING_MARK.sub("", line).strip(WS_EACH)
         at = after
     if words:
         out.append((heading, " ".join(words), start, at))

@@ -54,3 +54,13 @@ def test_snippet_and_band(spark):
     assert one(spark, long, tx.snippet).endswith("…") and len(one(spark, long, tx.snippet)) == 101
     rows = spark.createDataFrame([(0.605,), (0.31,), (0.3,), (1.7,)], "s double").select(tx.score_percent(F.col("s")), tx.score_band(F.col("s"))).collect()
     assert [tuple(r) for r in rows] == [(61, "green"), (31, "yellow"), (30, "dim"), (170, "green")]
+
+
+def test_trimming_takes_the_whitespace_class_and_nothing_else(spark):
+    from pagelode.functions.text import WS_EACH, trim_ws
+    from pagelode.operators.chunking import fold_lines
+
+    assert len(WS_EACH) == 25 and "-" not in WS_EACH and "\u2005" in WS_EACH and "\ufeff" in WS_EACH
+    df = spark.createDataFrame([("\u2005 - a -\ufeff",), ("-\u3000",), ("\n",), (None,), ("a" + " " * 100_000 + "b ",)], "t string")
+    assert [r[0] for r in df.select(trim_ws(F.col("t"))).collect()] == ["- a -", "-", "", None, "a" + " " * 100_000 + "b"]
+    assert fold_lines("# - top -\u2005\nx", 5, 0)[0][0] == "- top -"
