@@ -47,6 +47,8 @@ TWO_LEVELS, LOOK_INTO, NEAR = 512, 4, 64
 LINES, EDGES = 64, 64
 #: Half window on the first level and its growth; collisions that make a candidate.
 WINDOW, GROWTH, LEVELS, THRESHOLD = 0.5, 1.5, 3, 31
+#: Share of the rows in a window from which widening it further tells nothing, so that the exact level follows.
+CROWDED = 0.36
 #: At a distance of half / SURE a window holds a vector on 65 % of the lines: THRESHOLD is 2.8 standard deviations less.
 SURE = 0.935
 #: Standard deviations that a neighbour's way towards another cell is taken to be above its mean in a random direction.
@@ -213,6 +215,11 @@ class SortedLines:
             self._windows[half] = low, high
         return self._windows[half]
 
+    def crowded(self, half: float) -> bool:
+        """Whether windows hold so many rows on the average that chance alone makes many candidates; seen from every eighth line."""
+        held = [(np.searchsorted(a, a + half, "right") - np.searchsorted(a, a - half, "left")).mean() for a in self.sorted[::8]]
+        return float(np.mean(held)) > CROWDED * self.rows
+
     def collided(self, who: np.ndarray, half: float, least: int) -> np.ndarray:
         """(len(who), rows) whether a row lies in ``least`` of a query's windows; windows reach to the next edges."""
         levels: list[list[np.ndarray]] = [[]]
@@ -275,6 +282,8 @@ def neighbours_in_cell(keys: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.
         who = np.arange(at, min(at + block, n))
         half, level = WINDOW, 0
         while len(who):
+            if 0 < level < LEVELS and arrays.crowded(half):
+                level = LEVELS
             if level < LEVELS:
                 q, x = np.nonzero(arrays.collided(who, half, THRESHOLD))
                 if 4 * len(q) > len(who) * n:  # a window that takes so many costs more than the exact level
