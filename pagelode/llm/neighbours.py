@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelode.llm.stage import HOT_KEYS, binary_as_rows, cut, key_filter, look_up, rows_as_binary, small_side
+from pagelode.llm.stage import HOT_KEYS, binary_as_rows, cut, key_filter, look_up, release, rows_as_binary, small_side
 
 #: Centres of all indexes together: 25 MB at 384 dimensions is what the driver sends.
 CENTRES = 16_384
@@ -53,8 +54,10 @@ CROWDED = 0.36
 SURE = 0.935
 #: Standard deviations that a neighbour's way towards another cell is taken to be above its mean in a random direction.
 STRAY = 2.0
-#: Bytes of vectors that are compared with all others in one pass; bounds what the driver holds and sends.
-PASS_BYTES = 16 << 20
+#: Bytes of vectors that are compared on in one pass; bounds what the driver holds and sends.
+PASS_BYTES = 32 << 20
+#: Vectors, in the order of their cells, that a pass compares at once, and cells whose askers are told at once.
+COMPARE_ROWS, ASK_CELLS = 20_000, 64
 
 
 def usable(vectors: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ class Cells:
         means = np.add.reduceat(self.centres, starts, axis=0)
         self.groups = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
         near = min(NEAR, len(centres) - 1)
-        self.near = np.empty((len(centres), near), dtype=np.int64)
+        self.near = np.empty((len(centres), near), dtype=np.int32)
         self.apart = np.empty((len(centres), near), dtype=np.float32)
         for at in range(0, len(centres), 1_000) if near else ():
             sims = self.centres[at : at + 1_000] @ self.centres.T
@@ -172,6 +175,14 @@ class Cells:
                 sure[rows] = beyond * max(1.0, np.sqrt(unit.shape[1]) / STRAY)
         return self.names[home], sure
 
+    def asked(self, unit: np.ndarray, own: np.ndarray, floor: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """(rows, cells) whether a cell lies within the row's reach, given the row's own centre and its floor; all do without a floor."""
+        some = self.centres[cells]
+        to_own = np.einsum("ij,ij->i", unit, self.centres[own])
+        apart = np.maximum(distance(self.centres @ some.T), 1e-6)[own]
+        plane = (to_own[:, None] - unit @ some.T) / apart
+        return ~(plane * max(1.0, np.sqrt(unit.shape[1]) / STRAY) > distance(floor)[:, None])
+
 
 def distance(cosine: np.ndarray | float) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * np.asarray(cosine), 0))
@@ -261,7 +272,7 @@ def _cosines(a: np.ndarray, a_norms: np.ndarray, row: np.ndarray, b: np.ndarray,
     cosine = np.empty(len(row))
     for part in range(0, len(row), 60_000):
         i, j = row[part : part + 60_000], other[part : part + 60_000]
-        dot = np.einsum("ij,ij->i", a[i], b[j]).astype(np.float64)
+        dot = np.einsum("ij,ij->i", a[i].astype(np.float32, copy=False), b[j].astype(np.float32, copy=False)).astype(np.float64)
         cosine[part : part + 60_000] = dot / np.sqrt(a_norms[i] * b_norms[j])
     return cosine
 
@@ -337,7 +348,7 @@ def _divide(
         yield keys[at][q], keys[at][x], c
 
 
-def _fitted(rows: DataFrame, plan: DataFrame) -> dict[int, Cells]:
+def _fitted(rows: DataFrame, plan: DataFrame) -> Broadcast[dict[int, Cells]]:
     """The cells of every index that has more than one, fitted where its sample is."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(float(SAMPLE)), F.col("cells") * float(SAMPLE_SHARE)) / F.col("n"))
     chance = F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
@@ -352,24 +363,21 @@ def _fitted(rows: DataFrame, plan: DataFrame) -> dict[int, Cells]:
     index = got.column("index_id").to_numpy()
     raw, group = got.column("centre").to_pylist(), got.column("group").to_numpy()
     at = {int(i): np.nonzero(index == i)[0] for i in np.unique(index)}
-    return {i: (np.stack([np.frombuffer(raw[r], dtype=np.float32) for r in rows]), group[rows]) for i, rows in at.items()}
+    cells = {i: Cells(np.stack([np.frombuffer(raw[r], dtype=np.float32) for r in rows]), group[rows]) for i, rows in at.items()}
+    return plan.sparkSession.sparkContext.broadcast(cells)
 
 
-def _to_cells(rows: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def _to_cells(rows: DataFrame, cells: Broadcast[dict[int, Cells]]) -> DataFrame:
     """(index_id, cell, chunk_id, code, sure): each vector once for each of its two cells; an index without centres is one cell."""
-    sent = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Cells] = {}
         for batch in batches:
             index = batch.column(0).to_numpy(zero_copy_only=False)
             for i in np.unique(index).tolist():
                 at = np.nonzero(index == i)[0]
                 codes = _matrix(batch.column(2).take(pa.array(at)))
-                if i in sent.value:
-                    if i not in known:
-                        known[i] = Cells(*sent.value[i])
-                    home, sure = known[i].places(_unit(codes))
+                if i in cells.value:
+                    home, sure = cells.value[i].places(_unit(codes))
                 else:
                     home, sure = np.zeros((len(at), 1), dtype=np.int64), np.full(len(at), 9.0, dtype=np.float32)
                 row = np.repeat(np.arange(len(at)), home.shape[1])
@@ -416,8 +424,13 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
     checked = rows.where(suspect).join(classes, ["chunk_id", "index_id", "h1", "h2"], "left_semi")
     checked = cut(checked.select("index_id", "chunk_id", "vector"))
     kept = rows.where(~suspect).select("index_id", "chunk_id", "vector").unionByName(checked)
-    centres = _fitted(kept, plan)
-    cells = _to_cells(kept, centres)
+    cells = _fitted(kept, plan)
+    near = _search_on(_in_cells(kept, k, cells), kept, k, plan, cells)
+    return _with_copies(near, members, k)
+
+
+def _in_cells(kept: DataFrame, k: int, cells: Broadcast[dict[int, Cells]]) -> DataFrame:
+    """(index_id, chunk_id, neighbour, cosine, sure, _r, found, floor): up to k neighbours that share a cell, or the vector itself besides fewer."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("chunk_id").to_numpy()
@@ -433,14 +446,12 @@ def nearest(vectors: DataFrame, indexes: DataFrame, k: int = 5) -> DataFrame:
         index = np.full(len(q), table.column("index_id")[0].as_py(), dtype=np.int32)
         return pa.table({"index_id": index, "chunk_id": q.astype(np.int64), "neighbour": x.astype(np.int64), "cosine": c.astype(np.float64), "sure": sure.astype(np.float32)})
 
-    found = cells.groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
+    found = _to_cells(kept, cells).groupBy("index_id", "cell").applyInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double, sure float")
     once = found.repartition("index_id", "chunk_id").groupBy("index_id", "chunk_id", "neighbour", "cosine").agg(F.min("sure").alias("sure"))
     own = Window.partitionBy("index_id", "chunk_id")
     ranked = once.withColumn("_r", F.row_number().over(own.orderBy(F.desc("cosine"), F.asc("neighbour")))).where(F.col("_r") <= k)
     real = F.when(F.col("neighbour") != F.col("chunk_id"), F.col("cosine"))
-    near = cut(ranked.withColumns({"found": F.count(real).over(own), "floor": F.min(real).over(own), "sure": F.min("sure").over(own)}))  # one shuffle
-    near = _search_on(near, kept, k, plan, centres)
-    return _with_copies(near, members, k)
+    return cut(ranked.withColumns({"found": F.count(real).over(own), "floor": F.min(real).over(own), "sure": F.min("sure").over(own)}))  # one shuffle
 
 
 def _class() -> Column:
@@ -486,11 +497,29 @@ def _with_copies(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return near.where(~changed).unionByName(_best(asked.unionByName(own), k)).unionByName(late)
 
 
-def _search_on(near: DataFrame, kept: DataFrame, k: int, plan: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def _placed(rows: DataFrame, cells: Broadcast[dict[int, Cells]]) -> DataFrame:
+    """(index_id, chunk_id, floor, cell, code) of rows with index_id, chunk_id, floor and vector: the cell is the nearest centre's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in np.unique(index).tolist():
+                part = batch.take(pa.array(np.nonzero(index == i)[0]))
+                codes = _matrix(part.column(3))
+                own = cells.value[i]._own(_unit(codes)) if i in cells.value else np.zeros(len(codes))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(own.astype(np.int32)), rows_as_binary(codes)], names=["index_id", "chunk_id", "floor", "cell", "code"]
+                )
+
+    return rows.select("index_id", "chunk_id", "floor", "vector").mapInArrow(run, "index_id int, chunk_id bigint, floor double, cell int, code binary")
+
+
+def _search_on(near: DataFrame, kept: DataFrame, k: int, plan: DataFrame, cells: Broadcast[dict[int, Cells]]) -> DataFrame:
     """``near`` (with each vector's number ``found`` and ``floor``, the least cosine) with better neighbours of the vectors whose cells may not hold all that are near enough.
 
     So it is where the k-th lies beyond ``sure``, and where the cells hold fewer than k others but the index more.
     These are compared with the vectors of all cells that lie within their reach, in passes of at most about ``PASS_BYTES``.
+    For that all vectors are put in the order of their cells once, so that a pass meets every cell whole and places nothing anew.
     """
     short = F.col("found") < F.least(F.lit(k), F.col("n") - 1)
     far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor"))) > F.col("sure")
@@ -499,99 +528,135 @@ def _search_on(near: DataFrame, kept: DataFrame, k: int, plan: DataFrame, centre
     near = near.where("neighbour <> chunk_id").select("index_id", "chunk_id", "neighbour", "cosine")
     if unsure.isEmpty():
         return near
+    release(kept.sparkSession)  # the vectors that were sent to their cells
     open_ = key_filter(unsure, "chunk_id")
     asked = kept.where(open_(F.col("chunk_id"))).join(unsure, "chunk_id")
-    asked = cut(asked.dropDuplicates(["chunk_id"]))
-    size = asked.agg(F.sum(F.size("vector"))).first()[0]
+    asked = cut(_placed(asked.dropDuplicates(["chunk_id"]), cells))
+    size = asked.agg(F.sum(F.length("code"))).first()[0]
     passes = -(-size // PASS_BYTES)
+    placed = _placed(kept.withColumn("floor", F.lit(None).cast("double")), cells).drop("floor")
+    release(kept.sparkSession)
+    placed = cut(placed.repartition("index_id", "cell").sortWithinPartitions("index_id", "cell"))
     again = near.where(open_(F.col("chunk_id")))
     for i in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(passes)) == i).select("index_id", "chunk_id", "floor", "vector").toArrow()
+        part = asked.where(F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(passes)) == i).toArrow()
         if len(part):
-            again = again.unionByName(cut(_compare(kept, part, k, centres)))
+            again = again.unionByName(cut(_best(_compare(placed, part, k, cells), k)))
+            release(kept.sparkSession)
     return cut(near.where(~open_(F.col("chunk_id"))).unionByName(_best(again.repartition("index_id", "chunk_id").distinct(), k)))
 
 
 class Asked:
-    """The vectors of one index that are compared on, and which cells each of them asks."""
-
-    def __init__(self, keys: np.ndarray, floor: np.ndarray, codes: np.ndarray, centres: tuple[np.ndarray, np.ndarray] | None) -> None:
-        self.keys, self.floor = keys, floor.astype(np.float32)
-        self.exact, self.unit = codes.astype(np.float32), _unit(codes)
-        self.norms = np.einsum("ij,ij->i", self.exact, self.exact).astype(np.float64)
-        self.cells = Cells(*centres) if centres is not None else None
-        if self.cells is not None:
-            own = self.cells.centres[self.cells._own(self.unit)]
-            ask = np.ones((len(keys), len(self.cells.centres)), dtype=bool)
-            factor = max(1.0, np.sqrt(codes.shape[1]) / STRAY)
-            for at in range(0, len(keys), 2_000):
-                part = slice(at, at + 2_000)
-                plane = np.einsum("ij,ij->i", self.unit[part], own[part])[:, None] - self.unit[part] @ self.cells.centres.T
-                plane /= np.maximum(distance(own[part] @ self.cells.centres.T), 1e-6)
-                ask[part] = ~(plane * factor > distance(self.floor[part])[:, None])  # all of them without a floor
-            self.ask = ask
-
-    def parts(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(queries, rows) that are to be compared."""
-        if self.cells is None:
-            yield np.arange(len(self.keys)), np.arange(len(unit))
-            return
-        own = self.cells._own(unit)
-        for c in np.unique(own):
-            queries = np.nonzero(self.ask[:, c])[0]
-            if len(queries):
-                yield queries, np.nonzero(own == c)[0]
-
-
-def _compare(kept: DataFrame, part: pa.Table, k: int, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(index_id, chunk_id, neighbour, cosine): vectors at least as near to one of ``part`` as its floor, without one the k best of each cell and batch."""
+    """The vectors of one index that are compared on, and the k best that were met for each of them; the k-th is its floor from then on."""
+
+    def __init__(self, keys: np.ndarray, floor: np.ndarray, own: np.ndarray, codes: np.ndarray, k: int) -> None:
+        self.keys, self.floor, self.own, self.codes, self.unit = keys, floor.astype(np.float32), own, codes, _unit(codes)
+        self.norms = np.concatenate([np.zeros(0), *(_norms(codes[at : at + 10_000]) for at in range(0, len(codes), 10_000))])
+        self.best, self.found = np.full((len(keys), k), -np.inf), np.zeros((len(keys), k), dtype=np.int64)
+
+    def meet(self, others: np.ndarray, codes: np.ndarray, cell: np.ndarray, cells: Cells | None) -> None:
+        """Compares vectors with those that have their cells within reach."""
+        order = np.unique(others, return_index=True)[1]  # rows that come twice count once
+        order = order[np.argsort(cell[order], kind="stable")]
+        here, starts = np.unique(cell[order], return_index=True)
+        members = np.split(order, starts[1:])
+        for at in range(0, len(here), ASK_CELLS):
+            if cells is not None:
+                blocks = range(0, len(self.keys), 10_000)
+                ask = np.concatenate([cells.asked(self.unit[b : b + 10_000], self.own[b : b + 10_000], self.floor[b : b + 10_000], here[at : at + ASK_CELLS]) for b in blocks])
+            else:
+                ask = np.ones((len(self.keys), 1), dtype=bool)
+            got = []
+            for j, rows in enumerate(members[at : at + ASK_CELLS]):
+                queries = np.nonzero(ask[:, j])[0]
+                unit, norms = _unit(codes[rows]), _norms(codes[rows])
+                step = max(1, 4_000_000 // len(rows))
+                for s in range(0, len(queries), step):
+                    got.append(self._near(queries[s : s + step], others[rows], codes[rows], unit, norms))
+            self._take(*(np.concatenate([part[i] for part in got]) for i in range(3))) if got else None
+
+    def _near(self, who: np.ndarray, others: np.ndarray, codes: np.ndarray, unit: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, keys, cosines) of what is at least as near as a query's floor, without one the k best."""
+        sims = self.unit[who] @ unit.T
+        least = self.floor[who].copy()
+        unknown = np.isnan(least)  # nothing is known of these: the k best here, themselves besides
+        if unknown.any():
+            most = min(self.best.shape[1] + 1, len(others))
+            least[unknown] = np.partition(sims[unknown], -most, axis=1)[:, -most]
+        q, x = np.nonzero(sims >= least[:, None] - SLACK)
+        keep = self.keys[who[q]] != others[x]
+        q, x = who[q[keep]], x[keep]
+        return q, others[x], _cosines(self.codes, self.norms, q, codes, norms, x)
+
+    def _take(self, q: np.ndarray, keys: np.ndarray, cosine: np.ndarray) -> None:
+        """Keeps the k best of what was known and what was met; ties go to the smaller key."""
+        k = self.best.shape[1]
+        touched = np.unique(q)
+        row, keys = np.concatenate([q, np.repeat(touched, k)]), np.concatenate([keys, self.found[touched].ravel()])
+        cosine = np.concatenate([cosine, self.best[touched].ravel()])
+        order = np.lexsort((-cosine, keys, row))  # a key that was met before counts once
+        row, keys, cosine = row[order], keys[order], cosine[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+        row, keys, cosine = row[new], keys[new], cosine[new]
+        order = np.lexsort((keys, -cosine, row))
+        row, keys, cosine = row[order], keys[order], cosine[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        best = place < k
+        self.best[touched] = -np.inf
+        self.best[row[best], place[best]], self.found[row[best], place[best]] = cosine[best], keys[best]
+        last = self.best[touched, k - 1]
+        self.floor[touched] = np.where(np.isfinite(last), np.fmax(self.floor[touched], last), self.floor[touched])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, place = np.nonzero(np.isfinite(self.best))
+        return self.keys[row], self.found[row, place], self.best[row, place]
+
+
+def _norms(codes: np.ndarray) -> np.ndarray:
+    x = codes.astype(np.float32)
+    return np.einsum("ij,ij->i", x, x).astype(np.float64)
+
+
+def _compare(placed: DataFrame, part: pa.Table, k: int, cells: Broadcast[dict[int, Cells]]) -> DataFrame:
+    """(index_id, chunk_id, neighbour, cosine): the k best of each task for every vector of ``part``, as far as they reach its floor."""
     index = part.column("index_id").to_numpy()
     queries = {}
     for i in np.unique(index).tolist():
-        at = pa.array(np.nonzero(index == i)[0])
-        own = part.take(at)
-        queries[i] = own.column("chunk_id").to_numpy(), own.column("floor").to_numpy(), _matrix(own.column("vector").combine_chunks()), centres.get(i)
-    sent = kept.sparkSession.sparkContext.broadcast(queries)
+        own = part.take(pa.array(np.nonzero(index == i)[0]))
+        queries[i] = *(own.column(c).to_numpy() for c in ("chunk_id", "floor", "cell")), _matrix(own.column("code").combine_chunks())
+    sent = placed.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[int, Asked] = {}
-        for batch in batches:
-            index = batch.column(0).to_numpy(zero_copy_only=False)
+        ready = {i: Asked(*own, k) for i, own in sent.value.items()}
+        for rows in _gathered(batches):
+            index = rows.column("index_id").to_numpy()
             for i in np.unique(index).tolist():
-                if i not in sent.value:
-                    continue
-                if i not in ready:
-                    ready[i] = Asked(*sent.value[i])
-                asked = ready[i]
-                at = np.nonzero(index == i)[0]
-                others = batch.column(1).to_numpy(zero_copy_only=False)[at]
-                rows = _matrix(batch.column(2).take(pa.array(at))).astype(np.float32)
-                norms = np.einsum("ij,ij->i", rows, rows).astype(np.float64)
-                across = rows / np.sqrt(norms)[:, None].astype(np.float32)
-                for queries, members in asked.parts(across):
-                    step = max(1, 4_000_000 // len(members))
-                    for s in range(0, len(queries), step):
-                        who = queries[s : s + step]
-                        sims = asked.unit[who] @ across[members].T
-                        least = asked.floor[who].copy()
-                        unknown = np.isnan(least)  # nothing is known of these: the k best here, themselves besides
-                        if unknown.any():
-                            most = min(k + 1, len(members))
-                            least[unknown] = np.partition(sims[unknown], -most, axis=1)[:, -most]
-                        q, x = np.nonzero(sims >= least[:, None] - SLACK)
-                        q, x = who[q], members[x]
-                        keep = asked.keys[q] != others[x]
-                        q, x = q[keep], x[keep]
-                        if len(q):
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array(np.full(len(q), i, dtype=np.int32)), pa.array(asked.keys[q].astype(np.int64)),
-                                    pa.array(others[x].astype(np.int64)), pa.array(_cosines(asked.exact, asked.norms, q, rows, norms, x)),
-                                ],
-                                names=["index_id", "chunk_id", "neighbour", "cosine"],
-                            )
-
-    return kept.select("index_id", "chunk_id", "vector").mapInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double")
+                if i in ready:
+                    own = rows.take(pa.array(np.nonzero(index == i)[0]))
+                    others, cell, codes = own.column("chunk_id").to_numpy(), own.column("cell").to_numpy(), _matrix(own.column("code").combine_chunks())
+                    ready[i].meet(others, codes, cell, cells.value.get(i))
+        for i, asked in ready.items():
+            keys, other, cosine = asked.result()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), i, dtype=np.int32)), pa.array(keys), pa.array(other), pa.array(cosine)], names=["index_id", "chunk_id", "neighbour", "cosine"]
+            )
+
+    # Each task gives k rows a query, so there are few of them, of at most some 32 partitions each.
+    few = placed.coalesce(max(2 * placed.sparkSession.sparkContext.defaultParallelism, placed.rdd.getNumPartitions() // 32))
+    return few.select("index_id", "chunk_id", "cell", "code").mapInArrow(run, "index_id int, chunk_id bigint, neighbour bigint, cosine double")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to ``COMPARE_ROWS`` rows or more."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= COMPARE_ROWS:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.session import cut_lineage as cut
@@ -25,6 +27,18 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffle files and broadcasts removed that no table in use needs; else they stay until the driver happens to collect its garbage.
+
+    Tables that Python has let go are made known to the JVM by a thread that looks once a second.
+    """
+    gc.collect()
+    until = time.monotonic() + 1.5
+    while getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None) and time.monotonic() < until:
+        time.sleep(0.05)
+    spark.sparkContext._jvm.System.gc()
+
+
 def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     """A test that is true of every key in the table, and seldom of others.
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelode.llm import neighbours as nb
 
@@ -141,3 +142,31 @@ def test_hot_copies_and_versions(spark):
 @pytest.mark.parametrize("rows", [[], [(1, 1, [1, 2, 3, 4], None, 0)]])
 def test_empty_and_single(spark, rows):
     assert found(spark, rows, {1: 4}) == []
+
+
+def test_table_is_not_read_again_for_every_pass(spark, monkeypatch):
+    """Without clusters nearly all vectors are compared on; more passes of them read no more rows and find the same."""
+    rows = [(i, 1, r.tolist(), None, 0) for i, r in enumerate(spread(2000, 32, 9, 0.0))]
+    read, got = [], []
+    for size in (1 << 25, 1 << 12):
+        monkeypatch.setattr(nb, "PASS_BYTES", size)
+        seen = spark.sparkContext.accumulator(0)
+        told = F.udf(lambda i: (seen.add(1), i)[1], "int").asNondeterministic()
+        v = spark.createDataFrame(rows, SCHEMA).withColumn("index_id", told("index_id"))
+        near = nb.nearest(v, spark.createDataFrame([(1, 32)], "index_id int, dimensions int"))
+        got.append({tuple(r) for r in near.select("chunk_id", "neighbour").collect()})
+        read.append(seen.value)
+    assert read[0] == read[1]
+    assert got[0] == got[1] and len(got[0]) == 5 * len(rows)
+
+
+def test_asked_keep_the_k_best_of_all_that_they_meet():
+    x = spread(900, 16, 3, 0.5)
+    keys, cell = np.arange(900), np.zeros(900, dtype=np.int32)
+    q, n, c = nb.neighbours_in_cell(keys, x, 5)
+    floor = np.array([np.nan if i % 2 else -1.0 for i in range(40)])
+    asked = nb.Asked(keys[:40], floor, cell[:40], x[:40], 5)
+    for at in (0, 200, 500, 100):  # some come twice
+        asked.meet(keys[at : at + 400], x[at : at + 400], cell[at : at + 400], None)
+    got = {(int(a), int(b)) for a, b, _ in zip(*asked.result())}
+    assert got == {(int(a), int(b)) for a, b in zip(q, n) if a < 40}
