@@ -20,13 +20,6 @@ from pagelode.llm.stage import cut, small_side
 SLICE_ROWS = 50_000
 
 
-def source_sizes(docs: DataFrame, folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
-    """(source, docs, tokens) of all documents; those without a source come under null."""
-    return count_tokens(docs, ("source",), folder=folder, name=name).groupBy("source").agg(
-        F.count("*").alias("docs"), F.sum("tokens").alias("tokens")
-    )
-
-
 def plan_shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: source, target_share, max_repeats, docs, tokens, total, rate, reachable.
 
@@ -96,3 +89,14 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17
         F.when(F.col("total") > 0, F.col("mixed_tokens") / F.col("total")).otherwise(F.lit(0.0)).alias("share_of_target_size"),
         F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(F.lit(0.0)).alias("actual_share"),
     )
+
+
+def out_of_reach(shares: DataFrame) -> DataFrame:
+    """(source) of the targets whose sample uses all tokens max_repeats times and still falls short of the target share.
+
+    At the cap the rate is a whole number, so every document comes out just so often, whatever the
+    offset; below the cap the rate is what the target needs. So the sample's chance decides no row.
+    """
+    goal = F.col("target_share") * F.col("total")
+    used_up = F.col("mixed_tokens") >= F.col("tokens") * F.col("max_repeats")
+    return shares.where(used_up & (F.col("mixed_tokens") < goal)).select("source")

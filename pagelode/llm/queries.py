@@ -84,8 +84,8 @@ def p7_decoded(spark, sf):
 
 @query()
 def p8_found(spark, sf):
-    sizes = cut(mixing.source_sizes(table(spark, sf, "documents")))
-    return mixing.plan_shares(sizes, table(spark, sf, "mix_targets")).where(~F.col("reachable")).select("source")
+    shares = mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    return mixing.out_of_reach(shares)
 
 
 @query()

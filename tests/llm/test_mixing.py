@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, mixing
+from pagelode.llm import bpe, mixing, queries
 
 TARGETS = [("big", 0.5, 1), ("small", 0.3, 3), ("none", 0.1, 5), ("zero", 0.0, 1), (None, 0.1, 1), ("nulls", 0.05, None)]
 
@@ -43,3 +44,21 @@ def test_empty(tables):
     copies, shares = mixing.mix(docs.limit(0), targets)
     assert copies.count() == 0 and {r["actual_share"] for r in shares.collect()} == {0.0}
     assert mixing.mix(docs, targets.limit(0))[1].count() == 0
+
+
+def test_out_of_reach_is_told_by_the_sample(spark, tables, tmp_path, monkeypatch):
+    """Rows come from the copies that were sampled: the same as the shares' arithmetic, and others if no document comes out."""
+    docs, targets = tables
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    total = bpe.count_tokens(docs, ("doc_id",)).agg({"tokens": "sum"}).first()[0]
+    small = bpe.count_tokens(docs.where("source = 'small'"), ("doc_id",)).agg({"tokens": "sum"}).first()[0]
+    other = [("other", 1.0, 0), ("big", 0.5, 1), ("small", 3 * small / total, 3), ("zero", None, 1), ("nulls", 0.05, None), ("none", 0.1, 5)]
+    for i, rows in enumerate((targets, spark.createDataFrame(other, targets.schema))):
+        rows.write.parquet(f"{tmp_path}/mix_targets.parquet", mode="overwrite")
+        got = sorted(r["source"] for r in queries.p8_found(spark, str(tmp_path)).collect())
+        sizes = bpe.count_tokens(docs, ("source",)).groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+        assert got == sorted(r["source"] for r in mixing.plan_shares(sizes, rows).where("not reachable").collect())
+        assert got == (["none", "nulls", "small"], ["none", "nulls", "other"])[i]
+    targets.write.parquet(f"{tmp_path}/mix_targets.parquet", mode="overwrite")
+    monkeypatch.setattr(mixing, "emitted", lambda rate, position, offset: F.lit(0))
+    assert sorted(r["source"] for r in queries.p8_found(spark, str(tmp_path)).collect()) == ["none", "nulls"]
